@@ -81,19 +81,24 @@ def r6(c: str | Column) -> Column:
     return F.floor(col(c) * 1e6 + 0.5) / F.lit(1e6)
 
 
+def np_round(c: str | Column, digits: int) -> Column:
+    """Round like array libraries do: scale, round half to even, scale back."""
+    return F.rint(col(c) * 10.0**digits) / F.lit(10.0**digits)
+
+
 def percent_text(c: str | Column, digits: int = 1, unit_interval: bool = False) -> Column:
     v = col(c) * 100.0 if unit_interval else col(c)
-    return F.when(v.isNotNull(), F.format_string(f"%.{digits}f%%", v)).otherwise("-")
+    return F.when(v.isNotNull(), F.format_string(f"%.{digits}f%%", np_round(v, digits))).otherwise("-")
 
 
 def amount_text(c: str | Column) -> Column:
     """Amount in units of 1e8 with thousands separators."""
-    return F.when(col(c).isNotNull(), F.format_string("%,.0f억", col(c) / 100_000_000.0)).otherwise("-")
+    return F.when(col(c).isNotNull(), F.format_string("%,.0f억", F.rint(col(c) / 100_000_000.0))).otherwise("-")
 
 
 def price_text(c: str | Column) -> Column:
-    return F.when(col(c).isNotNull(), F.format_string("%,.0f원", col(c))).otherwise("-")
+    return F.when(col(c).isNotNull(), F.format_string("%,.0f원", F.rint(col(c)))).otherwise("-")
 
 
 def points_text(c: str | Column) -> Column:
-    return F.when(col(c).isNotNull(), F.format_string("%+.1f점", col(c))).otherwise("-")
+    return F.when(col(c).isNotNull(), F.format_string("%+.1f점", np_round(c, 1))).otherwise("-")
