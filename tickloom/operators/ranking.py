@@ -91,6 +91,20 @@ def percentile_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     return salted_lookup(df, lookup, [value]).withColumn(name, F.coalesce(F.col(name), F.lit(0.5)))
 
 
+def average_rank(
+    df: DataFrame, group: Sequence[str], value: str, name: str, group_rows: int | None = None
+) -> DataFrame:
+    """Ascending rank inside each group, ties sharing their mean rank, missing stays missing."""
+    if group_rows is not None and group_rows <= ROWS_PER_TASK:
+        w = Window.partitionBy(*group).orderBy(F.col(value).asc_nulls_last())
+        ties = F.count(F.lit(1)).over(Window.partitionBy(*group, value))
+        return df.withColumn(name, F.when(F.col(value).isNotNull(), F.rank().over(w) + (ties - 1) / 2.0))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_total(counts, [F.col(value).asc()], "_n", "_upto", group)
+    lookup = ranked.select(*group, value, (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(name))
+    return salted_lookup(df, lookup, [*group, value])
+
+
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, name: str = "pos") -> DataFrame:
     """First k rows of each group. The rank filter is pushed below the shuffle by Spark's
     window group limit, so every task sends at most k rows of a hot group."""

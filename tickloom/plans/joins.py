@@ -4,11 +4,88 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickloom.operators import context
+from tickloom.plans.registry import query
+from tickloom.plans.sqltext import BARS, CALENDAR, CONTEXT, FLOWS, RETURNS, W, d, full, r
 from tickloom.sources import tables as t
 
 
 def region_series(spark, sf):
     """External series: daily mean close per region."""
-    bars = t.daily_bars(spark, sf).join(F.broadcast(t.strata(spark, sf).select("Symbol", F.col("sector").alias("series"))), "Symbol")
+    strata = t.strata(spark, sf).select("Symbol", F.col("sector").alias("series"))
+    bars = t.daily_bars(spark, sf).join(strata, "Symbol")
     close = F.floor(F.sum("Close") / F.count(F.lit(1)) * 1e6 + 0.5) / 1e6
     return bars.groupBy("series", "Date").agg(close.alias("close"))
+
+
+EXT = """
+ext AS (SELECT 'R' || n_regionkey AS series, "Date", floor(sum("Close") / count(*) * 1e6 + 0.5) / 1e6 AS close FROM bars
+  JOIN supplier ON "Symbol" = 'S' || s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2),
+extr AS (SELECT *, close / lag(close) OVER w - 1 AS ret_1d FROM ext WINDOW w AS (PARTITION BY series ORDER BY "Date")),
+lagged AS (SELECT series, "Date", CASE WHEN series = 'R0' THEN close ELSE lag(close) OVER w END AS close,
+  CASE WHEN series = 'R0' THEN ret_1d ELSE lag(ret_1d) OVER w END AS ret_1d FROM extr WINDOW w AS (PARTITION BY series ORDER BY "Date")),
+spine AS (SELECT c."Date", max(close) FILTER (series = 'R0') AS r0_close, max(ret_1d) FILTER (series = 'R0') AS r0_ret_1d,
+  max(close) FILTER (series = 'R1') AS r1_close, max(ret_1d) FILTER (series = 'R1') AS r1_ret_1d
+  FROM (SELECT DISTINCT "Date" FROM bars) c LEFT JOIN lagged USING ("Date") GROUP BY 1),
+filled AS (SELECT "Date", last_value(r0_close IGNORE NULLS) OVER w AS r0_close, last_value(r0_ret_1d IGNORE NULLS) OVER w AS r0_ret_1d,
+  last_value(r1_close IGNORE NULLS) OVER w AS r1_close, last_value(r1_ret_1d IGNORE NULLS) OVER w AS r1_ret_1d
+  FROM spine WINDOW w AS (ORDER BY "Date" ROWS UNBOUNDED PRECEDING))"""
+
+
+@query(
+    "jn01_external_series",
+    f"""WITH {BARS}, {EXT} SELECT {d()}, "Symbol", {r("r0_close")}, {r("r0_ret_1d")}, {r("r1_close")}, {r("r1_ret_1d")} FROM bars JOIN filled USING ("Date")""",
+)
+def external_series(spark, sf):
+    out = context.add_external(t.daily_bars(spark, sf), region_series(spark, sf), ["R0", "R1"], same_date=("R0",))
+    return out.select("Date", "Symbol", "r0_close", "r0_ret_1d", "r1_close", "r1_ret_1d")
+
+
+@query(
+    "jn02_investor_flows",
+    f"""WITH {BARS}, {CALENDAR}, {FLOWS} SELECT {d()}, "Symbol", {r("coalesce(foreign_net_buy, \"Volume\")", "foreign_net_buy")},
+    {r("coalesce(institution_net_buy, 0)", "institution_net_buy")} FROM bars LEFT JOIN flows USING ("Date", "Symbol")""",
+)
+def investor_flows(spark, sf):
+    bars = t.daily_bars(spark, sf).withColumn("foreign_net_buy", F.col("Volume"))
+    return context.add_flows(bars, t.flows(spark, sf)).select("Date", "Symbol", "foreign_net_buy", "institution_net_buy")
+
+
+def disclosure_items(spark, sf):
+    ev = t.context_events(spark, sf).where(F.col("source_type") == "disclosure")
+    title = F.regexp_replace(F.regexp_replace("title", "purchase", "contract"), "error", "notice")
+    return ev.select("Date", "Symbol", title.alias("title"))
+
+
+SCORES = f"""{CONTEXT}, dscore AS (
+  SELECT "Date", "Symbol", least(count(*) * 0.2::DOUBLE + sum(CASE WHEN provider = 'purchase' THEN 1 ELSE 0 END) * 0.3::DOUBLE, 1.0) AS disclosure_score
+  FROM ctx WHERE source_type = 'disclosure' GROUP BY 1, 2)"""
+
+
+@query("ag02_disclosure_daily_score", f"""WITH {SCORES} SELECT {d()}, "Symbol", {r("disclosure_score")} FROM dscore""")
+def disclosure_daily_score(spark, sf):
+    return context.disclosure_daily_scores(disclosure_items(spark, sf))
+
+
+@query(
+    "jn03_disclosure_join",
+    f"""WITH {BARS}, {CALENDAR}, {SCORES}, moved AS (SELECT cal."Date", s."Symbol", disclosure_score FROM dscore s JOIN cal ON cal.day_no = s."Date" - DATE '2024-01-01')
+    SELECT {d()}, "Symbol", {r("coalesce(disclosure_score, 0)", "disclosure_score")} FROM bars LEFT JOIN moved USING ("Date", "Symbol")""",
+)
+def disclosure_join(spark, sf):
+    bars = t.daily_bars(spark, sf)
+    scores = context.disclosure_daily_scores(disclosure_items(spark, sf))
+    scores = scores.withColumn("day_no", F.datediff("Date", F.lit("2024-01-01").cast("date"))).drop("Date")
+    moved = scores.join(F.broadcast(t.calendar(bars)), "day_no")
+    return context.add_disclosure_scores(bars, moved).select("Date", "Symbol", "disclosure_score")
+
+
+@query(
+    "ag23_coverage_ratios",
+    """SELECT count(*) AS requested, sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) AS successful, sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS failed
+    FROM (SELECT s_suppkey, count(user_id) AS n FROM supplier LEFT JOIN events ON user_id = s_suppkey GROUP BY 1)""",
+)
+def coverage_ratios(spark, sf):
+    requested = t.table(spark, sf, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("series"))
+    landed = t.table(spark, sf, "events").select(F.concat(F.lit("S"), F.col("user_id")).alias("series"))
+    return context.source_coverage(requested, landed)
