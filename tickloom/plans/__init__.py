@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["bars", "windows", "joins", "policy", "evaluation"]
+MODULES = ["bars", "windows", "joins", "policy", "evaluation", "news"]
 
 
 def load_all() -> None:

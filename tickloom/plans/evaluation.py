@@ -354,16 +354,16 @@ def book(spark, sf):
     """Portfolio input: forecasts with liquidity, market type and a halted name now and then."""
     df = head_predictions(spark, sf)
     return df.select(
-        "Date", "Symbol", "target_log_return", "value_traded", "vol_ratio_20", "market_type", "up_probability",
-        F.col("predicted_log_return").alias("predicted_return"), F.col("up_probability").alias("signal_score"),
-        F.least(F.col("vol_20") * 10.0, F.lit(1.0)).alias("uncertainty_score"), F.col("daily_return").alias("ks11_ret_1d"),
+        "Date", "Symbol", "value_traded", "vol_ratio_20", "market_type", "up_probability",
+        (F.col("target_log_return") * 0.02).alias("target_log_return"), F.col("predicted_log_return").alias("predicted_return"), F.col("up_probability").alias("signal_score"),
+        F.least(F.col("vol_20") * 10.0, F.lit(1.0)).alias("uncertainty_score"), (F.col("daily_return") * 0.02).alias("ks11_ret_1d"),
         F.when(F.col("turnover_rank_daily") == 30, "HALT").otherwise("ok").alias("coverage_gate_status"),
         (F.col("turnover_rank_daily") / 10.0).alias("investor_coverage_ratio"),
     )
 
 
-BOOK = f"""{HEADS}, book AS (SELECT "Date", "Symbol", target_log_return, value_traded, vol_ratio_20, market_type, up_probability, predicted_log_return AS predicted_return,
-  least(vol_20 * 10.0, 1.0) AS uncertainty_score, daily_return AS mkt, turnover_rank_daily = 30 AS stop, turnover_rank_daily / 10.0::DOUBLE AS inv FROM heads),
+BOOK = f"""{HEADS}, book AS (SELECT "Date", "Symbol", target_log_return * 0.02::DOUBLE AS target_log_return, value_traded, vol_ratio_20, market_type, up_probability, predicted_log_return AS predicted_return,
+  least(vol_20 * 10.0, 1.0) AS uncertainty_score, daily_return * 0.02::DOUBLE AS mkt, turnover_rank_daily = 30 AS stop, turnover_rank_daily / 10.0::DOUBLE AS inv FROM heads),
 halts AS (SELECT "Date", bool_or(stop) OR avg(inv) < 0.5 AS halted, coalesce(avg(mkt), 0) AS benchmark_return FROM book GROUP BY 1),
 elig AS (SELECT *, value_traded * 0.3::DOUBLE AS cap_notional FROM book WHERE up_probability >= 0.5 AND value_traded >= 1000 AND value_traded * 0.3::DOUBLE >= 400),
 cand AS (SELECT *, row_number() OVER (PARTITION BY "Date" ORDER BY predicted_return DESC, up_probability DESC, "Symbol") AS pos FROM elig QUALIFY pos <= 15),
