@@ -233,9 +233,11 @@ def events_of_predictions(spark, sf):
 
 @query(
     "jn07_impact_on_predictions",
-    f"""WITH {RULE_ROWS} SELECT {d('k."Date"')}, k."Symbol", {r("final_score", "news_impact_final_score")}, event_count AS news_impact_event_count,
+    f"""WITH {RULE_ROWS}, lastr AS (SELECT "Date" AS rd, substr("Symbol", 1, 6) AS rk, arg_max(final_score, "Symbol") AS final_score, arg_max(event_count, "Symbol") AS event_count FROM rr GROUP BY 1, 2),
+    pk AS (SELECT DISTINCT "Date" AS pd, substr("Symbol", 1, 6) AS tk FROM tt)
+    SELECT {d("pd")}, tk || '.KS' AS "Symbol", {r("final_score", "news_impact_final_score")}, event_count AS news_impact_event_count,
     coalesce(printf('%+.1f', final_score) || '점', '-') AS points, CASE WHEN final_score IS NULL THEN '-' ELSE '참고용·예측값 미반영' END AS note
-    FROM (SELECT DISTINCT "Date", substr("Symbol", 1, 6) || '.KS' AS "Symbol", substr("Symbol", 1, 6) AS tk FROM tt) k LEFT JOIN (SELECT *, substr("Symbol", 1, 6) AS tk FROM rr QUALIFY row_number() OVER (PARTITION BY "Date", tk ORDER BY "Symbol" DESC) = 1) rr ON rr."Date" = k."Date" AND rr.tk = k.tk""",
+    FROM pk LEFT JOIN lastr ON rd = pd AND rk = tk""",
 )
 def impact_on_predictions(spark, sf):
     predictions = titles(spark, sf).select("Date", F.concat(F.substring("Symbol", 1, 6), F.lit(".KS")).alias("Symbol")).distinct()
