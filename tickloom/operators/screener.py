@@ -165,7 +165,7 @@ def select_candidates(scored: DataFrame, min_score: int | None = None, p: Screen
     if min_score is not None:
         rows = rows.where(F.col("final_score") >= min_score)
     rows = rows.where(F.col("is_52w_high") | F.col("is_near_52w_high"))
-    order = [F.col("final_score").desc(), F.col("trade_value_rank").asc(), F.col("volume_change_rate").desc(), F.col("symbol")]
+    order = [F.col("final_score").desc(), F.col("trade_value_rank").asc_nulls_last(), F.col("volume_change_rate").desc(), F.col("symbol")]
     best = rows.orderBy(*order).limit(p.top_n)
     return best.withColumns(
         {

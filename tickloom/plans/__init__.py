@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["bars", "windows", "joins", "policy", "evaluation", "news", "signals"]
+MODULES = ["bars", "windows", "joins", "policy", "evaluation", "news", "signals", "files", "learning"]
 
 
 def load_all() -> None:

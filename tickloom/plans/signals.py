@@ -240,9 +240,9 @@ def proxy_prices(spark, sf):
 
 
 DAY, CUTOFF = date(2000, 1, 4), "2000-01-04 06:00:00"
-PROXY = f"""{BARS}, {EXT}, px AS (SELECT series AS proxy_symbol, "Date" AS price_date, close, CAST("Date" AS TIMESTAMP) + INTERVAL 12 HOUR * (day("Date") % 3) AS at FROM ext),
-pr AS (SELECT proxy_symbol, max(close) FILTER (at <= TIMESTAMP '{{cut}}' AND price_date = DATE '2000-01-04') AS now, arg_max(close, price_date) FILTER (at <= TIMESTAMP '{{cut}}' AND price_date < DATE '2000-01-04') AS prev,
-   max(CASE WHEN at > TIMESTAMP '{{cut}}' AND price_date = DATE '2000-01-04' THEN 1 ELSE 0 END) AS late FROM px GROUP BY 1),
+PROXY = f"""{BARS}, {EXT}, px AS (SELECT series AS proxy_symbol, "Date" AS price_date, close, CAST("Date" AS TIMESTAMP) + INTERVAL 12 HOUR * (day("Date") % 3) AS cat FROM ext),
+pr AS (SELECT proxy_symbol, max(close) FILTER (cat <= TIMESTAMP '{{cut}}' AND price_date = DATE '2000-01-04') AS now, arg_max(close, price_date) FILTER (cat <= TIMESTAMP '{{cut}}' AND price_date < DATE '2000-01-04') AS prev,
+   max(CASE WHEN cat > TIMESTAMP '{{cut}}' AND price_date = DATE '2000-01-04' THEN 1 ELSE 0 END) AS late FROM px GROUP BY 1),
 pv AS (SELECT proxy_symbol, round_even((now - prev) / prev * 1e10, 0) / 1e10 AS proxy_return, CASE WHEN now IS NULL THEN 'missing_global_proxy_price' WHEN prev IS NULL THEN 'missing_previous_global_proxy_price' END AS flag, late FROM pr)"""
 
 

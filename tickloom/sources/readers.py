@@ -74,11 +74,11 @@ def symbol_names(primary: DataFrame, fallback: DataFrame | None = None, order: s
     return first_per_key(clean, ["Ticker"], [F.col("_file"), F.col(order)]).drop("_file", order)
 
 
-PRICE_SCHEMA = """struct<schema: string, provider: string, source: string, adjustment: string, rows: array<struct<
-  ticker: string, trading_day: string, open: double, close: double, market_return: double, sector_return: double>>>"""
-SIGNAL_SCHEMA = """struct<schema: string, scoring_version: string, rows: array<struct<
+PRICE_SCHEMA = """schema string, provider string, source string, adjustment string, rows array<struct<
+  ticker: string, trading_day: string, open: double, close: double, market_return: double, sector_return: double>>"""
+SIGNAL_SCHEMA = """schema string, scoring_version string, rows array<struct<
   ticker: string, score: double, signal_day: string, effective_trading_day: string, market_session: string,
-  tradeability_status: string, sector: string, market_cap_bucket: string, event_type: string>>>"""
+  tradeability_status: string, sector: string, market_cap_bucket: string, event_type: string>>"""
 
 
 def _reasons(*pairs: tuple[Column, str]) -> Column:
@@ -88,7 +88,7 @@ def _reasons(*pairs: tuple[Column, str]) -> Column:
 
 def price_snapshots(landed: DataFrame, payload: str = "payload") -> DataFrame:
     """Price-bar snapshot documents (one JSON text per row) as bars."""
-    p = F.from_json(payload, PRICE_SCHEMA[7:-1])
+    p = F.from_json(payload, PRICE_SCHEMA)
     docs = landed.select(p.alias("p")).select("p.*")
     bad = _reasons(
         (~F.coalesce(F.col("schema").endswith(PRICE_TAG), F.lit(False)), "schema"),
@@ -106,7 +106,7 @@ def price_snapshots(landed: DataFrame, payload: str = "payload") -> DataFrame:
 
 def signal_snapshots(landed: DataFrame, payload: str = "payload") -> DataFrame:
     """Signal snapshot documents as signals, with defaults for optional fields."""
-    docs = landed.select(F.from_json(payload, SIGNAL_SCHEMA[7:-1]).alias("p")).select("p.*")
+    docs = landed.select(F.from_json(payload, SIGNAL_SCHEMA).alias("p")).select("p.*")
     bad = _reasons(
         (~F.coalesce(F.col("schema").endswith(SIGNAL_TAG), F.lit(False)), "schema"),
         (F.coalesce("scoring_version", F.lit("")) == "", "scoring_version"),
