@@ -334,3 +334,37 @@ def latest_rows(spark, sf):
     from tickloom.operators.skew import first_per_key
 
     return first_per_key(t.daily_bars(spark, sf).select("Date", "Symbol", "Close"), ["Symbol"], [F.col("Date")], last=True)
+
+
+@query(
+    "pf12_rsi_flags",
+    EWM_SQL.rstrip()
+    + f""", rs AS (SELECT s.*, coalesce(100.0 - 100.0 / (1.0 + up / nullif(down, 0)), 50.0) AS rsi FROM walk JOIN src s USING ("Symbol", bar_no))
+    SELECT {d()}, "Symbol", {fl("rsi BETWEEN 30 AND 35", "rsi_pullback_buy_flag")}, {fl("rsi >= 70", "rsi_overbought_sell_flag")} FROM rs""",
+)
+def rsi_flags(spark, sf):
+    df = features.rsi_flags(indicators.rsi_macd(indicators.number_bars(t.daily_bars(spark, sf))))
+    return df.select("Date", "Symbol", "rsi_pullback_buy_flag", "rsi_overbought_sell_flag")
+
+
+MATRIX = f"""{LEADERS}, {REGIME.strip()},
+hi AS (SELECT "Date", "Symbol", "Close" / CASE WHEN count("Close") OVER a >= 20 THEN max("Close") OVER a END AS to_high,
+   "Close" / lag("Close", 20) OVER w - 1 AS ret_20d, {full("avg", '"Close"', 60)} AS ma_60, {full("stddev_samp", "log_return", 20)} AS vol_20,
+   "Volume" / ({full("avg", '"Volume"', 20)}) AS vol_ratio_20, ln(lead("Close") OVER w / "Close") AS target FROM ret
+   WINDOW w AS ({W}), a AS ({W} ROWS BETWEEN 251 PRECEDING AND CURRENT ROW))"""
+
+
+@query(
+    "feature_matrix",
+    f"""WITH {MATRIX} SELECT {d('hi."Date"')}, hi."Symbol", {r("ret_20d")}, {r("ma_60")}, {r("vol_20")}, {r("vol_ratio_20")}, {r("to_high", "close_to_52w_high")}, {r("target", "target_log_return")},
+    turnover_rank_daily, {r("l1", "leader_1_return")}, {il("l1 > 0 AND movers >= 2", "leader_confirmation_flag")}, {il("coalesce(to_high, 0) >= 1.0", "breakout_52w_flag")}, market_regime
+    FROM hi JOIN rk ON rk."Date" = hi."Date" AND rk."Symbol" = hi."Symbol" JOIN lead ON lead."Date" = hi."Date" JOIN regime ON regime."Date" = hi."Date" AND regime."Symbol" = hi."Symbol" WHERE target IS NOT NULL""",
+)
+def feature_matrix(spark, sf):
+    """All feature layers in one plan, labelled rows only."""
+    bars = t.daily_bars(spark, sf)
+    out = features.feature_matrix(bars, group_rows=t.row_bound(spark, sf))
+    return out.select(
+        "Date", "Symbol", "ret_20d", "ma_60", "vol_20", "vol_ratio_20", "close_to_52w_high", "target_log_return", "turnover_rank_daily",
+        "leader_1_return", "leader_confirmation_flag", "breakout_52w_flag", "market_regime",
+    )

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tickloom.operators.context import DISCLOSURE_BASE, DISCLOSURE_RAISE, DISCLOSURE_WORDS
+from tickloom.functions.clock import UTC_OFFSET_HOURS
 from tickloom.functions.text import contains_any
+from tickloom.operators.context import DISCLOSURE_BASE, DISCLOSURE_RAISE, DISCLOSURE_WORDS
 from tickloom.sources.sinks import merge_bars
 
 EVENT_KEY = ["Date", "Symbol", "source_type", "title", "raw_id"]
@@ -35,8 +36,10 @@ def daily_counts_stream(events: DataFrame, time: str = "signal_at", late: str =
         F.count(F.lit(1)).alias("event_count"), F.sum(filed).alias("_n"), F.sum(raised).alias("_raised")
     )
     score = F.least(F.col("_n") * DISCLOSURE_BASE + F.col("_raised") * DISCLOSURE_RAISE, F.lit(1.0))
+    # The local date of the window start, whatever the session time zone is.
+    local_day = F.date_from_unix_date(F.floor((F.unix_seconds("w.start") + UTC_OFFSET_HOURS * 3600) / 86400).cast("int"))
     return grouped.select(
-        F.col("w.end").cast("date").alias("Date"), "Symbol", "source_type", "event_count", score.alias("disclosure_score")
+        local_day.alias("Date"), "Symbol", "source_type", "event_count", score.alias("disclosure_score")
     )
 
 
