@@ -38,17 +38,19 @@ def greedy_any_key(items: DataFrame, keys: Column, order: str) -> DataFrame:
     undecided = cut_lineage(items.select(F.col(order).alias("_o"), F.explode(keys).alias("_key")))
     kept: list[DataFrame] = []
     while not undecided.isEmpty():
-        first = undecided.groupBy("_key").agg(F.min("_o").alias("_first"))
-        state = salted_lookup(undecided, first, ["_key"])
+        first = undecided.groupBy("_key").agg(F.min("_o").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        sized = first.withColumn("_rows", F.col("_n"))
+        state = salted_lookup(undecided, sized, ["_key"], rows="_rows")
+        # An item has a handful of keys, so the sets stay short.
         state = state.groupBy("_o").agg(
-            F.bool_and(F.col("_o") == F.col("_first")).alias("_keep"), F.collect_set("_key").alias("_keys")
+            F.bool_and(F.col("_o") == F.col("_first")).alias("_keep"), F.collect_set(F.struct("_key", "_n")).alias("_keys")
         )
-        state = cut_lineage(state)  # an item has a handful of keys
+        state = cut_lineage(state)
         winners = state.where("_keep")
         kept.append(winners.select("_o"))
-        taken = winners.select(F.explode("_keys").alias("_key"), F.lit(True).alias("_taken"))
-        rest = state.where(~F.col("_keep")).select("_o", F.explode("_keys").alias("_key"))
-        rest = salted_lookup(rest, taken, ["_key"])
+        taken = winners.select(F.explode("_keys").alias("k")).select("k._key", "k._n", F.lit(True).alias("_taken"))
+        rest = state.where(~F.col("_keep")).select("_o", F.explode("_keys").alias("k")).select("_o", "k._key")
+        rest = salted_lookup(rest, taken, ["_key"], rows="_n")
         open_items = rest.groupBy("_o").agg(
             F.bool_or(F.coalesce("_taken", F.lit(False))).alias("_dropped"), F.collect_set("_key").alias("_keys")
         )

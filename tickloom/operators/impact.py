@@ -10,7 +10,8 @@ from tickloom.functions import factors
 from tickloom.functions.numeric import clip, number, points_text
 from tickloom.functions.text import contains_any, flags, market, stable_id, ticker, title_cluster_key
 from tickloom.operators.ranking import top_per_group
-from tickloom.operators.skew import first_per_key, salted_lookup, small
+from tickloom.operators.skew import first_per_key, small
+from tickloom.session import cut_lineage
 
 # Columns of a written report, joined report columns, rule phrases.
 REPORT_COLUMNS = [
@@ -206,9 +207,13 @@ def rule_events(context: DataFrame, order: str) -> DataFrame:
     )
 
 
-def rule_summary(events: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """One generated report row per (Date, Symbol) from rule events."""
+def rule_summary(events: DataFrame) -> DataFrame:
+    """One generated report row per (Date, Symbol) from rule events.
+
+    The events feed three aggregations, so their text analysis is written once.
+    """
     key = ["Date", "Symbol"]
+    events = cut_lineage(events)
     scores = aggregate_scores(events, key)
     top = events.groupBy(*key).agg(
         F.max_by(F.struct("event_type", "reason", "why_may_be_wrong", "sector"), F.struct(F.abs("impact_score"), -F.col("_order"))).alias("t"),

@@ -14,9 +14,15 @@ from pyspark.sql.window import Window
 from tickloom.functions.numeric import clip, number, number_or
 from tickloom.operators.ranking import top_per_group
 from tickloom.params import PortfolioParams
+from tickloom.session import cut_lineage
 
 P = PortfolioParams()
 KEY = ["strategy", "Date"]
+INPUTS = [
+    "Date", "Symbol", "signal_score", "predicted_return", "up_probability", "target_log_return", "uncertainty_score",
+    "value_traded", "external_coverage_ratio", "investor_coverage_ratio", "vol_ratio_20", "ks11_ret_1d",
+    "coverage_gate_status", "market_type",
+]
 
 
 def with_strategy(df: DataFrame) -> DataFrame:
@@ -170,6 +176,8 @@ def daily_series(df: DataFrame, p: PortfolioParams = P) -> DataFrame:
     """Per-date returns, costs, equity and drawdown of each strategy. Windows run over the
     dates of a strategy."""
     df = with_strategy(df)
+    used = [c for c in INPUTS if c in df.columns]
+    df = cut_lineage(df.select("strategy", *used))  # feeds halts, candidates and holdings
     halts = coverage_halts(df, p)
     gross = daily_gross(capacity_weights(select_portfolio(df, p), p))
     days = halts.join(gross, KEY, "left")

@@ -67,9 +67,9 @@ def dense_rank(
     if group_rows is not None and group_rows <= ROWS_PER_TASK:
         w = Window.partitionBy(*group).orderBy(order)
         return df.withColumn(name, F.when(F.col(value).isNotNull(), F.dense_rank().over(w)))
-    distinct = df.where(F.col(value).isNotNull()).select(*group, value).distinct()
-    ranked = ordinal_rank(distinct, group, [order], name)
-    return salted_lookup(df, ranked, [*group, value])
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = ordinal_rank(counts, group, [order], name)
+    return salted_lookup(df, ranked, [*group, value], rows="_n")
 
 
 def percentile_rank(df: DataFrame, value: str, name: str) -> DataFrame:
@@ -87,8 +87,8 @@ def percentile_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     if distinct == 1:
         return df.withColumn(name, F.lit(0.5))
     average_rank = F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2.0
-    lookup = ranked.select(value, (average_rank / F.lit(float(rows))).alias(name))
-    return salted_lookup(df, lookup, [value]).withColumn(name, F.coalesce(F.col(name), F.lit(0.5)))
+    lookup = ranked.select(value, "_n", (average_rank / F.lit(float(rows))).alias(name))
+    return salted_lookup(df, lookup, [value], rows="_n").withColumn(name, F.coalesce(F.col(name), F.lit(0.5)))
 
 
 def average_rank(
@@ -97,12 +97,12 @@ def average_rank(
     """Ascending rank inside each group, ties sharing their mean rank, missing stays missing."""
     if group_rows is not None and group_rows <= ROWS_PER_TASK:
         w = Window.partitionBy(*group).orderBy(F.col(value).asc_nulls_last())
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*group, value))
+        ties = F.count(F.lit(1)).over(w.rangeBetween(0, 0))  # the peers of a row: no second sort
         return df.withColumn(name, F.when(F.col(value).isNotNull(), F.rank().over(w) + (ties - 1) / 2.0))
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running_total(counts, [F.col(value).asc()], "_n", "_upto", group)
-    lookup = ranked.select(*group, value, (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(name))
-    return salted_lookup(df, lookup, [*group, value])
+    lookup = ranked.select(*group, value, "_n", (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(name))
+    return salted_lookup(df, lookup, [*group, value], rows="_n")
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, name: str = "pos") -> DataFrame:

@@ -10,6 +10,7 @@ from tickloom.operators.metrics import pearson
 from tickloom.operators.ranking import ordinal_rank
 from tickloom.operators.skew import first_per_key, small
 from tickloom.params import GateParams
+from tickloom.session import cut_lineage
 
 UNTRADABLE = ("halted", "limit_locked")
 
@@ -48,10 +49,12 @@ def match_returns(
 
 
 def coefficient_block(
-    obs: DataFrame, by: list[str], order: str, basket: Column | int = 5, group_rows: int | None = None
+    obs: DataFrame, by: list[str], order: str, basket: Column | int = 5, group_rows: int | None = None, extra=()
 ) -> DataFrame:
     """Sample size, IC, ordinal rank IC, hit ratio and top-bottom spread per group."""
     usable = obs.where(~F.array_contains("quality_flags", "missing_intraday_price"))
+    keep = dict.fromkeys([*by, order, "score", "after_cost_return", *extra])
+    usable = cut_lineage(usable.select(*keep))  # feeds the sizes and three ranks
     score, ret = F.col("score"), F.col("after_cost_return")
     sizes = usable.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     rows = ordinal_rank(usable, by, [score.asc(), F.col(order).asc()], "_score_rank", group_rows)

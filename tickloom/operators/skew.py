@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+HOT_ROWS = 1_000_000
 SALTS = 16
 
 
@@ -30,13 +31,25 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def salted_lookup(
-    left: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left", salts: int = SALTS
+    left: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left", rows: str | None = None, salts: int = SALTS
 ) -> DataFrame:
-    """Join a table that may have hot keys to one with a single row per key."""
+    """Join a table that may have hot keys to one with a single row per key.
+
+    ``rows`` names a column of the lookup with the number of left rows per key; then only
+    keys above ``HOT_ROWS`` are spread (there are at most total / HOT_ROWS of them, so
+    their list is broadcast). Without it the lookup is taken as small and spread whole.
+    """
     cells = F.array(*[F.lit(i) for i in range(salts)])
-    seed = [F.col(f"`{c}`") for c in left.columns]
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*seed), F.lit(salts)).cast("int"))
-    spread = lookup.withColumn("_salt", F.explode(cells))
+    seed = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns])
+    salt = F.pmod(seed, F.lit(salts)).cast("int")
+    if rows is None:
+        salted, spread = left.withColumn("_salt", salt), lookup.withColumn("_salt", F.explode(cells))
+    else:
+        is_hot = F.col(rows) > HOT_ROWS
+        hot = F.broadcast(lookup.where(is_hot).select(*keys, F.lit(True).alias("_hot")))
+        marked = left.join(hot, list(keys), "left")
+        salted = marked.withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
+        spread = lookup.withColumn("_salt", F.explode(F.when(is_hot, cells).otherwise(F.array(F.lit(0))))).drop(rows)
     return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
 
 

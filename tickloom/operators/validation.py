@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from tickloom.operators.metrics import calibration_metrics, pearson
 from tickloom.operators.ranking import average_rank, ordinal_rank
 from tickloom.params import FoldParams, TuningParams
+from tickloom.session import cut_lineage
 
 PREDICTIONS = ["predicted_return", "up_probability", "quantile_low", "quantile_mid", "quantile_high"]
 TARGETS = ["target_log_return", "target_up"]
@@ -187,29 +188,37 @@ def tuning_grid(df: DataFrame, p: TuningParams = TuningParams(), group_rows: int
             for i, (a, b, c) in enumerate(candidates)
         ]
     )
-    base = inner_split(df, p.train_ratio).select(
-        "Date", "Symbol", "part", "norm_return", "up_probability", "uncertainty_score", "target_log_return"
+    # The frame feeds the split, the sizes and the ranks: write its few columns once.
+    slim = cut_lineage(
+        df.select("Date", "Symbol", "norm_return", "up_probability", "uncertainty_score", "target_log_return")
     )
+    base = inner_split(slim, p.train_ratio)
+    # Everything that does not depend on the candidate is ranked once, before the fan-out,
+    # so that only fixed-width columns are shuffled and sorted per candidate.
+    base = ordinal_rank(base, ["part"], [F.col("Date"), F.col("Symbol")], "_order", group_rows)
     base = average_rank(base, ["part"], "target_log_return", "target_rank", group_rows)
+    sizes = base.groupBy("part").agg(F.count(F.lit(1)).alias("_n"))
+    base = base.join(F.broadcast(sizes), "part").drop("Date", "Symbol")  # two rows
+    # Two parts leave two tasks behind; the fan-out needs all of them.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = base.repartition(tasks, "_order")
     rows = base.withColumn("_c", F.explode(structs)).select("*", "_c.*").drop("_c")
-    score = (
+    raw = (
         F.col("norm_return") * F.col("w_ret")
         + F.col("up_probability") * F.col("w_prob")
         - F.col("uncertainty_score") * F.col("w_pen")
     )
     # Scores that differ only by rounding noise tie; ties follow (Date, Symbol).
-    rows = rows.withColumn("score", F.round(score, 12))
     key = ["candidate", "part"]
-    sizes = base.groupBy("part").agg(F.count(F.lit(1)).alias("_n"))
-    rows = ordinal_rank(rows, key, [F.col("score").desc_nulls_last(), F.col("Date"), F.col("Symbol")], "_pos", group_rows)
+    rows = rows.select(*key, "w_ret", "w_prob", "w_pen", F.rint(-raw * 1e12).alias("score"), "_order", "_n", "target_rank", "target_log_return")
+    rows = ordinal_rank(rows, key, [F.col("score").asc_nulls_last(), F.col("_order")], "_pos", group_rows)
     rows = average_rank(rows, key, "score", "score_rank", group_rows)
-    rows = rows.join(F.broadcast(sizes), "part")  # two rows
     chosen = F.col("_pos") <= F.greatest(F.lit(1), F.floor(F.col("_n") * p.top_share))
     pick = F.when(chosen, F.col("target_log_return"))
     weights = ["w_ret", "w_prob", "w_pen"]
     return rows.groupBy(*key, *weights).agg(
         F.avg(pick).alias("top_return"),
-        pearson(F.col("score_rank"), F.col("target_rank")).alias("rank_ic"),
+        pearson(-F.col("score_rank"), F.col("target_rank")).alias("rank_ic"),
         F.coalesce(-F.avg(F.when(pick < 0, pick)), F.lit(0.0)).alias("downside"),
     ).withColumn(
         "objective",
