@@ -464,7 +464,7 @@ def cost_scenarios(spark, sf):
 
 
 SUMMARY_SQL = f"""SELECT count(*) AS days, {r('arg_max(equity, "Date") - 1', "cum_return")}, {r("avg(daily_return)", "avg_daily_return")},
-  {r("sqrt(252.0) * avg(daily_return) / stddev_samp(daily_return)", "sharpe")}, {r("min(drawdown)", "max_drawdown")}, {r("avg(turnover)", "avg_turnover")},
+  {r("coalesce(sqrt(252.0) * avg(daily_return) / nullif(stddev_samp(daily_return), 0), 0)", "sharpe")}, {r("min(drawdown)", "max_drawdown")}, {r("avg(turnover)", "avg_turnover")},
   {r("avg(selected_count)", "avg_selected_count")}, {r('arg_max(beq, "Date") - 1', "benchmark_cum_return")}, {r('arg_max(equity, "Date") - arg_max(beq, "Date")', "excess_cum_return")},
   sum(halted::INT) AS halted_days, sum((NOT halted AND selected_count = 0)::INT) AS liquidity_blocked_days, {r("avg(market_type_count)", "avg_market_type_count")} FROM ddn"""
 

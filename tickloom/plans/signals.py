@@ -125,7 +125,7 @@ def prices(spark, sf):
     )
 
 
-SIG = f"""{BARS}, sg AS (SELECT n AS seq, 'S' || l_suppkey AS ticker, (n * 31 % 199 - 99) / 2.0::DOUBLE AS score, CAST(l_shipdate AS DATE) AS signal_day, CAST(l_shipdate AS DATE) + CASE WHEN n % 3 = 0 THEN 1 ELSE 0 END AS eday,
+SIG = f"""{BARS}, sg AS (SELECT n AS seq, l_partkey AS pk, 'S' || l_suppkey AS ticker, (n * 31 % 199 - 99) / 2.0::DOUBLE AS score, CAST(l_shipdate AS DATE) AS signal_day, CAST(l_shipdate AS DATE) + CASE WHEN n % 3 = 0 THEN 1 ELSE 0 END AS eday,
    CASE WHEN n % 6 = 0 THEN 'after_market' WHEN n % 3 = 0 THEN 'holiday' ELSE 'regular' END AS ms, n % 10 AS st, 'sec' || n % 5 AS sector, 'cap' || n % 3 AS cap, n % 4 AS variant FROM (SELECT *, l_orderkey * 10 + l_linenumber AS n FROM lineitem)),
 ob AS (SELECT sg.*, coalesce(round_even((b."Close" / b."Open" - 1) * 1e6, 0) / 1e6, 0) AS raw_return, coalesce(round_even((b."Close" / b."Open" - 1 - 0.0026::DOUBLE) * 1e6, 0) / 1e6, 0) AS ret, b."Close" IS NULL AS missing,
    concat_ws(';', CASE WHEN n3 AND ms = 'after_market' THEN 'after_market_shifted' END, CASE WHEN n3 AND ms = 'holiday' THEN 'holiday_shifted' END, CASE WHEN b."Close" IS NULL THEN 'missing_intraday_price' END) AS flags
@@ -149,7 +149,7 @@ def block_sql(src: str, by: str, basket: str) -> str:
       round_even(coalesce(covar_pop(sr, rr) / nullif(stddev_pop(sr) * stddev_pop(rr), 0), 0) * 1e6, 0) / 1e6 AS rank_ic,
       round_even(avg(CASE WHEN (score > 0 AND ret > 0) OR (score < 0 AND ret < 0) OR score = 0 THEN 1.0 ELSE 0 END::DOUBLE) * 1e6, 0) / 1e6 AS hit,
       round_even((avg(ret) FILTER (ft <= {basket}) - avg(ret) FILTER (ft > m - {basket})) * 1e6, 0) / 1e6 AS spread
-      FROM (SELECT *, row_number() OVER ({part}ORDER BY score, seq, ticker) AS sr, row_number() OVER ({part}ORDER BY ret, seq, ticker) AS rr, row_number() OVER ({part}ORDER BY score DESC, seq, ticker) AS ft, count(*) OVER ({part}) AS m FROM {src}) {"GROUP BY " + by if by else ""})"""
+      FROM (SELECT *, row_number() OVER ({part}ORDER BY score, seq, ticker, pk) AS sr, row_number() OVER ({part}ORDER BY ret, seq, ticker, pk) AS rr, row_number() OVER ({part}ORDER BY score DESC, seq, ticker, pk) AS ft, count(*) OVER ({part}) AS m FROM {src}) {"GROUP BY " + by if by else ""})"""
 
 
 OBS = f"{SIG}, us AS (SELECT * FROM ob WHERE NOT missing)"
