@@ -101,3 +101,12 @@ class WordIds(dict):
 def sixty_four(value: int) -> int:
     """An unsigned 64-bit value as Spark's signed long."""
     return value - (1 << 64) if value >> 63 else value
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: later jobs don't repeat its work, and joins with it are shuffle joins that Spark can split."""
+    from tickloom.session import scratch_path
+
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import fingerprints, substring_dedup, suffix_dedup, token_counts
+from tickloom.llm import fingerprints, mixing, sharding, simhash, substring_dedup, suffix_dedup, token_counts
 from tickloom.llm.common import read_table
 from tickloom.llm.sql import SQL
 
@@ -33,6 +33,25 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), token_counts.read_vocabulary())
 
 
+@query
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and slot after shards by source were evened out with the fewest bytes moved."""
+    return sharding.assignment(read_table(spark, sf_dir, "documents"), sharding.by_source())
+
+
+@query
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often every document is in the mix of its source."""
+    mixed = mixing.apply(read_table(spark, sf_dir, "documents"), mixing.default_mix())
+    return mixed.select("doc_id", F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.col("_copies").alias("copies"))
+
+
 @query
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""

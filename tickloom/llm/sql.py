@@ -23,5 +23,53 @@ WITH d AS (
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed,
   sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+""",
+    "op8_source_mixing": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    'domain' || (coalesce(try_cast(nullif(regexp_extract(source, '([0-9]{1,9})', 1), '') AS BIGINT), 0) % 4) AS domain,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n
+  FROM documents
+), leaf AS (
+  SELECT domain, lang, source, CAST(sum(n) AS BIGINT) AS tokens, CAST(2 * sum(n) AS BIGINT) AS capacity FROM d GROUP BY ALL
+), d1 AS (
+  SELECT domain, CAST(sum(capacity) AS BIGINT) AS capacity, CAST(substr(domain, 7, 1) AS BIGINT) + 1 AS weight,
+    (SELECT CAST(least(sum(tokens), sum(capacity)) AS BIGINT) FROM leaf) AS budget
+  FROM leaf GROUP BY domain
+), d2 AS (
+  SELECT *, CAST(coalesce(sum(capacity) OVER o, 0) AS BIGINT) AS c, CAST(coalesce(sum(weight) OVER o, 0) AS BIGINT) AS w, CAST(sum(weight) OVER () AS BIGINT) AS a FROM d1
+  WINDOW o AS (ORDER BY capacity / weight, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), d3 AS (SELECT *, (budget - c) * weight >= capacity * (a - w) AS full_ FROM d2
+), d4 AS (
+  SELECT *, CAST(coalesce(sum(capacity) FILTER (full_) OVER (), 0) AS BIGINT) AS fc, CAST(coalesce(sum(weight) FILTER (full_) OVER (), 0) AS BIGINT) AS fw FROM d3
+), domains AS (SELECT domain, CASE WHEN full_ THEN capacity ELSE (weight * (budget - fc)) // (a - fw) END AS budget FROM d4
+), l1 AS (
+  SELECT domain, lang, CAST(sum(capacity) AS BIGINT) AS capacity, CAST(CASE WHEN lang = 'en' THEN 5 WHEN lang IN ('de', 'fr') THEN 2 ELSE 1 END AS BIGINT) AS weight
+  FROM leaf GROUP BY domain, lang
+), l2 AS (
+  SELECT l1.*, budget, CAST(coalesce(sum(capacity) OVER o, 0) AS BIGINT) AS c, CAST(coalesce(sum(weight) OVER o, 0) AS BIGINT) AS w,
+    CAST(sum(weight) OVER (PARTITION BY domain) AS BIGINT) AS a FROM l1 JOIN domains USING (domain)
+  WINDOW o AS (PARTITION BY domain ORDER BY capacity / weight, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), l3 AS (SELECT *, (budget - c) * weight >= capacity * (a - w) AS full_ FROM l2
+), l4 AS (
+  SELECT *, CAST(coalesce(sum(capacity) FILTER (full_) OVER p, 0) AS BIGINT) AS fc, CAST(coalesce(sum(weight) FILTER (full_) OVER p, 0) AS BIGINT) AS fw FROM l3
+  WINDOW p AS (PARTITION BY domain)
+), langs AS (SELECT domain, lang, CASE WHEN full_ THEN capacity ELSE (weight * (budget - fc)) // (a - fw) END AS budget FROM l4
+), s2 AS (
+  SELECT leaf.*, CAST(1 AS BIGINT) AS weight, budget, CAST(coalesce(sum(capacity) OVER o, 0) AS BIGINT) AS c, CAST(coalesce(count(*) OVER o, 0) AS BIGINT) AS w,
+    CAST(count(*) OVER (PARTITION BY domain, lang) AS BIGINT) AS a FROM leaf JOIN langs USING (domain, lang)
+  WINDOW o AS (PARTITION BY domain, lang ORDER BY capacity, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), s3 AS (SELECT *, (budget - c) * weight >= capacity * (a - w) AS full_ FROM s2
+), s4 AS (
+  SELECT *, CAST(coalesce(sum(capacity) FILTER (full_) OVER p, 0) AS BIGINT) AS fc, CAST(coalesce(count(*) FILTER (full_) OVER p, 0) AS BIGINT) AS fw FROM s3
+  WINDOW p AS (PARTITION BY domain, lang)
+), b AS (
+  SELECT domain, lang, source, tokens, CASE WHEN full_ THEN capacity ELSE (weight * (budget - fc)) // (a - fw) END AS budget FROM s4
+), e AS (SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS epochs FROM b
+), k AS (
+  SELECT d.*, epochs, budget - epochs * tokens AS rest, md5('17:' || (epochs + 1) || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+  FROM d JOIN e USING (domain, lang, source)
+), r AS (SELECT *, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY key) AS sofar FROM k)
+SELECT doc_id, domain, lang, source, CAST(epochs + CASE WHEN sofar <= rest THEN 1 ELSE 0 END AS INTEGER) AS copies FROM r
 """,
 }
