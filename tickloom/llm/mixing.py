@@ -120,3 +120,9 @@ def apply(docs: DataFrame, mix: Mix) -> DataFrame:
     # only a leaf whose documents have no tokens has no bound: it is taken once
     more = F.when(F.col("_left_out").isNull() | (key < F.col("_left_out")), 1).otherwise(0)
     return joined.withColumn("_copies", (F.col("_epochs") + more).cast("int")).drop("_epochs", "_left_out")
+
+
+def mixed(docs: DataFrame, mix: Mix) -> DataFrame:
+    """``docs`` in the mix, a row for each time a document is taken."""
+    taken = apply(docs, mix).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import fingerprints, mixing, sharding, simhash, substring_dedup, suffix_dedup, token_counts
+from tickloom.llm import decontamination, fingerprints, mixing, quality, secret_scan, sharding, simhash, substring_dedup, suffix_dedup, token_counts
 from tickloom.llm.common import read_table
 from tickloom.llm.sql import SQL
 
@@ -33,10 +33,24 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), token_counts.read_vocabulary())
 
 
+@query
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with a benchmark passage, and where."""
+    found = decontamination.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.drop("key")
+
+
+@query
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under trusted text, the limit of its language, and the verdict."""
+    judged = quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return judged.drop("key")
+
+
 @query
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
-    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents")).drop("key")
 
 
 @query
@@ -45,6 +59,13 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assignment(read_table(spark, sf_dir, "documents"), sharding.by_source())
 
 
+@query
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in documents that the forest believes, without their values."""
+    found = secret_scan.scan_secrets(read_table(spark, sf_dir, "documents"))
+    return found.withColumn("value_sha256", F.sha2("value", 256)).drop("value")
+
+
 @query
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often every document is in the mix of its source."""

@@ -60,14 +60,15 @@ def simhash(text: str | None, size: int = SHINGLE) -> int:
 
 
 def document_simhashes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (signed 64 bits) of every row."""
+    """doc_id, key (hash of the text) and fp (signed 64 bits) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [sixty_four(simhash(t.as_py(), size)) for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(prints, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], pa.array(prints, pa.int64())], ["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    slim = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), F.col("text").cast("string"))
+    return slim.mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def _ball(bits: int, most: int) -> int:
@@ -147,7 +148,7 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row."""
+    """doc_id, fingerprint (16 hexadecimal digits), component_id and key (hash of the text) of every row."""
     if radius % 2:
         raise ValueError("the radius must be even: half of it is searched from either side")
     prints = stored(document_simhashes(docs, size), "simhashes")
@@ -157,7 +158,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE)
     roots = components(links(named, radius).union(_same_id(prints, nodes)))
     found = named.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     found = stored(found, "simhash-components")
-    return prints.join(found, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(found, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "key")
 
 
 def _same_id(prints: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -165,3 +166,21 @@ def _same_id(prints: DataFrame, nodes: DataFrame) -> DataFrame:
     many = prints.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("doc_id")
     rows = prints.join(many, "doc_id").join(nodes, "fp")
     return rows.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each class: that of the smallest doc_id, and of several such rows one with the smallest text hash.
+
+    Rows without a doc_id are never that document and go where their class has one; a class of such rows alone
+    keeps them all, as nothing tells which is first.
+    """
+    classes = stored(near_duplicates(docs), "near-duplicates")
+    first = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.min("key").alias("key"), F.count("*").alias("n"))
+    chosen = first.select("doc_id", "key").unionByName(classes.where("doc_id IS NULL AND component_id IS NULL").select("doc_id", "key").distinct())
+    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    hit = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_key"))
+    kept = docs.join(chosen, hit, "left_semi")
+    if first.where("n > 1").isEmpty():
+        return kept
+    repeated = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    return repeated.unionByName(kept.where("doc_id IS NULL"))
