@@ -81,12 +81,18 @@ def _count(chunk: int, table: pa.Table, notes: pa.Table) -> pa.Table:
         counts.append(count)
         langs += [name] * len(values)
     size = len(langs)
+    held = np.column_stack([np.full(size, chunk, np.int64), np.concatenate(counts) if counts else np.zeros(0, np.int64)])
     return pa.table({
-        "chunk": pa.array(np.full(size, chunk, np.int64)), "lang": pa.array(langs, pa.string()),
-        "gram": pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64)), "n": pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64)),
+        "lang": pa.array(langs, pa.string()), "gram": pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64)),
+        "held": pa.ListArray.from_arrays(pa.array(np.arange(size + 1, dtype=np.int32) * 2), pa.array(held.ravel())),
     })
 
 
+def _fresh(df: DataFrame) -> DataFrame:
+    """New column ids: a join of two branches of one plan then leaves both as they are, and Spark reuses their common exchange."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def _discounts(level: DataFrame) -> DataFrame:
     """Per language, the discounts of grams seen once, twice and more, from the counts of counts."""
     kinds = level.where("c > 0").groupBy("lang").agg(*[F.sum((F.col("c") == i).cast("long")).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)])
@@ -98,19 +104,19 @@ def _discounts(level: DataFrame) -> DataFrame:
 
 def _interpolate(level: DataFrame, lower: DataFrame | None) -> DataFrame:
     """(lang, gram, p) for a level's grams (lang, gram, c) of w symbols, from the probabilities of w - 1."""
-    discounts = F.broadcast(_discounts(level))  # a row per language code of up to three letters
+    discounts = F.broadcast(_fresh(_discounts(level)))  # a row per language code of up to three letters
     prefix = F.shiftrightunsigned("gram", 16)
     context = level.where("c > 0").groupBy("lang", prefix.alias("prefix")).agg(
         F.sum("c").alias("total"), *[F.sum(test.cast("long")).alias(f"k{i}") for i, test in enumerate((F.col("c") == 1, F.col("c") == 2, F.col("c") >= 3), 1)]
     )
-    joined = level.withColumn("prefix", prefix).join(context, ["lang", "prefix"], "left").join(discounts, "lang", "left")
+    joined = level.withColumn("prefix", prefix).join(_fresh(context), ["lang", "prefix"], "left").join(discounts, "lang", "left")
     off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
     own = F.when(F.col("c") > 0, F.greatest(F.col("c") - off, F.lit(0.0)) / F.col("total")).otherwise(0.0)
     gamma = (F.col("d1") * F.col("k1") + F.col("d2") * F.col("k2") + F.col("d3") * F.col("k3")) / F.col("total")
     if lower is None:  # the context of single symbols is empty: what is left is spread over all symbols and one unseen
         return joined.select("lang", "gram", (own + gamma / (F.col("k1") + F.col("k2") + F.col("k3") + 1)).alias("p"))
     p = F.when(F.col("total").isNull(), F.col("below")).otherwise(own + gamma * F.col("below"))
-    return joined.withColumn("suffix", _suffix(level)).join(lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below")), ["lang", "suffix"]).select("lang", "gram", p.alias("p"))
+    return joined.withColumn("suffix", _suffix(level)).join(lower.select(F.col("lang").alias("lang"), F.col("gram").alias("suffix"), F.col("p").alias("below")), ["lang", "suffix"]).select("lang", "gram", p.alias("p"))
 
 
 def _suffix(level: DataFrame):
@@ -139,8 +145,10 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return pa.table({"doc_id": table["doc_id"], "chunk": pa.array(np.full(n, chunk, np.int64)), "row": pa.array(np.arange(n, dtype=np.int32))})
 
     good = scan_chunks(chunks, places, "doc_id long, chunk long, row int").join(_trusted(labels).where("fold > 0"), "doc_id", "left_semi").select("chunk", "row")
-    grams = scan_with_notes(chunks, good, _count, "chunk long, lang string, gram long, n long").repartition("lang", "gram")
-    logs = grams.select("chunk", "lang", "gram").join(gram_probabilities(grams), ["lang", "gram"]).select("chunk", "lang", "gram", F.log("p").cast("float").alias("logp"))
+    grams = scan_with_notes(chunks, good, _count, "lang string NOT NULL, gram long NOT NULL, held array<long>").repartition("lang", "gram")
+    # chunk and count stay in one column and nothing is null: a pruned column or a null filter would make two exchanges of this one
+    chunk = F.element_at("held", 1).alias("chunk")
+    logs = grams.join(_fresh(gram_probabilities(grams.select("lang", "gram", F.element_at("held", 2).alias("n")))), ["lang", "gram"]).select(chunk, "lang", "gram", F.log("p").cast("float").alias("logp"))
 
     def score(chunk: int, table: pa.Table, notes: pa.Table) -> pa.Table:
         texts = table["text"].to_pylist()
