@@ -83,21 +83,6 @@ def scan_with_notes(chunks: DataFrame, notes: DataFrame, fn: Callable[[int, pa.T
     return chunks.groupBy("chunk").cogroup(notes.groupBy("chunk")).applyInArrow(run, schema)
 
 
-class WordIds(dict):
-    """Word bytes -> 64-bit id, computed once per worker and word."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > MEMO_WORDS:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def sixty_four(value: int) -> int:
     """An unsigned 64-bit value as Spark's signed long."""
     return value - (1 << 64) if value >> 63 else value

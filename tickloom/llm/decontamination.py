@@ -1,6 +1,6 @@
 """Benchmark passages in documents, found by latent semantic retrieval and checked word by word.
 
-Words are weighted by inverse document frequency over all documents (hashed to 2^18 features, counted in each
+Words are weighted by the square of their inverse document frequency over all documents (hashed to 2^18 features, counted in each
 task and summed by feature). The benchmark's TF-IDF passages, in hashed blocks of about 200, each get a randomised
 singular value decomposition in a task of its own; the right singular vectors are the index. Every document
 is cut into overlapping windows of a few lengths, so that a passage lies whole in one that it fills to half
@@ -29,25 +29,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import WordIds
+from tickloom.llm import repeats as R
 
 FEATURES = 1 << 18
 BLOCK_ITEMS = 224
 BLOCKS_PER_SCAN = 8
-COSINE = 0.3
+COSINE = 0.4
 COPIED = 0.8
 PARAPHRASED = 0.5
 SCHEMA = "doc_id long, key long, item_id long, start int, stop int, cosine double, lcs_ratio double, answer_found boolean"
 
 
-class _Words(WordIds):
-    """Ids of words without case and outer punctuation."""
+#: Words are what lies between white space and outer punctuation, without ASCII case.
+_BREAKS = R.WHITE.copy()
+_BREAKS[list(b".,;:!?\"'()[]*|")] = True
+_CASELESS = R.SYMBOLS.copy()
+_CASELESS[65:91] = R.SYMBOLS[97:123]
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        value = self[word] = xxhash.xxh3_64_intdigest(word.decode().lower().strip(".,;:!?\"'()[]*").encode())
-        return value
+def word_ids(text: str | None) -> np.ndarray:
+    return R.word_ids((text or "").encode(), _BREAKS, _CASELESS)
 
 
 def _features(ids: np.ndarray) -> np.ndarray:
@@ -55,15 +56,15 @@ def _features(ids: np.ndarray) -> np.ndarray:
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """log((1 + documents) / (1 + documents with the feature)) + small, for all features."""
+    """Weights of all features: the square of log((1 + documents) / (1 + documents with it)) + 0.05."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, total = _Words(), np.zeros(FEATURES, np.int64), 0
+        counts, total = np.zeros(FEATURES, np.int64), 0
         for batch in batches:
             for text in batch["text"]:
                 total += 1
                 if text.as_py():
-                    counts[np.unique(_features(words.of(text.as_py().encode().split())))] += 1
+                    counts[np.unique(_features(word_ids(text.as_py())))] += 1
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, used].astype(np.int32)), pa.array(np.r_[total, counts[used]])], ["feature", "n"])
 
@@ -73,7 +74,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     total = int(n[feature < 0].sum())
     counts = np.zeros(FEATURES)
     counts[feature[feature >= 0]] = n[feature >= 0]
-    return (np.log((1 + total) / (1 + counts)) + 0.05).astype(np.float32)
+    return ((np.log((1 + total) / (1 + counts)) + 0.05) ** 2).astype(np.float32)
 
 
 @dataclass
@@ -98,7 +99,7 @@ def randomised_svd(rows: np.ndarray, rank: int, seed: int = 7, rounds: int = 2)
 
 
 def _answer(text: str, ids: list[int]) -> list[int]:
-    last = re.split(r"[.!?]\s+", text.strip())[-1].encode().split()
+    last = word_ids(re.split(r"[.!?]\s+", text.strip())[-1])
     return ids[-max(3, len(last)) :] if len(last) < len(ids) else ids[-3:]
 
 
@@ -106,9 +107,9 @@ def fit(items: DataFrame, idf: np.ndarray) -> DataFrame:
     """(block, blob) with the index of every block of (item_id, text)."""
 
     def one(table: pa.Table) -> pa.Table:
-        words, kept = _Words(), []
+        kept = []
         for item, text in sorted(zip(table["item_id"].to_pylist(), table["text"].to_pylist()), key=str):
-            ids = words.of((text or "").encode().split())
+            ids = word_ids(text)
             if len(ids):
                 kept.append((item, ids, _answer(text, ids.tolist())))
         place = np.full(FEATURES, -1, np.int32)
@@ -154,15 +155,47 @@ class Searcher:
     """One worker's search with a list of indexes."""
 
     def __init__(self, indexes: list[Index], idf: np.ndarray, cosine: float = COSINE):
-        self.indexes, self.idf, self.cosine, self.words = indexes, idf.astype(np.float64), cosine, _Words()
+        self.indexes, self.idf, self.cosine = indexes, idf.astype(np.float64), cosine
         self.classes = []
         for index in indexes:
             sizes = np.array([_window_of(len(w)) for _, w, _ in index.items])
-            self.classes.append([(int(s), np.flatnonzero(sizes == s)) for s in np.unique(sizes)])
+            own = [(int(s), np.flatnonzero(sizes == s)) for s in np.unique(sizes)]
+            # a word's share in each product of projections, so that a window's products are sums over its words
+            self.classes.append([(s, which, index.vectors @ index.latent[which].T) for s, which in own])
+
+    @staticmethod
+    def _cosines(products: np.ndarray, place: np.ndarray, weight: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Products of the windows' projections and those of the passages of a length."""
+        known = np.flatnonzero(place >= 0)
+        a, b = np.searchsorted(known, starts), np.searchsorted(known, stops)
+        out = np.zeros((len(starts), products.shape[1]), np.float32)
+        for at in range(0, len(starts), 256):
+            first, last = int(a[at]), int(b[at : at + 256].max())
+            words = known[first:last]
+            rows = np.zeros((len(words) + 1, products.shape[1]), np.float32)
+            np.multiply(products[place[words]], weight[words, None], out=rows[:-1], casting="same_kind")
+            cuts = np.column_stack([a[at : at + 256], b[at : at + 256]]) - first
+            out[at : at + 256] = np.add.reduceat(rows, cuts.ravel())[::2]
+            out[at : at + 256][cuts[:, 0] == cuts[:, 1]] = 0
+        return out
+
+    def _check(self, best: dict, key: tuple[int, int], ids: np.ndarray, a: int, b: int, cosine: float) -> None:
+        """Keeps the window if it holds the passage or a paraphrase with its answer, and is the best so far."""
+        item, words, answer = self.indexes[key[0]].items[key[1]]
+        window = ids[max(0, a - len(words) // 4) : b + len(words) // 4].tolist()
+        ratio = common_words(words, window) / len(words)
+        if ratio < PARAPHRASED:
+            return
+        answered = _contains(window, answer)
+        if ratio < COPIED and not answered:
+            return
+        found = (item, a, b, min(1.0, cosine), ratio, answered)
+        if key not in best or (ratio, found[3], -a) > (best[key][4], best[key][3], -best[key][1]):
+            best[key] = found
 
     def search(self, text: str | None) -> list[tuple]:
         """(item, start, stop, cosine, ratio, answer) of the best window for every item found."""
-        ids = self.words.of((text or "").encode().split())
+        ids = word_ids(text)
         if not len(ids):
             return []
         features = _features(ids)
@@ -172,28 +205,16 @@ class Searcher:
         for number, index in enumerate(self.indexes):
             place = index.place[features]
             inside = np.r_[0, np.cumsum(np.where(place >= 0, weight * weight, 0))]
-            for size, which in self.classes[number]:
+            for size, which, products in self.classes[number]:
                 starts = np.arange(0, max(1, len(ids) - size + size // 4), size // 4)
                 stops = np.minimum(starts + size, len(ids))
                 norm, part = square[stops] - square[starts], inside[stops] - inside[starts]
-                for w in np.flatnonzero(part >= norm * self.cosine**2 / 2):
-                    a, b = int(starts[w]), int(stops[w])
-                    use = place[a:b] >= 0
-                    vector = weight[a:b][use].astype(np.float32) @ index.vectors[place[a:b][use]]
-                    near = index.latent[which] @ vector / np.sqrt(norm[w])
-                    for c in np.flatnonzero(near >= self.cosine):
-                        item, words, answer = index.items[int(which[c])]
-                        window = ids[max(0, a - len(words) // 4) : b + len(words) // 4].tolist()
-                        ratio = common_words(words, window) / len(words)
-                        if ratio < PARAPHRASED:
-                            continue
-                        answered = _contains(window, answer)
-                        if ratio < COPIED and not answered:
-                            continue
-                        key = (number, int(which[c]))
-                        found = (item, a, b, min(1.0, float(near[c])), ratio, answered)
-                        if key not in best or (found[4], found[3], -found[1]) > (best[key][4], best[key][3], -best[key][1]):
-                            best[key] = found
+                live = np.flatnonzero(part >= norm * self.cosine**2)
+                if not len(live):
+                    continue
+                near = self._cosines(products, place, weight, starts[live], stops[live]) / np.sqrt(norm[live])[:, None]
+                for w, c in zip(*np.nonzero(near >= self.cosine)):
+                    self._check(best, (number, int(which[c])), ids, int(starts[live[w]]), int(stops[live[w]]), float(near[w, c]))
         return list(best.values())
 
 

@@ -48,6 +48,23 @@ def rolling(symbols: np.ndarray, length: int, base: int = 0) -> np.ndarray:
     return mix((total[length:] - total[: n - length + 1]) * down[: n - length + 1], base)
 
 
+#: One 64-bit symbol for each byte value.
+SYMBOLS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASES[0]))
+WHITE = np.zeros(256, bool)
+WHITE[[32, 9, 10, 11, 12, 13]] = True
+
+
+def word_ids(data: bytes, separators: np.ndarray = WHITE, symbols: np.ndarray = SYMBOLS) -> np.ndarray:
+    """A 64-bit id of every word: the hash of its bytes' symbols. ``separators`` says for each byte value whether it ends a word."""
+    raw = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero(np.diff(np.r_[True, separators[raw], True].astype(np.int8)))
+    starts, stops = ends[::2], ends[1::2]
+    up, down = _powers(BASES[0], 1 << max(12, len(raw).bit_length()))
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(symbols[raw] * up[: len(raw)], out=total[1:])
+    return mix((total[stops] - total[starts]) * down[starts], 0x2545F491)
+
+
 def anchors(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor place, first window, last window) for the windows of ``width`` consecutive grams."""
     count = len(grams) - width + 1

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +38,6 @@ VARIANTS_PER_TASK = 4_000_000
 
 def shingle_hashes(text: str | None, size: int = SHINGLE) -> list[int]:
     """XXH64 of every shingle of the ASCII-lower-cased words."""
-    import xxhash
-
     words = (text or "").encode().lower().split()  # bytes: only A-Z change, and only \x20 and \x09-\x0D separate
     if not words:
         return []

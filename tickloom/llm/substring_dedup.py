@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import repeats as R
-from tickloom.llm.common import WordIds, pack_chunks, scan_chunks, scan_with_notes, text_bytes
+from tickloom.llm.common import pack_chunks, scan_chunks, scan_with_notes, text_bytes
 
 WINDOW = 50
 LAST_BITS = 64
@@ -43,7 +43,7 @@ def levels(window: int) -> list[int]:
 class _Documents:
     """The windows of a chunk's documents at each level."""
 
-    def __init__(self, table: pa.Table, window: int, words: WordIds):
+    def __init__(self, table: pa.Table, window: int):
         self.texts = table["text"].to_pylist()
         self.ids = table["doc_id"].to_pylist()
         self.window = window
@@ -51,9 +51,9 @@ class _Documents:
         for row, text in enumerate(self.texts):
             if text is None or self.ids[row] is None or len(text) < 2 * window - 1:
                 continue
-            split = text.encode().split()  # bytes.split() cuts at \x20 and \x09-\x0D alone
-            if len(split) >= window:
-                self.symbols[row] = words.of(split)
+            symbols = R.word_ids(text.encode())
+            if len(symbols) >= window:
+                self.symbols[row] = symbols
 
     def first(self, length: int, plan: R.Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """fingerprint, row, first and last window of every anchor."""
@@ -130,21 +130,20 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     plan, lengths = R.Plan(text_bytes(docs)), levels(window)
     half = lengths[-2] if len(lengths) > 1 else window
-    words = WordIds()
     chunks = pack_chunks(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), ["doc_id", "text"])
 
     def first_level(chunk: int, table: pa.Table) -> pa.Table:
-        prints, rows, _, _ = _Documents(table, window, words).first(half, plan)
+        prints, rows, _, _ = _Documents(table, window).first(half, plan)
         return R.runs(chunk, *R.distinct(prints, rows), plan)
 
     def next_level(chunk: int, table: pa.Table, notes: pa.Table) -> pa.Table:
-        found = _Documents(table, window, words)
+        found = _Documents(table, window)
         h, g, ids, _ = found.entries(*found.candidates(half, plan, notes)) if notes.num_rows else (np.zeros(0, np.uint64),) * 4
         rows = [(b, chunk, _run_blob(h[i:j], g[i:j], ids[i:j]), b"") for b, i, j in plan.bucket_slices(h, LAST_BITS)]
         return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("bucket", pa.int32()), ("chunk", pa.int64()), ("run", pa.binary()), ("flags", pa.binary())))})
 
     def remove(chunk: int, table: pa.Table, notes: pa.Table) -> pa.Table:
-        found = _Documents(table, window, words)
+        found = _Documents(table, window)
         gone: dict[int, np.ndarray] = {}
         if notes.num_rows:
             rows, starts = found.candidates(half, plan, notes)
@@ -157,7 +156,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 gone[int(rows[a])] = starts[a:b]
         result: dict[str, list] = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "spans")}
         for row, (doc_id, text) in enumerate(zip(found.ids, found.texts)):
-            split = (text or "").encode().split()
+            split = (text or "").encode().split()  # bytes.split() cuts at \x20 and \x09-\x0D alone
             spans, removed = [], 0
             if row in gone:
                 mask = R.covered(len(split), gone[row], window)

@@ -36,8 +36,6 @@ WINDOW = 50
 GRAM = 20
 HOT_CHUNKS = 20_000
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:int,stop:int>>"
-#: One 64-bit symbol for each byte value.
-SYMBOLS = R.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(R.BASES[0]))
 
 
 class _Items:
@@ -56,7 +54,7 @@ class _Items:
         """fingerprint, row, anchor, first and last window."""
         parts = []
         for row in self.rows:
-            hashed = R.rolling(SYMBOLS[self.bytes_of(row)], self.gram)
+            hashed = R.rolling(R.SYMBOLS[self.bytes_of(row)], self.gram)
             place, low, high = R.anchors(hashed, self.window - self.gram + 1)
             parts.append((plan.prints(hashed[place]), np.full(len(place), row, np.int32), place, low, high))
         if not parts:
@@ -92,7 +90,7 @@ class _Items:
             whole = far[a:b] == 0
             if whole.any() and hot.any():
                 mine = a + np.flatnonzero(whole & (head[a:b] == 0))
-                head[mine] = R.rolling(SYMBOLS[self.bytes_of(int(row[a]))], self.window)[pos[mine]]
+                head[mine] = R.rolling(R.SYMBOLS[self.bytes_of(int(row[a]))], self.window)[pos[mine]]
         # bytes beyond what the windows need don't matter, so that equal needs give equal suffixes
         right[np.arange(self.window) >= (self.window - near)[:, None]] = 0
         left[np.arange(left_width) >= far[:, None]] = 0
@@ -232,7 +230,7 @@ def _merge_range(window: int, gram: int):
         paired = close | np.r_[close[1:], False]
         for o in range(window - gram + 1):
             if o:
-                before = R.mix(before + SYMBOLS[left[:, o - 1]], o)
+                before = R.mix(before + R.SYMBOLS[left[:, o - 1]], o)
             live = np.flatnonzero(paired & (near <= o) & (o <= far))
             if len(live) < 2:
                 continue
