@@ -43,7 +43,7 @@ def pack_chunks(docs: DataFrame, columns: list[str], chunk_bytes: int = CHUNK_BY
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))
         for batch in batches:
             if not batch.num_rows:
                 continue

@@ -20,11 +20,14 @@ an empty result; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm import repeats as R
 from tickloom.llm.common import pack_chunks, scan_chunks, scan_with_notes, stored
 
 ORDER = 4
@@ -135,6 +138,22 @@ def gram_probabilities(grams: DataFrame) -> DataFrame:
     return p
 
 
+def _pack_replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's (chunk, lang, gram, logp) rows as a sorted run for each chunk and language, a fraction of their size."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    names = table["lang"].combine_chunks().dictionary_encode()
+    lang, chunk, gram, logp = names.indices.to_numpy(), table["chunk"].to_numpy(), table["gram"].to_numpy().view(np.uint64), table["logp"].to_numpy(zero_copy_only=False)
+    order = np.lexsort((gram, lang, chunk))
+    lang, chunk, gram, logp = lang[order], chunk[order], gram[order], logp[order].astype(np.float32)
+    first = np.flatnonzero(np.r_[True, (chunk[1:] != chunk[:-1]) | (lang[1:] != lang[:-1])])
+    values = names.dictionary.to_pylist()
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(chunk)]):
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk[a]], pa.int64()), "lang": [values[lang[a]]], "grams": pa.array([R.pack_sorted(gram[a:b])], pa.binary()), "logs": pa.array([logp[a:b].tobytes()], pa.binary())})
+
+
 def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, key (hash of the text), n_chars, nll (sum of negative logarithms; null without a model) of every row."""
     slim = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"), F.xxhash64("text").alias("key"))
@@ -149,15 +168,18 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     # chunk and count stay in one column and nothing is null: a pruned column or a null filter would make two exchanges of this one
     chunk = F.element_at("held", 1).alias("chunk")
     logs = grams.join(_fresh(gram_probabilities(grams.select("lang", "gram", F.element_at("held", 2).alias("n")))), ["lang", "gram"]).select(chunk, "lang", "gram", F.log("p").cast("float").alias("logp"))
+    replies = logs.mapInArrow(_pack_replies, "chunk long, lang string, grams binary, logs binary")
 
     def score(chunk: int, table: pa.Table, notes: pa.Table) -> pa.Table:
         texts = table["text"].to_pylist()
         nll: list[float | None] = [None] * len(texts)
-        note_langs = np.array(notes["lang"].to_pylist(), object)
-        note_grams, note_logs = notes["gram"].to_numpy().view(np.uint64), notes["logp"].to_numpy()
+        given: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for name, grams_blob, logs_blob in zip(*(notes[c].to_pylist() for c in ("lang", "grams", "logs"))):
+            given.setdefault(name, []).append((R.unpack_sorted(grams_blob), np.frombuffer(logs_blob, np.float32)))
         for name, rows in _by_language(table).items():
-            mine = note_langs == name if len(note_langs) else np.zeros(0, bool)
-            g, logp = note_grams[mine], note_logs[mine]
+            parts = given.get(name, [])
+            g = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, np.uint64)
+            logp = np.concatenate([x for _, x in parts]) if parts else np.zeros(0, np.float32)
             order = np.argsort(g)
             g, logp = g[order], logp[order].astype(np.float64)
             if not len(g) or np.isnan(logp).all():
@@ -170,7 +192,7 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
             "n_chars": pa.array([len(t or "") for t in texts], pa.int64()), "nll": pa.array(nll, pa.float64()),
         })
 
-    return scan_with_notes(chunks, logs, score, "doc_id long, lang string, key long, n_chars long, nll double")
+    return scan_with_notes(chunks, replies, score, "doc_id long, lang string, key long, n_chars long, nll double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
