@@ -138,9 +138,9 @@ def report_rows(events: DataFrame, companies: DataFrame, run_date: str, run_id:
 
 def rank_report(rows: DataFrame, include_untradable: bool = True) -> DataFrame:
     kept = rows if include_untradable else rows.where(~F.col("tradeability_status").isin("halted", "limit_locked"))
-    return kept.orderBy(
-        F.col("news_disclosure_score").desc(), F.col("confidence").desc(), F.col("uncertainty_score").asc(), F.col("ticker").desc()
-    )
+    # a report has one row per ticker of the watch list and day, so one task can number it
+    order = Window.orderBy(F.col("news_disclosure_score").desc(), F.col("confidence").desc(), F.col("uncertainty_score").asc(), F.col("ticker").desc())
+    return kept.withColumn("rank", F.row_number().over(order)).orderBy("rank")
 
 
 def heuristic_score(low: Column, source_type: Column, way: Column) -> Column:
@@ -366,7 +366,7 @@ def semantic_clusters(events: DataFrame, key: str = "semantic_key") -> DataFrame
 def failure_causes(events: DataFrame, prefix: str = "semantic_cluster_failed:") -> DataFrame:
     """Counts per failure cause read from prefixed flags."""
     flag_rows = events.select(F.explode("risk_flags").alias("flag")).where(F.col("flag").startswith(prefix))
-    return flag_rows.groupBy(F.substring("flag", len(prefix) + 1, 200).alias("cause")).agg(F.count(F.lit(1)).alias("count"))
+    return flag_rows.groupBy(F.expr(f"substring(flag, {len(prefix) + 1})").alias("cause")).agg(F.count(F.lit(1)).alias("count"))
 
 
 def failure_summary(events: DataFrame, flag: str = "semantic_cluster_failed", degraded_at: float = 0.2) -> DataFrame:

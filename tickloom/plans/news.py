@@ -262,7 +262,7 @@ def scored_events(spark, sf):
     )
     return t.table(spark, sf, "events").select(
         "event_id", F.lpad((F.col("user_id") % 50).cast("string"), 6, "0").alias("ticker"),
-        F.concat(F.lit("c"), e % 700).alias("cluster_id"), ((e * 37 % 201 - 100) / 4.0).alias("impact_score"),
+        F.concat(F.lit("c"), e % 700).alias("cluster_id"), ((e * 37 % 201 - 100) / F.when(e % 41 == 0, 4.0).otherwise(4000.0)).alias("impact_score"),
         (e * 13 % 101 / 100.0).alias("impact_strength"), (e * 7 % 101 / 100.0).alias("confidence"), F.col("event_type"),
         F.col("props").alias("reason"), F.lit("w").alias("why_may_be_wrong"), F.lit(0.0).alias("already_reflected_price_move"),
         F.array_compact(F.array(F.when(e % 2 == 0, F.concat(F.lit("https://e.com/"), e)))).alias("evidence_urls"),
@@ -271,7 +271,7 @@ def scored_events(spark, sf):
 
 
 EVENTS = """
-se AS (SELECT event_id, lpad(CAST(user_id % 50 AS VARCHAR), 6, '0') AS ticker, 'c' || (event_id % 700) AS cluster_id, (event_id * 37 % 201 - 100) / 4.0::DOUBLE AS impact_score,
+se AS (SELECT event_id, lpad(CAST(user_id % 50 AS VARCHAR), 6, '0') AS ticker, 'c' || (event_id % 700) AS cluster_id, (event_id * 37 % 201 - 100) / CASE WHEN event_id % 41 = 0 THEN 4.0::DOUBLE ELSE 4000.0::DOUBLE END AS impact_score,
   (event_id * 13 % 101) / 100.0::DOUBLE AS impact_strength, (event_id * 7 % 101) / 100.0::DOUBLE AS confidence, event_type, props AS reason,
   list_filter([CASE WHEN event_id % 3 = 0 THEN 'thin_source' END, CASE WHEN event_id % 5 = 0 THEN 'semantic_cluster_failed' END, CASE WHEN event_id % 10 = 0 THEN 'semantic_cluster_failed:low_confidence' END,
     CASE WHEN event_id % 15 = 5 THEN 'semantic_cluster_failed:llm_error' END], lambda x: x IS NOT NULL) AS flags FROM events),
@@ -322,11 +322,11 @@ def report_rows(spark, sf):
 
 @query(
     "tk04_report_ranking",
-    f"""WITH {REPORT_SQL} SELECT ticker, {r("score", "news_disclosure_score")} FROM rep ORDER BY score DESC, confidence DESC, unc, ticker DESC LIMIT 20""",
+    f"""WITH {REPORT_SQL} SELECT ticker, {r("score", "news_disclosure_score")}, CAST(row_number() OVER (ORDER BY score DESC, confidence DESC, unc, ticker DESC) AS INTEGER) AS rank FROM rep""",
 )
 def report_ranking(spark, sf):
     rows = impact.report_rows(scored_events(spark, sf), company_table(spark, sf), "2024-01-31", "run-1")
-    return impact.rank_report(rows, include_untradable=False).limit(20).select("ticker", "news_disclosure_score")
+    return impact.rank_report(rows, include_untradable=False).select("ticker", "news_disclosure_score", "rank")
 
 
 @query("fn14_sector_neutral", f"""WITH {EVENTS} SELECT event_id, {r("greatest(least(impact_score * 4 - 0.5::DOUBLE * confidence * 100, 100), -100)", "sector_neutral_score")} FROM se""")
@@ -576,9 +576,27 @@ def context_to_items(spark, sf):
     return out.select("event_id", "ticker", "source_type", "market", "timestamp_source", "receipt_no")
 
 
-@query("fn15_article_extraction")
+def page_text_sql() -> str:
+    """The text of ``html`` in SQL."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    out = "coalesce(html, '')"
+    for pattern in pages.CUTS:
+        out = f"regexp_replace({out}, {quoted(pattern)}, ' ', 'g')"
+    for name, char in pages.REFERENCES * 2:
+        out = f"replace({out}, {quoted(name)}, {quoted(char)})"
+    return f"trim(regexp_replace({out}, {quoted(pages.SPACES)}, ' ', 'g'))"
+
+
+@query(
+    "fn15_article_extraction",
+    f"""WITH p AS (SELECT page_id, {page_text_sql()} AS t FROM pages), j AS (SELECT *, length(t) < {pages.MIN_CHARS} AS short,
+      {" OR ".join(f"contains(lower(t), '{m}')" for m in pages.PAYWALL_MARKERS)} AS blocked FROM p)
+    SELECT page_id, CAST(NOT (short OR blocked) AS INTEGER) AS ok, CASE WHEN short THEN 'article text too short' WHEN blocked THEN 'article appears paywalled or blocked' END AS error,
+      CASE WHEN short THEN 'article_text_too_short;needs_full_text_review' WHEN blocked THEN 'article_fetch_failed;needs_full_text_review' ELSE '' END AS risk_flags,
+      CASE WHEN short OR blocked THEN 0 ELSE length(t) END AS n_chars, md5(CASE WHEN short OR blocked THEN '' ELSE t END) AS text_md5 FROM j""",
+)
 def article_extraction(spark, sf):
-    """Visible text of every page; compared with a second parser in the tests."""
+    """Visible text of every page."""
     out = pages.extract_articles(t.table(spark, sf, "pages"))
     return out.select("page_id", "ok", "error", "risk_flags", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
