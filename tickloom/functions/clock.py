@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from datetime import date
+from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 # Opening and closing time of the regular session, hours ahead of UTC, and
 # the days before the end of the holiday list when a warning starts.
@@ -19,29 +18,42 @@ def local_time(utc: str | Column) -> Column:
     return c + F.make_dt_interval(hours=F.lit(UTC_OFFSET_HOURS))
 
 
-def trading_calendar(spark: SparkSession, first: date, last: date, holidays: Iterable[date] = ()) -> DataFrame:
-    """Every day from ``first`` to ``last`` with its state and the next trading day.
+def is_trading_day(day: Column, holidays: Iterable[date] = ()) -> Column:
+    """Monday to Friday outside ``holidays``, decided for any date on its own."""
+    closed = sorted(set(holidays))
+    open_day = F.weekday(day) < 5
+    return open_day & ~day.isin(*closed) if closed else open_day
+
 
-    The table is as long as the calendar, so its ordered window is small by nature. Ask
-    for a few weeks beyond the last date of the data.
-    """
+def next_trading_day(day: Column, holidays: Iterable[date] = ()) -> Column:
+    """First trading day after ``day``. At most all holidays and a weekend on either side can lie between."""
     closed = sorted(set(holidays))
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(first), F.lit(last))).alias("day"))
-    open_day = F.weekday("day") < 5
-    if closed:
-        open_day = open_day & ~F.col("day").isin(*closed)
-    out = days.withColumn("is_open", open_day)
-    later = Window.orderBy("day").rowsBetween(1, Window.unboundedFollowing)
-    return out.withColumn("next_trading_day", F.min(F.when(F.col("is_open"), F.col("day"))).over(later))
+    days = F.sequence(F.date_add(day, 1), F.date_add(day, _longest_closure(closed) + 1))
+    return F.element_at(F.filter(days, lambda d: is_trading_day(d, closed)), 1)
+
 
+def _longest_closure(closed: list[date]) -> int:
+    """Days of the longest run of weekends and holidays."""
+    shut = set(closed)
+    longest = 2
+    for start in closed:
+        first, last = start - timedelta(days=1), start
+        while first.weekday() > 4 or first in shut:
+            first -= timedelta(days=1)
+        while last.weekday() > 4 or last in shut:
+            last += timedelta(days=1)
+        longest = max(longest, (last - first).days - 1)
+    return longest
 
-def add_session(df: DataFrame, calendar: DataFrame, utc: str = "signal_at") -> DataFrame:
+
+def add_session(df: DataFrame, holidays: Iterable[date] = (), utc: str = "signal_at") -> DataFrame:
     """Session of a time stamp and the day it can be traded on."""
     local = local_time(utc)
+    closed = sorted(set(holidays))
     out = df.withColumns({"day": local.cast("date"), "_time": F.date_format(local, "HH:mm:ss.SSSSSS")})
-    out = out.join(F.broadcast(calendar), "day", "left")  # calendar-bounded
     session = (
-        F.when(~F.col("is_open"), "holiday")
+        F.when(~is_trading_day(F.col("day"), closed), "holiday")
+        .when(F.col("_time").isNull(), F.lit(None))
         .when(F.col("_time") < OPEN_TIME, "pre_market")
         .when(F.col("_time") <= CLOSE_TIME, "regular")
         .otherwise("after_market")
@@ -49,8 +61,8 @@ def add_session(df: DataFrame, calendar: DataFrame, utc: str = "signal_at") -> D
     out = out.withColumn("market_session", session)
     shifted = F.col("market_session").isin("after_market", "holiday")
     return out.withColumn(
-        "effective_trading_day", F.when(shifted, F.col("next_trading_day")).otherwise(F.col("day"))
-    ).drop("_time", "is_open", "next_trading_day")
+        "effective_trading_day", F.when(shifted, next_trading_day(F.col("day"), closed)).otherwise(F.col("day"))
+    ).drop("_time")
 
 
 def calendar_coverage(day: Column, coverage_end: date) -> Column:

@@ -275,13 +275,18 @@ def display_columns(df: DataFrame) -> DataFrame:
 
 
 def impact_with_fallback(predictions: DataFrame, landed: DataFrame | None, context: DataFrame, order: str) -> tuple[DataFrame, dict]:
-    """Landed report rows when any match the predictions' dates, else the rule-based rows."""
-    if landed is not None and not landed.isEmpty():
-        return append_impact(predictions, landed), {"requested_mode": "landed", "actual_mode": "landed", "fallback_used": False}
+    """Landed report rows when any match a prediction's date and ticker, else the rule-based rows and the reason."""
+    if landed is None:
+        requested, reason = "rule", None
+    else:
+        wanted = predictions.select(F.col("Date").alias("_d"), ticker("Symbol").alias("_t")).distinct()
+        hit = (F.to_date("date") == F.col("_d")) & (ticker(F.col("ticker")) == F.col("_t"))
+        if not landed.join(wanted, hit, "left_semi").isEmpty():
+            return append_impact(predictions, landed), {"requested_mode": "landed", "actual_mode": "landed", "fallback_used": False, "fallback_reason": None}
+        requested, reason = "landed", "landed_report_empty" if landed.isEmpty() else "no_landed_row_matches"
     rows = rule_summary(rule_events(restrict_to_predictions(context, predictions), order))
-    requested = "rule" if landed is None else "landed"
     return append_impact(predictions, rows), {
-        "requested_mode": requested, "actual_mode": "rule_based", "fallback_used": landed is not None,
+        "requested_mode": requested, "actual_mode": "rule_based", "fallback_used": landed is not None, "fallback_reason": reason,
     }
 
 

@@ -12,7 +12,7 @@ from tickloom.params import ScreenerParams
 from tickloom.plans.news import EVENTS, REPORT_SQL, TITLES, company_table, scored_events, titles
 from tickloom.plans.policy import LABELS, policy_input
 from tickloom.plans.registry import query
-from tickloom.plans.signals import CAL, calendar
+from tickloom.plans.signals import CAL, HOLIDAYS
 from tickloom.plans.sqltext import BARS, CONTEXT, RETURNS, W, d, il, r
 from tickloom.session import scratch_path
 from tickloom.sources import readers, sinks
@@ -150,7 +150,7 @@ sq AS (SELECT sp.*, CASE WHEN NOT is_open THEN 'holiday' WHEN CAST(ts + INTERVAL
 
 
 def search_news(spark, sf):
-    return readers.search_payload_news(search_responses(spark, sf), calendar(spark))
+    return readers.search_payload_news(search_responses(spark, sf), HOLIDAYS)
 
 
 @query(

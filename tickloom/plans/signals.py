@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
@@ -18,10 +18,6 @@ from tickloom.sources import tables as t
 HOLIDAYS = (date(2024, 1, 1), date(2024, 1, 2), date(2024, 1, 15))
 
 
-def calendar(spark):
-    return clock.trading_calendar(spark, date(2023, 12, 25), date(2024, 3, 1), HOLIDAYS)
-
-
 CAL = """
 cl0 AS (SELECT CAST(unnest(generate_series(DATE '2023-12-25', DATE '2024-03-01', INTERVAL 1 DAY)) AS DATE) AS day),
 cl1 AS (SELECT day, isodow(day) < 6 AND day NOT IN (DATE '2024-01-01', DATE '2024-01-02', DATE '2024-01-15') AS is_open FROM cl0),
@@ -32,7 +28,7 @@ sess AS (SELECT event_id, user_id, value, event_type, ts + INTERVAL 9 HOUR AS k,
 
 def sessions(spark, sf):
     ev = t.table(spark, sf, "events").withColumnRenamed("ts", "signal_at")
-    return clock.add_session(ev, calendar(spark))
+    return clock.add_session(ev, HOLIDAYS)
 
 
 @query("pf31_market_session", f"""WITH {CAL} SELECT event_id, market_session FROM sess""")
@@ -54,10 +50,25 @@ def effective_trading_day(spark, sf):
 )
 def next_business_day(spark, sf):
     ev = t.table(spark, sf, "events").select("event_id", clock.local_time("ts").cast("date").alias("day"))
-    out = ev.join(F.broadcast(calendar(spark)), "day")  # calendar-bounded
+    out = ev.withColumn("next_trading_day", clock.next_trading_day(F.col("day"), HOLIDAYS))
     return out.select("event_id", "next_trading_day", clock.calendar_coverage(F.col("day"), date(2024, 1, 25)).alias("coverage"))
 
 
+@query(
+    "pf33_next_business_day_of_orders",
+    f"""WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders),
+    c AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM o), (SELECT max(day) FROM o) + 30, INTERVAL 1 DAY)) AS DATE) AS c_day),
+    n AS (SELECT c_day, isodow(c_day) < 6 AND NOT (c_day BETWEEN DATE '1995-04-28' AND DATE '1995-05-05') AND c_day <> DATE '1997-12-25' AS is_open FROM c),
+    x AS (SELECT c_day, is_open, min(CASE WHEN is_open THEN c_day END) OVER (ORDER BY c_day ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM n)
+    SELECT o_orderkey, CAST(is_open AS INTEGER) AS is_open, {d("nxt", "next_trading_day")} FROM o JOIN x ON c_day = day""",
+)
+def next_business_day_of_orders(spark, sf):
+    """Seven years of dates, with a week of holidays between two weekends."""
+    closed = [*(date(1995, 4, 28) + timedelta(days=i) for i in range(8)), date(1997, 12, 25)]
+    day = F.col("o_orderdate").cast("date")
+    return t.table(spark, sf, "orders").select("o_orderkey", clock.is_trading_day(day, closed).alias("is_open"), clock.next_trading_day(day, closed).alias("next_trading_day"))
+
+
 @query(
     "pf28_context_date_policy",
     """SELECT o_orderkey, CASE WHEN gap IS NULL THEN 'missing_context_date' WHEN gap > 3 THEN 'context_date_gap_exceeded' END AS reason, CASE WHEN gap <= 3 THEN 1 ELSE 0 END AS allowed FROM (

@@ -6,6 +6,9 @@ are kept with a ``reject_reason`` so that a caller can split valid from rejected
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -185,7 +188,7 @@ def unescaped(c: Column) -> Column:
     return c
 
 
-def search_payload_news(landed: DataFrame, calendar: DataFrame, payload: str = "payload", collected: str = "collected_at") -> DataFrame:
+def search_payload_news(landed: DataFrame, holidays: Iterable[date], payload: str = "payload", collected: str = "collected_at") -> DataFrame:
     """Landed news-search responses as news rows. Times are UTC instants."""
     schema = "items array<struct<title: string, description: string, link: string, originallink: string, pubDate: string>>"
     items = landed.select(
@@ -209,7 +212,7 @@ def search_payload_news(landed: DataFrame, calendar: DataFrame, payload: str = "
         (F.coalesce("url", F.lit("")) == "", "link"), (F.col("published_at").isNull(), "pubDate"),
     )
     out = out.withColumns({"reject_reason": required, "signal_at": F.greatest("published_at", F.col(collected))})
-    return add_session(out, calendar, "signal_at").drop("day")
+    return add_session(out, holidays, "signal_at").drop("day")
 
 
 def korean_news(news: DataFrame) -> DataFrame:
