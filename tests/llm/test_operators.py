@@ -309,6 +309,42 @@ def test_quality_classifier(spark, docs, nothing, sf):
     assert quality.keep_good(docs, labels.where("false")).count() == len(ROWS)  # no trusted text: all stay
 
 
+def test_few_toxic_words_in_good_text_are_enough(spark, sf):
+    draw = random.Random(5)
+    syllables = ["the", "an", "ing", "er", "ou", "re", "st", "on", "ha", "ti"]
+    rows, kinds = [], []
+    for i in range(400):
+        words = ["".join(draw.choices(syllables, k=draw.randint(1, 3))) for _ in range(draw.randint(30, 300))]
+        toxic = i % 4 == 0
+        for _ in range(2 if toxic else 0):
+            words.insert(draw.randrange(len(words)), draw.choice(["zugblim", "kwoffle"]))
+        rows.append((i, "en", " ".join(words)))
+        if i < 300:  # the others are judged without a label
+            kinds.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame(kinds, "doc_id long, quality int, toxic int")
+    judged = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    assert all(judged[i].rejected for i in range(0, 400, 4))
+    assert sum(judged[i].rejected for i in range(400) if i % 4) <= 6
+    assert not any(r.toxic_gain > r.toxic_limit for r in quality.classify(docs, labels.where("toxic = 0")).collect())  # no toxic text
+    both = labels.union(spark.createDataFrame([(i, 1, 0) for i in range(0, 300, 4)], labels.schema))
+    assert not any(r.toxic_gain > r.toxic_limit for r in quality.classify(docs, both).collect())  # conflicting labels train nothing
+
+
+def test_largest_word_matches_brute_force():
+    draw = random.Random(6)
+    for _ in range(200):
+        text = "".join(draw.choices("ab \t\n", k=draw.randint(1, 30)))
+        gains = np.array([draw.randint(-9, 9) for _ in text], float)
+        sums, at = [0.0], 0
+        for i, c in enumerate(text):
+            sums[at] += gains[i]
+            if c in " \t\n" and i + 1 < len(text):
+                sums.append(0.0)
+                at += 1
+        assert quality._largest_word(gains, text) == max(sums)
+
+
 def test_secret_scan(spark, docs, nothing, sf):
     table = spark.read.parquet(f"{sf}/documents.parquet".replace("sf0.001", "sf0.01"))
     found = {(r.doc_id, r.start, r.stop) for r in secret_scan.scan_secrets(table).collect()}

@@ -12,9 +12,15 @@ A document is rejected if its perplexity is above the limit of its language: a h
 perplexities of the trusted documents held out plus ``slack`` times the distance from the median to that quantile. A short text
 counts ``PRIOR`` characters of its language's median besides its own, as few characters say little.
 
+Perplexity is a mean, in which the few words that make a good text toxic are lost. So a second model of the same
+kind is trained on the documents labelled toxic, each of which counts a gram once. A word's gain is the logarithm
+of its probability under this model over that under the trusted one, summed over the grams that toxic documents
+have; a document is also rejected if its largest gain is above ``TOXIC_SLACK`` times the high quantile of the
+trusted documents held out.
+
 Defined cases: a null or empty text has no perplexity and is kept; so is a text of a language without trusted
-text; languages that aren't two or three letters, and null, are one language "other"; a null doc_id is never
-trusted; a doc_id with conflicting labels is not trusted; repeated rows are scored each; an empty table gives
+text, and without toxic text no word has a gain; languages that aren't two or three letters, and null, are one language "other"; a null doc_id is never
+trusted; a doc_id with conflicting labels is neither trusted nor toxic; repeated rows are scored each; an empty table gives
 an empty result; other columns are not read.
 """
 
@@ -36,6 +42,7 @@ CHUNK_BYTES = 8 << 20
 PRIOR = 200
 QUANTILE = 0.99
 SLACK = 1.0
+TOXIC_SLACK = 2.0
 FOLDS = 5
 
 
@@ -61,33 +68,36 @@ def _by_language(table: pa.Table) -> dict[str, list[int]]:
     return out
 
 
-def _trusted(labels: DataFrame) -> DataFrame:
+def _labelled(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic and fold of the documents that train the two models or set their limits."""
     one = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-    return one.agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND t = 0").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).alias("fold"))
+    one = one.agg(F.min("quality").alias("q"), F.min("toxic").alias("least"), F.max("toxic").alias("t"))
+    kinds = one.where("least = 1 OR (q = 1 AND t = 0)")
+    return kinds.select("doc_id", (F.col("t") == 1).alias("toxic"), F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).alias("fold"))
 
 
 def _count(chunk: int, table: pa.Table, notes: pa.Table) -> pa.Table:
     texts = table["text"].to_pylist()
-    trusted = set(notes["row"].to_pylist())
+    kind = dict(zip(notes["row"].to_pylist(), notes["toxic"].to_pylist()))
     chunks, langs, grams, counts = [], [], [], []
     for name, rows in _by_language(table).items():
-        parts = [(grams_of(texts[r]), r in trusted) for r in rows if texts[r]]
+        parts = [(grams_of(texts[r]), kind.get(r)) for r in rows if texts[r]]
         if not parts:
             continue
         values = np.unique(np.concatenate([g for g, _ in parts]))
-        count = np.zeros(len(values), np.int64)
-        good = [g for g, t in parts if t]
-        if good:
-            seen, n = np.unique(np.concatenate(good), return_counts=True)
-            count[np.searchsorted(values, seen)] = n
+        count = np.zeros((len(values), 2), np.int64)
+        for column, used in enumerate(([g for g, t in parts if t is False], [np.unique(g) for g, t in parts if t])):
+            if used:
+                seen, n = np.unique(np.concatenate(used), return_counts=True)
+                count[np.searchsorted(values, seen), column] = n
         grams.append(values.view(np.int64))
         counts.append(count)
         langs += [name] * len(values)
     size = len(langs)
-    held = np.column_stack([np.full(size, chunk, np.int64), np.concatenate(counts) if counts else np.zeros(0, np.int64)])
+    held = np.column_stack([np.full(size, chunk, np.int64), np.concatenate(counts) if counts else np.zeros((0, 2), np.int64)])
     return pa.table({
         "lang": pa.array(langs, pa.string()), "gram": pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64)),
-        "held": pa.ListArray.from_arrays(pa.array(np.arange(size + 1, dtype=np.int32) * 2), pa.array(held.ravel())),
+        "held": pa.ListArray.from_arrays(pa.array(np.arange(size + 1, dtype=np.int32) * 3), pa.array(held.ravel())),
     })
 
 
@@ -126,9 +136,10 @@ def _suffix(level: DataFrame):
     return F.col("gram").bitwiseAND(F.col("mask"))
 
 
-def gram_probabilities(grams: DataFrame) -> DataFrame:
-    """(lang, gram, p) for all distinct grams of (lang, gram, n); n counts a gram in trusted text."""
-    levels = [grams.groupBy("lang", "gram").agg(F.sum("n").alias("c")).withColumn("mask", F.lit((1 << 16 * (ORDER - 1)) - 1))]
+def gram_probabilities(grams: DataFrame, seen_only: bool = False) -> DataFrame:
+    """(lang, gram, p) for all distinct grams of (lang, gram, n), or those with a count; n counts a gram in the training text."""
+    counted = grams.groupBy("lang", "gram").agg(F.sum("n").alias("c"))
+    levels = [(counted.where("c > 0") if seen_only else counted).withColumn("mask", F.lit((1 << 16 * (ORDER - 1)) - 1))]
     for width in range(ORDER - 1, 0, -1):  # continuation counts: how many symbols come before
         above = levels[-1]
         levels.append(above.groupBy("lang", _suffix(above).alias("gram")).agg(F.sum((F.col("c") > 0).cast("long")).alias("c")).withColumn("mask", F.lit((1 << 16 * (width - 1)) - 1)))
@@ -139,23 +150,31 @@ def gram_probabilities(grams: DataFrame) -> DataFrame:
 
 
 def _pack_replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's (chunk, lang, gram, logp) rows as a sorted run for each chunk and language, a fraction of their size."""
+    """A partition's (chunk, lang, gram, logp, gain) rows as a sorted run for each chunk and language, a fraction of their size."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     table = pa.Table.from_batches(held)
     names = table["lang"].combine_chunks().dictionary_encode()
-    lang, chunk, gram, logp = names.indices.to_numpy(), table["chunk"].to_numpy(), table["gram"].to_numpy().view(np.uint64), table["logp"].to_numpy(zero_copy_only=False)
+    lang, chunk, gram = names.indices.to_numpy(), table["chunk"].to_numpy(), table["gram"].to_numpy().view(np.uint64)
+    logp, gain = (table[c].to_numpy(zero_copy_only=False) for c in ("logp", "gain"))
     order = np.lexsort((gram, lang, chunk))
-    lang, chunk, gram, logp = lang[order], chunk[order], gram[order], logp[order].astype(np.float32)
+    lang, chunk, gram, logp, gain = lang[order], chunk[order], gram[order], logp[order].astype(np.float32), gain[order].astype(np.float32)
     first = np.flatnonzero(np.r_[True, (chunk[1:] != chunk[:-1]) | (lang[1:] != lang[:-1])])
     values = names.dictionary.to_pylist()
     for a, b in zip(first.tolist(), [*first[1:].tolist(), len(chunk)]):
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk[a]], pa.int64()), "lang": [values[lang[a]]], "grams": pa.array([R.pack_sorted(gram[a:b])], pa.binary()), "logs": pa.array([logp[a:b].tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk[a]], pa.int64()), "lang": [values[lang[a]]], "grams": pa.array([R.pack_sorted(gram[a:b])], pa.binary()), "logs": pa.array([logp[a:b].tobytes()], pa.binary()), "gains": pa.array([gain[a:b].tobytes()], pa.binary())})
+
+
+def _largest_word(gains: np.ndarray, text: str) -> float:
+    """The largest sum of gains over a word and the white space after it."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    after = np.flatnonzero((codes[:-1] == 32) | ((codes[:-1] >= 9) & (codes[:-1] <= 13))) + 1
+    return float(np.add.reduceat(gains, np.r_[0, after]).max())
 
 
 def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, key (hash of the text), n_chars, nll (sum of negative logarithms; null without a model) of every row."""
+    """doc_id, lang, key (hash of the text), n_chars, nll (sum of negative logarithms; null without a model) and gain (a word's largest) of every row."""
     slim = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"), F.xxhash64("text").alias("key"))
     chunks = pack_chunks(slim, ["doc_id", "lang", "text", "key"], CHUNK_BYTES)
 
@@ -163,50 +182,60 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
         n = table.num_rows
         return pa.table({"doc_id": table["doc_id"], "chunk": pa.array(np.full(n, chunk, np.int64)), "row": pa.array(np.arange(n, dtype=np.int32))})
 
-    good = scan_chunks(chunks, places, "doc_id long, chunk long, row int").join(_trusted(labels).where("fold > 0"), "doc_id", "left_semi").select("chunk", "row")
+    good = scan_chunks(chunks, places, "doc_id long, chunk long, row int").join(_labelled(labels).where("fold > 0"), "doc_id").select("chunk", "row", "toxic")
     grams = scan_with_notes(chunks, good, _count, "lang string NOT NULL, gram long NOT NULL, held array<long>").repartition("lang", "gram")
     # chunk and count stay in one column and nothing is null: a pruned column or a null filter would make two exchanges of this one
     chunk = F.element_at("held", 1).alias("chunk")
-    logs = grams.join(_fresh(gram_probabilities(grams.select("lang", "gram", F.element_at("held", 2).alias("n")))), ["lang", "gram"]).select(chunk, "lang", "gram", F.log("p").cast("float").alias("logp"))
-    replies = logs.mapInArrow(_pack_replies, "chunk long, lang string, grams binary, logs binary")
+    good_p, toxic_p = (gram_probabilities(grams.select("lang", "gram", F.element_at("held", i).alias("n")), seen_only=i == 3) for i in (2, 3))
+    both = _fresh(good_p).join(_fresh(toxic_p).withColumnRenamed("p", "toxic"), ["lang", "gram"], "left")
+    gain = F.coalesce(F.log("toxic") - F.log("p"), F.lit(0.0)).cast("float").alias("gain")
+    logs = grams.join(both, ["lang", "gram"]).select(chunk, "lang", "gram", F.log("p").cast("float").alias("logp"), gain)
+    replies = logs.mapInArrow(_pack_replies, "chunk long, lang string, grams binary, logs binary, gains binary")
 
     def score(chunk: int, table: pa.Table, notes: pa.Table) -> pa.Table:
         texts = table["text"].to_pylist()
         nll: list[float | None] = [None] * len(texts)
-        given: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for name, grams_blob, logs_blob in zip(*(notes[c].to_pylist() for c in ("lang", "grams", "logs"))):
-            given.setdefault(name, []).append((R.unpack_sorted(grams_blob), np.frombuffer(logs_blob, np.float32)))
+        largest: list[float | None] = [None] * len(texts)
+        given: dict[str, list[tuple[np.ndarray, ...]]] = {}
+        for name, grams_blob, *blobs in zip(*(notes[c].to_pylist() for c in ("lang", "grams", "logs", "gains"))):
+            given.setdefault(name, []).append((R.unpack_sorted(grams_blob), *(np.frombuffer(b, np.float32) for b in blobs)))
         for name, rows in _by_language(table).items():
-            parts = given.get(name, [])
-            g = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, np.uint64)
-            logp = np.concatenate([x for _, x in parts]) if parts else np.zeros(0, np.float32)
+            if name not in given:
+                continue
+            g, logp, gain = (np.concatenate(x) for x in zip(*given[name]))
             order = np.argsort(g)
-            g, logp = g[order], logp[order].astype(np.float64)
-            if not len(g) or np.isnan(logp).all():
+            g, logp, gain = g[order], logp[order].astype(np.float64), gain[order].astype(np.float64)
+            if np.isnan(logp).all():
                 continue
             for r in rows:
                 if texts[r]:
-                    nll[r] = float(-logp[np.searchsorted(g, grams_of(texts[r]))].sum())
+                    at = np.searchsorted(g, grams_of(texts[r]))
+                    nll[r] = float(-logp[at].sum())
+                    largest[r] = _largest_word(gain[at], texts[r])
         return pa.table({
             "doc_id": table["doc_id"], "lang": pa.array([_language(x) for x in table["lang"].to_pylist()], pa.string()), "key": table["key"],
-            "n_chars": pa.array([len(t or "") for t in texts], pa.int64()), "nll": pa.array(nll, pa.float64()),
+            "n_chars": pa.array([len(t or "") for t in texts], pa.int64()), "nll": pa.array(nll, pa.float64()), "gain": pa.array(largest, pa.float64()),
         })
 
-    return scan_with_notes(chunks, replies, score, "doc_id long, lang string, key long, n_chars long, nll double")
+    return scan_with_notes(chunks, replies, score, "doc_id long, lang string, key long, n_chars long, nll double, gain double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
-    """doc_id, lang, key, n_chars, perplexity, limit and rejected (boolean) of every row."""
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, toxic_slack: float = TOXIC_SLACK) -> DataFrame:
+    """doc_id, lang, key, n_chars, perplexity, limit, toxic_gain, toxic_limit and rejected (boolean) of every row."""
     scores = stored(perplexities(docs, labels), "perplexities")
-    trusted = scores.join(_trusted(labels).where("fold = 0"), "doc_id", "left_semi").where("nll IS NOT NULL")
+    trusted = scores.join(_labelled(labels).where("fold = 0 AND NOT toxic"), "doc_id", "left_semi").where("nll IS NOT NULL")
     mean = F.col("nll") / F.col("n_chars")
     middle = trusted.groupBy("lang").agg(F.percentile_approx(mean, 0.5, 100_000).alias("middle"))
     shrunk = (F.col("nll") + PRIOR * F.col("middle")) / (F.col("n_chars") + PRIOR)
     middle = F.broadcast(middle)  # a row per language code of up to three letters
-    high = trusted.join(middle, "lang").groupBy("lang").agg(F.percentile_approx(shrunk, quantile, 100_000).alias("high"))
+    high = trusted.join(middle, "lang").groupBy("lang").agg(F.percentile_approx(shrunk, quantile, 100_000).alias("high"), F.percentile_approx("gain", quantile, 100_000).alias("high_gain"))
     judged = scores.join(middle, "lang", "left").join(F.broadcast(high), "lang", "left")
     limit = F.col("high") + slack * (F.col("high") - F.col("middle"))
-    return judged.select("doc_id", "lang", "key", "n_chars", F.exp(shrunk).alias("perplexity"), F.exp(limit).alias("limit"), F.coalesce(shrunk > limit, F.lit(False)).alias("rejected"))
+    toxic_limit = F.col("high_gain") * toxic_slack
+    return judged.select(
+        "doc_id", "lang", "key", "n_chars", F.exp(shrunk).alias("perplexity"), F.exp(limit).alias("limit"), F.col("gain").alias("toxic_gain"), toxic_limit.alias("toxic_limit"),
+        (F.coalesce(shrunk > limit, F.lit(False)) | F.coalesce(F.col("gain") > toxic_limit, F.lit(False))).alias("rejected"),
+    )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
