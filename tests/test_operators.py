@@ -294,10 +294,24 @@ def test_files_round_trip(spark, tmp_path):
     with pytest.raises(ValueError, match="missing required columns"):
         readers.read_bars(spark, str(broken))
     base = bars.drop("ingest_seq").withColumn("tag", F.lit("x"))
-    merged = sinks.merge_bars(base, bars.drop("ingest_seq").where("Volume = 10").withColumn("Close", F.lit("9"))).collect()
+    merged = sinks.merge_bars(base, bars.drop("ingest_seq").where("Volume = 10").withColumn("Close", F.lit("9")), F.col("Close")).collect()
     assert len(merged) == 1 and merged[0].Close == "9" and merged[0].tag == "x"
 
 
+def test_ranks_of_a_missing_group_are_the_same_on_both_plans(spark):
+    rows = [(None, "a", 1.0), (None, "b", 2.0), (None, "c", 2.0), ("d", "e", 1.0), ("d", "f", None)]
+    df = spark.createDataFrame(rows, "g string, s string, v double")
+    plans = {
+        "ordinal": lambda bound: ordinal_rank(df, ["g"], [F.col("v").desc(), F.col("s")], "r", bound),
+        "dense": lambda bound: dense_rank(df, ["g"], "v", "r", group_rows=bound),
+        "average": lambda bound: average_rank(df, ["g"], "v", "r", group_rows=bound),
+    }
+    for name, plan in plans.items():
+        small, sliced = ({x.s: x.r for x in plan(bound).collect()} for bound in (100, None))
+        assert small == sliced, name
+        assert small["a"] is not None and small["c"] is not None
+
+
 def test_impact_scores_of_two_clusters(spark):
     rows = [("A", "c1", 30.0), ("A", "c1", 20.0), ("A", "c2", -10.0), ("A", "c2", -5.0), ("A", "c1", -1.0)]
     out = impact.aggregate_scores(spark.createDataFrame(rows, "ticker string, cluster_id string, impact_score double"), ["ticker"]).first()

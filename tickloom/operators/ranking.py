@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tickloom.operators.skew import salted_lookup
+from tickloom.operators.skew import null_safe_join, salted_lookup
 from tickloom.session import cut_lineage
 
 ROWS_PER_TASK = 5_000_000
@@ -34,7 +34,7 @@ def ordinal_rank(
     sliced, before = _slices(df, group, order, F.count(F.lit(1)))
     keys = [*group, "_slice"]
     local = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    joined = sliced.join(before, keys, "left")
+    joined = null_safe_join(sliced, before, keys)
     return joined.withColumn(name, (local + F.col("_before")).cast("long")).drop("_slice", "_before")
 
 
@@ -45,7 +45,7 @@ def running_total(
     sliced, before = _slices(df, group, order, F.sum(value))
     keys = [*group, "_slice"]
     local = F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    joined = sliced.join(before, keys, "left")
+    joined = null_safe_join(sliced, before, keys)
     return joined.withColumn(name, local + F.col("_before")).drop("_slice", "_before")
 
 
@@ -69,7 +69,7 @@ def dense_rank(
         return df.withColumn(name, F.when(F.col(value).isNotNull(), F.dense_rank().over(w)))
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = ordinal_rank(counts, group, [order], name)
-    return salted_lookup(df, ranked, [*group, value], rows="_n")
+    return salted_lookup(df, ranked, [*group, value], rows="_n", null_safe=True)
 
 
 def percentile_rank(df: DataFrame, value: str, name: str) -> DataFrame:
@@ -102,7 +102,7 @@ def average_rank(
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running_total(counts, [F.col(value).asc()], "_n", "_upto", group)
     lookup = ranked.select(*group, value, "_n", (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(name))
-    return salted_lookup(df, lookup, [*group, value], rows="_n")
+    return salted_lookup(df, lookup, [*group, value], rows="_n", null_safe=True)
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, name: str = "pos") -> DataFrame:

@@ -11,6 +11,8 @@ Rules used across the package:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,14 +32,23 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if bounded(df, rows) else df
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on equal keys, where a missing key equals a missing key; the keys of the left side stay."""
+    rest = [F.col(f"`{c}`") for c in right.columns if c not in keys]
+    named = right.select(*[F.col(f"`{k}`").alias(f"_key_{i}") for i, k in enumerate(keys)], *rest)
+    same = reduce(and_, [F.col(f"`{k}`").eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)])
+    return left.join(named, same, how).drop(*[f"_key_{i}" for i in range(len(keys))])
+
+
 def salted_lookup(
-    left: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left", rows: str | None = None, salts: int = SALTS
+    left: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left", rows: str | None = None, salts: int = SALTS, null_safe: bool = False
 ) -> DataFrame:
     """Join a table that may have hot keys to one with a single row per key.
 
     ``rows`` names a column of the lookup with the number of left rows per key; then only
     keys above ``HOT_ROWS`` are spread (there are at most total / HOT_ROWS of them, so
     their list is broadcast). Without it the lookup is taken as small and spread whole.
+    ``null_safe`` lets a missing key find a missing key.
     """
     cells = F.array(*[F.lit(i) for i in range(salts)])
     seed = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns])
@@ -47,10 +58,11 @@ def salted_lookup(
     else:
         is_hot = F.col(rows) > HOT_ROWS
         hot = F.broadcast(lookup.where(is_hot).select(*keys, F.lit(True).alias("_hot")))
-        marked = left.join(hot, list(keys), "left")
+        marked = null_safe_join(left, hot, keys) if null_safe else left.join(hot, list(keys), "left")
         salted = marked.withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
         spread = lookup.withColumn("_salt", F.explode(F.when(is_hot, cells).otherwise(F.array(F.lit(0))))).drop(rows)
-    return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
+    joined = null_safe_join(salted, spread, [*keys, "_salt"], how) if null_safe else salted.join(spread, [*keys, "_salt"], how)
+    return joined.drop("_salt")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], last: bool = False) -> DataFrame:

@@ -290,13 +290,13 @@ def manifest(spark, sf):
 
 @query(
     "sk03_publish_dates",
-    f"""WITH {BARS} SELECT CAST("Date" AS VARCHAR) AS trading_date, count(*) AS n, sum(CASE WHEN "Date" >= DATE '2001-01-01' THEN 2 ELSE 1 END) AS version_sum FROM bars WHERE "Date" >= DATE '2000-10-01' GROUP BY 1""",
+    f"""WITH {BARS} SELECT CAST(CAST(date_trunc('month', "Date") AS DATE) AS VARCHAR) AS trading_date, count(*) AS n, sum(CASE WHEN "Date" >= DATE '2001-01-01' THEN 2 ELSE 1 END) AS version_sum FROM bars GROUP BY 1""",
 )
 def publish_dates(spark, sf):
-    """Publish a range of dates, republish the newer ones: only those are replaced."""
+    """Publish the bars of every month under its first day, republish the newer ones: only those are replaced."""
     root = scratch_path(spark, "published")
-    bars = t.daily_bars(spark, sf).where(F.col("Date") >= F.lit(date(2000, 10, 1)))
-    rows = bars.select(F.col("Date").alias("trading_date"), "Symbol", F.lit(1).alias("version")).repartition("trading_date")
+    bars = t.daily_bars(spark, sf)
+    rows = bars.select(F.trunc("Date", "month").alias("trading_date"), "Symbol", F.lit(1).alias("version"))
     sinks.publish(rows, root)
     sinks.publish(rows.where(F.col("trading_date") >= F.lit(date(2001, 1, 1))).withColumn("version", F.lit(2)), root)
     back = spark.read.schema("Symbol string, version int, trading_date date").parquet(root)
@@ -321,7 +321,7 @@ def merge_bars(spark, sf):
     bars = t.daily_bars(spark, sf)
     base = bars.where(F.col("Date") < F.lit(date(2001, 1, 1))).withColumn("tag", F.concat(F.lit("x"), F.col("Symbol")))
     fresh = bars.where(F.col("Date") >= F.lit(date(2000, 6, 1))).withColumn("Close", F.col("Close") + 1)
-    return sinks.merge_bars(base, fresh).select("Date", "Symbol", "Close", "tag")
+    return sinks.merge_bars(base, fresh, F.col("Close")).select("Date", "Symbol", "Close", "tag")
 
 
 @query("sk05_incremental_start", f"""WITH {BARS} SELECT CAST(greatest(DATE '1999-01-01', max("Date") + 1) AS VARCHAR) AS fetch_start FROM bars""")

@@ -393,7 +393,7 @@ def semantic_input(spark, sf):
     key = F.to_json(
         F.struct(
             F.concat(F.lit(" Subject "), e % 40).alias("event_subject"), F.col("event_type"),
-            F.when(e % 3 == 0, "N/A").otherwise(F.concat(F.lit("Party-"), e % 7)).alias("counterparty"),
+            F.when(e % 12 == 0, "unknown").when(e % 3 == 0, "N/A").otherwise(F.concat(F.lit("Party-"), e % 7)).alias("counterparty"),
             F.concat(F.lit("Widget "), e % 4, F.lit("gb")).alias("product_or_asset"), F.when(e % 2 == 0, "unknown").otherwise("Deal!").alias("event_action"),
             F.lit("none").alias("event_date"), F.when(e % 11 == 0, "soon").when(e % 5 == 0, "0.4").otherwise("0.9").alias("cluster_confidence"),
         )
@@ -407,14 +407,13 @@ def semantic_input(spark, sf):
 @query(
     "fn13_semantic_clusters",
     f"""WITH {EVENTS}, k AS (SELECT *, CASE WHEN event_id % 13 = 0 THEN 'llm_error' WHEN event_id % 17 = 0 THEN 'missing_required_keys' WHEN event_id % 11 = 0 THEN 'invalid_confidence' WHEN event_id % 5 = 0 THEN 'low_confidence'
-      WHEN event_id % 3 = 0 AND event_id % 2 = 0 THEN 'insufficient_key_fields' END AS why, CASE WHEN event_id % 3 = 0 THEN 'n a' ELSE 'party-' || event_id % 7 END AS party FROM se)
-    SELECT event_id, CASE WHEN event_id % 3 = 0 AND event_id % 2 = 0 AND why IS NULL THEN 'x' WHEN why IS NULL THEN 'cluster-semantic-' || substr(sha1(concat_ws(':', ticker, 'subject ' || event_id % 40, event_type, party, 'widget', CASE WHEN event_id % 2 = 0 THEN 'unknown' ELSE 'deal' END, 'none')), 1, 12) ELSE cluster_id END AS cluster_id,
+      WHEN event_id % 12 = 0 THEN 'insufficient_key_fields' END AS why, CASE WHEN event_id % 3 = 0 THEN 'n a' ELSE 'party-' || event_id % 7 END AS party FROM se)
+    SELECT event_id, CASE WHEN why IS NULL THEN 'cluster-semantic-' || substr(sha1(concat_ws(':', ticker, 'subject ' || event_id % 40, event_type, party, 'widget', CASE WHEN event_id % 2 = 0 THEN 'unknown' ELSE 'deal' END, 'none')), 1, 12) ELSE cluster_id END AS cluster_id,
     concat_ws(';', 'old', CASE WHEN why IS NOT NULL THEN 'semantic_cluster_failed;semantic_cluster_failed:' || why END) AS risk_flags
-    FROM (SELECT * REPLACE (CASE WHEN why = 'insufficient_key_fields' THEN NULL ELSE why END AS why) FROM k WHERE NOT (event_id % 6 = 0)) k""",
+    FROM k""",
 )
 def semantic_clusters(spark, sf):
-    rows = semantic_input(spark, sf).where(F.col("event_id") % 6 != 0)
-    return impact.semantic_clusters(rows).select("event_id", "cluster_id", "risk_flags")
+    return impact.semantic_clusters(semantic_input(spark, sf)).select("event_id", "cluster_id", "risk_flags")
 
 
 # ---------------------------------------------------------------- documents as news

@@ -44,8 +44,9 @@ def manifest(spark: SparkSession, artifacts: dict[str, DataFrame], version: str
 
 
 def publish(df: DataFrame, root: str, trading_date: str = "trading_date") -> None:
-    """Replace only the published dates that are in the frame."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(trading_date).parquet(root)
+    """Replace only the published dates that are in the frame. Rows go by ranges, so a date has few files and a hot one several tasks."""
+    rest = [c for c in df.columns if c != trading_date]
+    df.repartitionByRange(trading_date, *rest[:1]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(trading_date).parquet(root)
 
 
 def publish_index(entries: DataFrame, order: str) -> DataFrame:
@@ -56,20 +57,20 @@ def publish_index(entries: DataFrame, order: str) -> DataFrame:
     return marked.withColumn("is_latest", F.col("_d").isNotNull()).drop("_d")
 
 
-def keep_extras(fresh: DataFrame, base: DataFrame, core=("Date", "Symbol", "Open", "High", "Low", "Close", "Volume"), order: Column | None = None) -> DataFrame:
-    """Carry optional columns of the base table over to refreshed bars."""
+def keep_extras(fresh: DataFrame, base: DataFrame, order: Column, core=("Date", "Symbol", "Open", "High", "Low", "Close", "Volume")) -> DataFrame:
+    """Carry optional columns of the base table over to refreshed bars; of a repeated key, those of the last row in ``order``."""
     extra = [c for c in base.columns if c not in core and c not in fresh.columns]
     if not extra:
         return fresh
-    last = first_per_key(base.select("Date", "Symbol", *extra), ["Date", "Symbol"], [order if order is not None else F.lit(0)], last=True)
+    last = first_per_key(base, ["Date", "Symbol"], [order], last=True).select("Date", "Symbol", *extra)
     return fresh.join(last, ["Date", "Symbol"], "left")
 
 
-def merge_bars(base: DataFrame, fresh: DataFrame, order: Column | None = None) -> DataFrame:
-    """Union of both; a fresh bar replaces the base bar of the same (Date, Symbol)."""
-    rows = keep_extras(fresh, base).withColumn("_batch", F.lit(1))
+def merge_bars(base: DataFrame, fresh: DataFrame, order: Column) -> DataFrame:
+    """Union of both; a fresh bar replaces the base bar of the same (Date, Symbol), and of equals the last in ``order`` stays."""
+    rows = keep_extras(fresh, base, order).withColumn("_batch", F.lit(1))
     both = base.withColumn("_batch", F.lit(0)).unionByName(rows, allowMissingColumns=True)
-    rank = [F.col("_batch"), order if order is not None else F.col("Volume")]
+    rank = [F.col("_batch"), order]
     return first_per_key(both, ["Date", "Symbol"], rank, last=True).drop("_batch")
 
 

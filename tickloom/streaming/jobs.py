@@ -6,7 +6,8 @@ replaced by its key and published partitions are overwritten whole.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -43,9 +44,9 @@ def daily_counts_stream(events: DataFrame, time: str = "signal_at", late: str =
     )
 
 
-def upsert_bars_stream(bars: DataFrame, table: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Newest batch wins per (Date, Symbol). The table is partitioned by month; a batch
-    rewrites only the months it touches."""
+def upsert_bars_stream(bars: DataFrame, table: str, checkpoint: str, order: Column, available_now: bool = True) -> StreamingQuery:
+    """Newest batch wins per (Date, Symbol), and inside a batch the last in ``order``. The table
+    is partitioned by month; a batch reads and rewrites only the months it touches."""
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -54,13 +55,13 @@ def upsert_bars_stream(bars: DataFrame, table: str, checkpoint: str, available_n
         staged = f"{checkpoint.rstrip('/')}-staged/{batch_id}"
         try:
             base = spark.read.parquet(table)
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
+        except AnalysisException as missing:  # no table yet, or one whose first write was never committed
+            if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
             base = fresh.limit(0)
-        touched = fresh.select("month").distinct()
-        old = base.join(F.broadcast(touched), "month", "left_semi")  # months of one batch
-        merge_bars(old.drop("month"), fresh.drop("month")).withColumn("month", F.date_format("Date", "yyyy-MM")).write.mode("overwrite").parquet(staged)
+        touched = [r[0] for r in fresh.select("month").distinct().collect()]  # calendar-bounded; literals prune partitions
+        old = base.where(F.col("month").cast("string").isin(touched))
+        merge_bars(old.drop("month"), fresh.drop("month"), order).withColumn("month", F.date_format("Date", "yyyy-MM")).write.mode("overwrite").parquet(staged)
         spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(table)
 
     writer = bars.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
