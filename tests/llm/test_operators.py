@@ -271,6 +271,31 @@ def test_decontamination(spark, nothing, sf):
     assert want and {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()} == want
 
 
+def test_passages_of_common_words_beside_rare_ones(spark):
+    draw = random.Random(8)
+    common_words = [f"w{i}" for i in range(100)]
+    items = [(i, " ".join(draw.choices(common_words, k=40))) for i in range(30)]
+    items += [(100 + i, " ".join(f"rare{draw.randrange(10**6)}" for _ in range(40))) for i in range(30)]
+    rows = []
+    for i, text in items[:30]:
+        alien = [f"alien{draw.randrange(10**6)}" for _ in range(60)]
+        of_index = draw.choice(items[30:])[1].split()[:15]  # rare words that another passage has, too few for a leak
+        rows += [(i, " ".join([*alien[:30], text, *alien[30:]])), (50 + i, " ".join([*of_index, text, *of_index]))]
+    rows += [(1000 + i, " ".join(draw.choices(common_words, k=300))) for i in range(200)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()}
+    assert found == {(d, i) for d, t in rows for i, x in items if f" {x} " in f" {t} "}
+
+
+def test_all_exact_passages_of_a_larger_table(spark, sf):
+    folder = sf.replace("sf0.001", "sf0.1")
+    docs, bench = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")
+    plain = lambda t: " " + " ".join(re.split(r"[\s.,;:!?\"'()\[\]*|]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))).strip() + " "
+    items = [(r.item_id, plain(r.text)) for r in bench.collect()]
+    want = {(r.doc_id, i) for r in docs.collect() for t in [plain(r.text)] for i, x in items if x in t}
+    assert want and want <= {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()}
+
+
 def test_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(50):

@@ -1,13 +1,14 @@
 """Benchmark passages in documents, found by latent semantic retrieval and checked word by word.
 
-Words are weighted by the square of their inverse document frequency over all documents (hashed to 2^18 features, counted in each
+Words are weighted by their inverse document frequency over all documents (hashed to 2^18 features, counted in each
 task and summed by feature). The benchmark's TF-IDF passages, in hashed blocks of about 200, each get a randomised
 singular value decomposition in a task of its own; the right singular vectors are the index. Every document
 is cut into overlapping windows of a few lengths, so that a passage lies whole in one that it fills to half
-at least. A window's vector is projected and compared with the block's passages by cosine; a window whose
-weight lies outside the index is passed over, as its cosine can't reach the limit. Candidates are checked by
-the longest common subsequence of words: 0.8 of the passage is a leak; 0.5 is a paraphrase if the passage's
-answer, its last sentence, stands in the window unchanged.
+at least. The words that a window shares with a passage bound their longest common subsequence from above; pairs
+that reach half the passage by this count are looked at. The subsequence decides: 0.8 of the passage is a leak,
+whatever the cosine; 0.5 is a paraphrase if the passage's answer, its last sentence, stands in the window unchanged
+and the cosine of the projected window and passage reaches the limit. A window's length counts the words of the
+index only, so that rare words around a passage don't hide it.
 
 The index of a block is about 200 passages x their words x 200 floats; ``BLOCKS_PER_SCAN`` of them
 go to the executors at once, and a larger benchmark takes more scans. Documents are never shuffled.
@@ -37,6 +38,7 @@ BLOCKS_PER_SCAN = 8
 COSINE = 0.4
 COPIED = 0.8
 PARAPHRASED = 0.5
+RANKS = 4  # repetitions of a word in a passage that are told apart when shared words are counted
 SCHEMA = "doc_id long, key long, item_id long, start int, stop int, cosine double, lcs_ratio double, answer_found boolean"
 
 
@@ -56,7 +58,7 @@ def _features(ids: np.ndarray) -> np.ndarray:
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """Weights of all features: the square of log((1 + documents) / (1 + documents with it)) + 0.05."""
+    """Weights of all features: log((1 + documents) / (1 + documents with it)) + 0.05."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, total = np.zeros(FEATURES, np.int64), 0
@@ -74,7 +76,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     total = int(n[feature < 0].sum())
     counts = np.zeros(FEATURES)
     counts[feature[feature >= 0]] = n[feature >= 0]
-    return ((np.log((1 + total) / (1 + counts)) + 0.05) ** 2).astype(np.float32)
+    return (np.log((1 + total) / (1 + counts)) + 0.05).astype(np.float32)
 
 
 @dataclass
@@ -161,7 +163,37 @@ class Searcher:
             sizes = np.array([_window_of(len(w)) for _, w, _ in index.items])
             own = [(int(s), np.flatnonzero(sizes == s)) for s in np.unique(sizes)]
             # a word's share in each product of projections, so that a window's products are sums over its words
-            self.classes.append([(s, which, index.vectors @ index.latent[which].T) for s, which in own])
+            self.classes.append([(s, which, index.vectors @ index.latent[which].T, self._repetitions(index, which)) for s, which in own])
+
+    @staticmethod
+    def _repetitions(index: Index, which: np.ndarray) -> np.ndarray:
+        """For each rank and word of the index (a row), whether the passages (columns) have the word more often than the rank; the last rank stands for all above."""
+        out = np.zeros((RANKS, len(index.vectors), len(which)), np.uint16)
+        for column, item in enumerate(which.tolist()):
+            used, n = np.unique(index.place[_features(np.array(index.items[item][1], np.uint64))], return_counts=True)
+            for rank in range(RANKS):
+                out[rank, used[n > rank], column] = 1
+        return out.reshape(-1, len(which))
+
+    @staticmethod
+    def _shared(repetitions: np.ndarray, place: np.ndarray, step: int, windows: int) -> np.ndarray:
+        """At least the common words of every passage and every window of four steps with a step on either side."""
+        known = np.flatnonzero(place >= 0)
+        width = len(repetitions) // RANKS
+        blocks = -(-len(place) // step)
+        out = np.zeros((max(blocks, windows) + 7, repetitions.shape[1]), np.int32)
+        if len(known):
+            key = known // step * width + place[known]
+            key.sort()
+            at = np.arange(len(key))
+            first = np.r_[True, key[1:] != key[:-1]]
+            rank = np.minimum(at - np.maximum.accumulate(np.where(first, at, 0)), RANKS - 1)
+            block = key // width
+            begins = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+            out[block[begins] + 2] = np.add.reduceat(repetitions[rank * width + key % width], begins)
+        sums = np.cumsum(out, axis=0, out=out)  # row i: blocks up to i - 2
+        start = np.arange(windows)
+        return sums[np.minimum(start + 6, len(sums) - 1)] - sums[start]
 
     @staticmethod
     def _cosines(products: np.ndarray, place: np.ndarray, weight: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -180,14 +212,14 @@ class Searcher:
         return out
 
     def _check(self, best: dict, key: tuple[int, int], ids: np.ndarray, a: int, b: int, cosine: float) -> None:
-        """Keeps the window if it holds the passage or a paraphrase with its answer, and is the best so far."""
+        """Keeps the window if it holds the passage or a near paraphrase with its answer, and is the best so far."""
         item, words, answer = self.indexes[key[0]].items[key[1]]
         window = ids[max(0, a - len(words) // 4) : b + len(words) // 4].tolist()
         ratio = common_words(words, window) / len(words)
         if ratio < PARAPHRASED:
             return
         answered = _contains(window, answer)
-        if ratio < COPIED and not answered:
+        if ratio < COPIED and not (answered and cosine >= self.cosine):
             return
         found = (item, a, b, min(1.0, cosine), ratio, answered)
         if key not in best or (ratio, found[3], -a) > (best[key][4], best[key][3], -best[key][1]):
@@ -200,21 +232,23 @@ class Searcher:
             return []
         features = _features(ids)
         weight = self.idf[features]
-        square = np.r_[0, np.cumsum(weight * weight)]
         best: dict[tuple[int, int], tuple] = {}
         for number, index in enumerate(self.indexes):
             place = index.place[features]
             inside = np.r_[0, np.cumsum(np.where(place >= 0, weight * weight, 0))]
-            for size, which, products in self.classes[number]:
+            for size, which, products, repetitions in self.classes[number]:
                 starts = np.arange(0, max(1, len(ids) - size + size // 4), size // 4)
-                stops = np.minimum(starts + size, len(ids))
-                norm, part = square[stops] - square[starts], inside[stops] - inside[starts]
-                live = np.flatnonzero(part >= norm * self.cosine**2)
+                shared = self._shared(repetitions, place, size // 4, len(starts))
+                lengths = np.array([len(index.items[c][1]) for c in which.tolist()])
+                live = np.flatnonzero((shared >= PARAPHRASED * lengths).any(axis=1))
                 if not len(live):
                     continue
-                near = self._cosines(products, place, weight, starts[live], stops[live]) / np.sqrt(norm[live])[:, None]
-                for w, c in zip(*np.nonzero(near >= self.cosine)):
-                    self._check(best, (number, int(which[c])), ids, int(starts[live[w]]), int(stops[live[w]]), float(near[w, c]))
+                starts, shared = starts[live], shared[live]
+                stops = np.minimum(starts + size, len(ids))
+                norm = np.maximum(inside[stops] - inside[starts], 1e-9)
+                near = self._cosines(products, place, weight, starts, stops) / np.sqrt(norm)[:, None]
+                for w, c in zip(*np.nonzero((shared >= COPIED * lengths) | (shared >= PARAPHRASED * lengths) & (near >= self.cosine))):
+                    self._check(best, (number, int(which[c])), ids, int(starts[w]), int(stops[w]), float(near[w, c]))
         return list(best.values())
 
 
