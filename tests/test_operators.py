@@ -1,6 +1,8 @@
 """Hand-made value tests and brute-force comparisons on small frames."""
 
 import difflib
+import html
+import html.entities
 import math
 import random
 import re
@@ -280,6 +282,18 @@ def test_article_text_skips_hidden_elements(spark):
     assert got[2].risk_flags[0] == "article_text_too_short" and got[3].risk_flags[0] == "article_fetch_failed" and got[3].text == ""
 
 
+def test_all_character_references_are_resolved(spark):
+    names = "".join(f"a&{n}b " for n in html.entities.html5)
+    numbers = [*range(0x250), 0x2028, 0xD7FF, 0xD800, 0xDFFF, 0xFDD0, 0xFEFF, 0xFFFD, 0xFFFE, 0x1F600, 0x1FFFF, 0x10FFFF, 0x110000, 10**9, 2**70]
+    texts = [names, *(f"x&#{n};y&#x{n:x} z&#X00{n:X};&#{n}" for n in numbers), "&ndash;&eacute;&#8217;&#54620;&hellip;&notit;&notin;&nosuch;&;& &#;&#x;&#xg &&amp;lt; a&b=1&copy=2 &", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.u for r in rows.select("i", pages.unescape(F.col("t")).alias("u")).collect()}
+    assert got == {i: t if t is None else html.unescape(t) for i, t in enumerate(texts)}
+    body = "caf&eacute; &amp;ndash; &#54620;&emsp;&#x2003;&hellip; " + "word " * 60 + "&#44396;&#46021; &#54980;"
+    page = pages.extract_articles(spark.createDataFrame([(1, body), (2, body[:-25])], "page_id int, html string")).orderBy("page_id").collect()
+    assert page[0].risk_flags[0] == "article_fetch_failed" and page[1].text.startswith("café – 한 … word")
+
+
 def test_files_round_trip(spark, tmp_path):
     path = tmp_path / "bars.csv"
     path.write_text("﻿Date,Symbol,Open,High,Low,Close,Volume\n2024-01-02,005930,1,2,1,2,10\n2024-01-02,005930,1,2,1,2,30\n", encoding="utf-8")
