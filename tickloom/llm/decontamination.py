@@ -5,7 +5,7 @@ task and summed by feature). The benchmark's TF-IDF passages, in hashed blocks o
 singular value decomposition in a task of its own; the right singular vectors are the index. Every document
 is cut into overlapping windows of a few lengths, so that a passage lies whole in one that it fills to half
 at least. The words that a window shares with a passage bound their longest common subsequence from above; pairs
-that reach half the passage by this count are looked at. The subsequence decides: 0.8 of the passage is a leak,
+that reach 0.8 of the passage by this count, or half where its answer may be in the document, are looked at. The subsequence decides: 0.8 of the passage is a leak,
 whatever the cosine; 0.5 is a paraphrase if the passage's answer, its last sentence, stands in the window unchanged
 and the cosine of the projected window and passage reaches the limit. A window's length counts the words of the
 index only, so that rare words around a passage don't hide it.
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import pickle
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -153,12 +154,21 @@ def _window_of(length: int) -> int:
     return max(16, 1 << (-(-4 * length // 3) - 1).bit_length())
 
 
+def _threes(ids: np.ndarray) -> np.ndarray:
+    """A value of every three words in a row, equal for equal words."""
+    return (ids[:-2] * np.uint64(3) + ids[1:-1]) * np.uint64(5) + ids[2:]
+
+
 class Searcher:
     """One worker's search with a list of indexes."""
 
     def __init__(self, indexes: list[Index], idf: np.ndarray, cosine: float = COSINE):
         self.indexes, self.idf, self.cosine = indexes, idf.astype(np.float64), cosine
         self.classes = []
+        self.counts = [[Counter(words) for _, words, _ in index.items] for index in indexes]
+        self.lengths = [np.array([len(words) for _, words, _ in index.items]) for index in indexes]
+        self.answers = [np.array([_threes(np.array((a + [0, 0])[:3], np.uint64))[0] for _, _, a in index.items]) for index in indexes]
+        self.short = [np.array([len(a) < 3 for _, _, a in index.items]) for index in indexes]
         for index in indexes:
             sizes = np.array([_window_of(len(w)) for _, w, _ in index.items])
             own = [(int(s), np.flatnonzero(sizes == s)) for s in np.unique(sizes)]
@@ -211,15 +221,19 @@ class Searcher:
             out[at : at + 256][cuts[:, 0] == cuts[:, 1]] = 0
         return out
 
-    def _check(self, best: dict, key: tuple[int, int], ids: np.ndarray, a: int, b: int, cosine: float) -> None:
+    def _check(self, best: dict, key: tuple[int, int], ids: np.ndarray, a: int, b: int, cosine: float, held: Counter) -> None:
         """Keeps the window if it holds the passage or a near paraphrase with its answer, and is the best so far."""
         item, words, answer = self.indexes[key[0]].items[key[1]]
+        most = sum(min(n, held[w]) for w, n in self.counts[key[0]][key[1]].items() if w in held)
+        if most < PARAPHRASED * len(words):
+            return
         window = ids[max(0, a - len(words) // 4) : b + len(words) // 4].tolist()
-        ratio = common_words(words, window) / len(words)
-        if ratio < PARAPHRASED:
+        answered = answer[0] in held and _contains(window, answer)
+        least = PARAPHRASED if answered and cosine >= self.cosine else COPIED
+        if most < least * len(words):
             return
-        answered = _contains(window, answer)
-        if ratio < COPIED and not (answered and cosine >= self.cosine):
+        ratio = common_words(words, window) / len(words)
+        if ratio < least:
             return
         found = (item, a, b, min(1.0, cosine), ratio, answered)
         if key not in best or (ratio, found[3], -a) > (best[key][4], best[key][3], -best[key][1]):
@@ -232,23 +246,30 @@ class Searcher:
             return []
         features = _features(ids)
         weight = self.idf[features]
+        threes = _threes(ids)
         best: dict[tuple[int, int], tuple] = {}
         for number, index in enumerate(self.indexes):
             place = index.place[features]
+            answered = np.isin(self.answers[number], threes) | self.short[number]  # False: the answer is surely not in the document
             inside = np.r_[0, np.cumsum(np.where(place >= 0, weight * weight, 0))]
             for size, which, products, repetitions in self.classes[number]:
                 starts = np.arange(0, max(1, len(ids) - size + size // 4), size // 4)
                 shared = self._shared(repetitions, place, size // 4, len(starts))
-                lengths = np.array([len(index.items[c][1]) for c in which.tolist()])
-                live = np.flatnonzero((shared >= PARAPHRASED * lengths).any(axis=1))
+                lengths = self.lengths[number][which]
+                least = np.where(answered[which], PARAPHRASED, COPIED) * lengths
+                live = np.flatnonzero((shared >= least).any(axis=1))
                 if not len(live):
                     continue
                 starts, shared = starts[live], shared[live]
                 stops = np.minimum(starts + size, len(ids))
                 norm = np.maximum(inside[stops] - inside[starts], 1e-9)
                 near = self._cosines(products, place, weight, starts, stops) / np.sqrt(norm)[:, None]
-                for w, c in zip(*np.nonzero((shared >= COPIED * lengths) | (shared >= PARAPHRASED * lengths) & (near >= self.cosine))):
-                    self._check(best, (number, int(which[c])), ids, int(starts[w]), int(stops[w]), float(near[w, c]))
+                last, held = -1, Counter()
+                for w, c in zip(*(x.tolist() for x in np.nonzero((shared >= COPIED * lengths) | (shared >= least) & (near >= self.cosine)))):
+                    a, b = int(starts[w]), int(stops[w])
+                    if w != last:  # the words of the window with a step on either side, as much as any passage's check takes
+                        last, held = w, Counter(ids[max(0, a - size // 4) : b + size // 4].tolist())
+                    self._check(best, (number, int(which[c])), ids, a, b, float(near[w, c]), held)
         return list(best.values())
 
 
