@@ -1,11 +1,11 @@
-"""Word windows that repeat across documents, found by level-wise doubling, and removed.
+"""Word windows that repeat across documents, found by one doubling, and removed.
 
-The first level looks at short windows, one chosen (anchor) in every full window; the next level extends the
-anchors that repeat, and only those, to twice the length, and so on to the full window. A level without
-candidates ends the search: nothing of it is shuffled. The last level keeps, for every window, the smallest
-document that holds it.
+The first level looks at windows of half the length, one chosen (anchor) in every full window; the second
+extends the anchors that repeat, and only those, to the full window. There are these two levels whatever the
+window: shorter ones that ``levels`` lists for windows above 50 words are not looked at, and a first level without
+candidates leaves the second without rows. The last level keeps, for every window, the smallest document that holds it.
 
-Shuffles: the chunks once (all levels reuse that exchange), sorted runs of fingerprints for the first level,
+Shuffles: the chunks once (both levels reuse that exchange), sorted runs of fingerprints for the first level,
 sorted runs of 96-bit hashes with the smallest document for the last, and marks back to the chunks. A run has
 every window once, so hot passages and groups of copies cost one entry per chunk.
 
@@ -33,7 +33,7 @@ SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_te
 
 
 def levels(window: int) -> list[int]:
-    """Window lengths from the first level to the last, each twice the one before at most."""
+    """Window lengths of a full doubling, each twice the one before at most; ``repeated_windows`` uses the last two."""
     out = [window]
     while out[0] > 25:
         out.insert(0, -(-out[0] // 2))
