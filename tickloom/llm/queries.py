@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontamination, fingerprints, mixing, quality, secret_scan, sharding, simhash, substring_dedup, suffix_dedup, token_counts
+from tickloom.llm import decontamination, fingerprints, mixing, quality, secret_scan, sharding, simhash, substring_dedup, suffix_dedup, token_counts, token_files
 from tickloom.llm.common import read_table
 from tickloom.llm.sql import SQL
+from tickloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = dict(SQL)
@@ -84,3 +85,11 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes left after every repeated string of 50 bytes was removed from the later documents."""
     found = suffix_dedup.repeated_bytes(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read back from the written files."""
+    folder = scratch_path(spark, "tokens")
+    token_files.write_tokens(read_table(spark, sf_dir, "documents"), folder)
+    return token_files.digests(spark, folder)
