@@ -29,6 +29,6 @@ def test_queries_match_sql(spark, sf, name):
     assert ok, text
 
 
-@pytest.mark.parametrize("number", range(1, 11))
+@pytest.mark.parametrize("number", range(1, 14))
 def test_each_operator_has_a_query(number):
     assert sum(q.startswith(f"op{number}_") for q in QUERIES) == 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontamination, fingerprints, mixing, quality, secret_scan, sharding, simhash, substring_dedup, suffix_dedup, token_counts, token_files
+from tickloom.llm import decontamination, fingerprints, hard_negatives, lexical_search, mixing, quality, secret_scan, sharding, simhash, substring_dedup, suffix_dedup, token_counts, token_files
 from tickloom.llm.common import read_table
 from tickloom.llm.sql import SQL
 from tickloom.session import scratch_path
@@ -87,6 +87,18 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives for each of the five positives of every anchor."""
+    return hard_negatives.mine(read_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, length and checksum of every document's ids, read back from the written files."""
