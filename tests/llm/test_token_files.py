@@ -51,7 +51,9 @@ def test_pieces_give_the_ids_of_whole_texts(spark, sf):
     assert encoder.cuts
     texts = [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()] + [t or "" for _, t in ROWS]
     for _ in range(2):  # with an empty memo and a full one
-        assert all(encoder.ids(t) == encoder.whole(t) for t in texts)
+        assert encoder.many(texts) == [encoder.whole(t) for t in texts]
+    odd = ["a b", "a b", "　 a", "é b\nñ c", "a\n\n b", "a\n b", "\na", "a\n", " a", "a ", "a\u2003 b", "×\n÷", "a\x85 b", "日 本\n日", "😀 😀\n😀x", "it's \n's", "", "\n", " "]
+    assert encoder.many(odd) == [encoder.whole(t) for t in odd]
 
 
 def test_dictionary_is_shared_hashed_and_helps(spark, sf):

@@ -15,7 +15,7 @@ dictionary gives them; it is trained on the serialized ids of ``SAMPLE_DOCS`` do
 ``SAMPLE_TEXT_BYTES`` of text, those with the smallest hashes (a bounded sample, the same at any partitioning).
 
 Texts are dealt by ranges of doc_id, sorted (spilling if need be), encoded and packed in one pass. Where a
-tokenizer cuts at every space that follows a visible ASCII character, the pieces between are looked up in a
+tokenizer cuts at spaces, lone line ends and punctuation after letters, the pieces between are looked up in a
 worker's bounded memo first; any other tokenizer encodes whole texts. Both give the same ids.
 
 Defined cases: a null text is empty and has the end id alone; null ids come first; rows with equal ids are written
@@ -39,6 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickloom.llm import repeats as R
 from tickloom.llm.common import MEMO_WORDS
 
 END_ID = 2
@@ -47,7 +48,9 @@ SAMPLE_DOCS, SAMPLE_TEXT_BYTES = 1000, 8192
 DICTIONARY_BYTES = 32 << 10
 LEVEL = 3
 MEMO_LENGTH = 64  # longer pieces are encoded each time
-_CUT = re.compile(r"(?<=[!-~])(?= )")
+BLOCK_BYTES = 4 << 20
+PIECES_AT_ONCE = 300
+_PLAIN = re.compile(r" ?[!-~\w](?:[^\n]*[!-~\w])?")  # at most one space, then a letter, digit or visible ASCII; such a character ends it
 DICTIONARY_SCHEMA = "dictionary binary, dictionary_sha256 string, id_bytes int"
 PACK_SCHEMA = (
     "part int, pack int, part_start long, n_ids long, first_id long, last_id long, "
@@ -61,6 +64,34 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+_MARKS = np.array([32 < c < 127 and not chr(c).isalnum() for c in range(256)])
+_LETTERS = np.array([c < 128 and chr(c).isalpha() for c in range(256)])
+
+
+def piece_starts(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Where the pieces of joined UTF-8 texts start; ``texts`` has the start of each text that isn't empty.
+
+    A piece starts before a space, and on both sides of a line end, that stands alone after a character that surely
+    isn't white space (and, for a line end, before one); and before ASCII punctuation after a Latin letter.
+    """
+    b = np.r_[np.full(4, 32, np.uint8), data, np.full(1, 32, np.uint8)]  # b[i + 4] is data[i]
+    at = np.flatnonzero((data == 32) | (data == 10)) + 4
+    one, two, three, four = (b[at - k] for k in (1, 2, 3, 4))
+    inner = lambda x: (x & 0xC0) == 0x80
+    solid = (one > 32) & (one < 127)  # ASCII; then characters of two, three and four bytes, but for those ranges that have white space
+    solid |= inner(one) & ((two >= 0xC3) & (two <= 0xDF) | inner(two) & ((three >= 0xE4) & (three <= 0xEF) | inner(three) & (four >= 0xF0)))
+    first = np.zeros(len(b), bool)
+    first[texts + 4] = True
+    solid &= ~first[at]
+    following = b[at + 1]
+    line = solid & (b[at] == 10) & ((following > 32) & (following < 127) | (following >= 0xC3) & ((following < 0xE1) | (following > 0xE3))) & ~first[at + 1]
+    marks = np.flatnonzero(_MARKS[data]) + 4
+    one, two = b[marks - 1], b[marks - 2]
+    letter = _LETTERS[one] | inner(one) & ((two == 0xC3) & (one != 0x97) & (one != 0xB7) | (two == 0xC4) | (two == 0xC5))
+    starts = np.sort(np.concatenate([texts, at[solid & (b[at] == 32)] - 4, at[line] - 4, at[line] - 3, marks[letter & ~first[marks]] - 4]))
+    return starts[np.r_[True, starts[1:] != starts[:-1]]]
+
+
 class Encoder:
     """Text to ids, through the tokenizers library, in one worker."""
 
@@ -70,38 +101,94 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cuts = _cuts_at_spaces(json.loads(self.tokenizer.to_str()))
-        self.memo: dict[str, bytes] = {}
+        line, two = self._encode("\n"), self._encode("a\n b")
+        spec = json.loads(self.tokenizer.to_str())
+        self.cuts = _cuts_at_spaces(spec) and len(line) == 1 and two == self._encode("a") + line + self._encode(" b")
+        self.line = line[0] if self.cuts else None
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def ids(self, text: str) -> bytes:
-        """The serialized ids of a text."""
-        pieces = _CUT.split(text) if self.cuts else [text]
-        if len(pieces) < 4:
-            return self.whole(text)
-        middle = pieces[1:-1]  # each begins with a space and ends in a visible character: they may stand in any order
-        found = {p: self.memo.get(p) for p in middle}
-        if missing := [p for p, ids in found.items() if ids is None]:
-            if len(self.memo) > MEMO_WORDS // 4:
-                self.memo.clear()
-            fresh = dict(zip(missing, self._each(missing)))
-            found.update(fresh)
-            self.memo.update((p, ids) for p, ids in fresh.items() if len(p) <= MEMO_LENGTH)
-        return b"".join([self.whole(pieces[0]), *[found[p] for p in middle], self.whole(pieces[-1])])
-
-    def _each(self, pieces: list[str]) -> Iterator[bytes]:
-        """The ids of each piece, from one call on all of them in a row."""
-        encoded = self.tokenizer.encode("".join(pieces), add_special_tokens=False)
-        ids = np.array(encoded.ids, self.kind)
-        starts = np.cumsum([0, *map(len, pieces)])
-        cuts = np.searchsorted([a for a, _ in encoded.offsets], starts)
-        return (ids[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+        return np.array(self._encode(text), self.kind).tobytes()
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The serialized ids of each text."""
+        whole = [not self.cuts or any(s in t for s in self.special) for t in texts]
+        coded = [t.encode() for t, alone in zip(texts, whole) if not alone]
+        rest = iter([ids for block in _blocks(coded) for ids in self._block(block)])
+        return [self.whole(t) if alone else next(rest) for t, alone in zip(texts, whole)]
+
+    def _block(self, coded: list[bytes]) -> list[bytes]:
+        """Texts of about ``BLOCK_BYTES``: each distinct piece is looked up or encoded once."""
+        raw, sizes = b"".join(coded), np.array([len(c) for c in coded])
+        data, ends = np.frombuffer(raw, np.uint8), np.cumsum(sizes)
+        if not len(data):
+            return [b""] * len(coded)
+        starts = piece_starts(data, (ends - sizes)[sizes > 0])
+        stops = np.r_[starts[1:], len(data)]
+        names = R.span_ids(data, starts, stops) ^ (stops - starts).astype(np.uint64)
+        _, where, back = np.unique(names, return_index=True, return_inverse=True)
+        distinct = [raw[a:z] for a, z in zip(starts[where].tolist(), stops[where].tolist())]
+        if not np.array_equal(_gather(np.frombuffer(b"".join(distinct), np.uint8), np.array([len(d) for d in distinct]), back), data):
+            return [self.whole(c.decode()) for c in coded]  # two pieces with one hash
+        found = self._look_up(distinct)
+        width = self.kind.itemsize
+        counts = np.array([len(f) // width for f in found])
+        ids = _gather(np.frombuffer(b"".join(found), self.kind), counts, back)
+        cuts = np.r_[0, np.cumsum(counts[back])][np.searchsorted(starts, np.r_[0, ends])].tolist()
+        return [ids[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:])]
+
+    def _look_up(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pieces. Those in use move to the young half of the memo; when it is full, the old half goes."""
+        found = list(map(self.young.get, pieces))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        fresh = {p: ids for p in (pieces[i] for i in missing) if (ids := self.old.get(p)) is not None}
+        rest = {p: p.decode() for p in (pieces[i] for i in missing) if p not in fresh}
+        plain = [p for p, text in rest.items() if _PLAIN.fullmatch(text)]
+        if plain:  # in lines, as a line end after a piece is a token of its own and changes nothing before or after it
+            lines = ["".join([rest[p] + "\n" for p in plain[i : i + PIECES_AT_ONCE]]) for i in range(0, len(plain), PIECES_AT_ONCE)]
+            ids = np.concatenate([np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+            ends = np.flatnonzero(ids == self.line).tolist()
+            raw, width = ids.tobytes(), self.kind.itemsize
+            fresh.update(zip(plain, [raw[a * width : z * width] for a, z in zip([0, *(e + 1 for e in ends)], ends)]))
+        fresh.update((p, self.whole(text)) for p, text in rest.items() if p not in fresh)
+        for i in missing:
+            found[i] = fresh[pieces[i]]
+        if len(self.young) > MEMO_WORDS // 4:
+            self.old, self.young = self.young, {}
+        self.young.update(fresh if max(map(len, fresh), default=0) <= MEMO_LENGTH else {p: ids for p, ids in fresh.items() if len(p) <= MEMO_LENGTH})
+        return found
+
+
+def _blocks(coded: list[bytes]) -> Iterator[list[bytes]]:
+    block, size = [], 0
+    for text in coded:
+        if block and size + len(text) > BLOCK_BYTES:
+            yield block
+            block, size = [], 0
+        block.append(text)
+        size += len(text)
+    if block:
+        yield block
+
+
+def _gather(values: np.ndarray, sizes: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` (of these sizes) in the order ``back``."""
+    sizes = sizes.astype(np.int32)
+    begins = np.cumsum(sizes, dtype=np.int32) - sizes
+    took = sizes[back]
+    ends = np.cumsum(took, dtype=np.int32)
+    at = np.repeat(begins[back] - (ends - took), took)
+    at += np.arange(len(at), dtype=np.int32)
+    return values[at]
 
 
 def _cuts_at_spaces(spec: dict) -> bool:
-    """Whether the ids of a text are those of its pieces between spaces that follow visible characters."""
+    """Whether the ids of a text are those of its pieces cut there."""
     before = spec["pre_tokenizer"] or {}
     plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and not re.search(r"\s", t["content"]) for t in spec["added_tokens"])
     return bool(plain and spec["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec["model"].get("dropout"))
@@ -128,7 +215,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFr
         end = np.array([end_id], encoder.kind).tobytes()
         texts = sorted(t for batch in batches for t in batch["text"].to_pylist())
         try:
-            found = zstandard.train_dictionary(DICTIONARY_BYTES, [encoder.ids(t) + end for t in texts]).as_bytes()
+            found = zstandard.train_dictionary(DICTIONARY_BYTES, [ids + end for ids in encoder.many(texts)]).as_bytes()
         except (zstandard.ZstdError, ValueError):  # too little to learn from
             found = b""
         yield pa.RecordBatch.from_pydict({"dictionary": [found], "dictionary_sha256": [hashlib.sha256(found).hexdigest()], "id_bytes": pa.array([encoder.kind.itemsize], pa.int32())})
@@ -172,11 +259,10 @@ def encode_packs(docs: DataFrame, path: str, dictionary: bytes, end_id: int = EN
 
         size = 0
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                ids = encoder.ids(text.as_py()) + end
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.many(batch["text"].to_pylist())):
                 doc_ids.append(doc_id)
-                frames.append(compressor.compress(ids))
-                lengths.append(len(ids) // width)
+                frames.append(compressor.compress(ids + end))
+                lengths.append(len(ids) // width + 1)
                 size += lengths[-1]
                 if size >= pack_ids:
                     yield flush()
