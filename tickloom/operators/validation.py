@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tickloom.operators.metrics import calibration_metrics, pearson
+from tickloom.operators.metrics import calibration_metrics
+from tickloom.operators.quantiles import exact_quantiles
 from tickloom.operators.ranking import average_rank, ordinal_rank
 from tickloom.params import FoldParams, TuningParams
 from tickloom.session import cut_lineage
 
 PREDICTIONS = ["predicted_return", "up_probability", "quantile_low", "quantile_mid", "quantile_high"]
 TARGETS = ["target_log_return", "target_up"]
+SCORE_BUCKETS, SPAN_SKETCH = 256, 1000
 WINDOW_BOUNDS = ["train_start", "train_end", "valid_start", "valid_end"]
 
 
@@ -141,16 +144,11 @@ def split_calibration(df: DataFrame, prob: str = "up_probability") -> DataFrame:
     return calibration_metrics(labelled, "_label", prob, by=["split"])
 
 
-def imputer_values(df: DataFrame, features: Sequence[str], neutral: dict[str, float], exact: bool = True) -> DataFrame:
-    """One row of fill values: a neutral constant or the median, 0 when all are missing."""
-
-    def fill(c: str):
-        if c in neutral:
-            return F.lit(float(neutral[c])).alias(c)
-        median = F.percentile(c, 0.5) if exact else F.percentile_approx(c, 0.5, 10000)
-        return F.coalesce(median.cast("double"), F.lit(0.0)).alias(c)
-
-    return df.agg(*[fill(c) for c in features], F.count(F.lit(1)).alias("_rows")).drop("_rows")
+def imputer_values(df: DataFrame, features: Sequence[str], neutral: dict[str, float]) -> DataFrame:
+    """One row of fill values: a neutral constant or the exact median, 0 when all are missing."""
+    medians = exact_quantiles(df, [c for c in features if c not in neutral])
+    fills = [float(neutral[c]) if c in neutral else medians[c] or 0.0 for c in features]
+    return df.sparkSession.createDataFrame([tuple(fills)], ", ".join(f"`{c}` double" for c in features))
 
 
 def impute(df: DataFrame, features: Sequence[str], values: dict[str, float]) -> DataFrame:
@@ -175,61 +173,100 @@ def inner_split(df: DataFrame, ratio: float) -> DataFrame:
     return df.join(F.broadcast(marked), "Date")  # calendar-bounded
 
 
-def tuning_grid(df: DataFrame, p: TuningParams = TuningParams(), group_rows: int | None = None) -> DataFrame:
+def _blend(w_ret: Column, w_prob: Column, w_pen: Column) -> Column:
+    """The score of a row in units of 1e-12: scores that differ only by rounding noise tie."""
+    raw = F.col("norm_return") * w_ret + F.col("up_probability") * w_prob - F.col("uncertainty_score") * w_pen
+    return F.rint(raw * 1e12)
+
+
+def tuning_grid(df: DataFrame, p: TuningParams = TuningParams(), only: Sequence[int] | None = None) -> DataFrame:
     """Performance of every weight candidate on both parts, one row per candidate and part.
 
-    Rows fan out over the fixed candidate list; all candidates are ranked in one pass.
+    ``only`` names candidates by number; the default weights have the last one. What a
+    candidate needs from its scores is counts, so no row is ranked on its own:
+
+    1. one scan sketches the range of every candidate's scores, which is cut into buckets;
+    2. one scan counts the rows of every bucket (combined before the shuffle);
+    3. one scan counts and sums the rows of every distinct score. A distinct score's rank
+       is what lies in the buckets below, plus what is below it in its own bucket. Rank
+       correlations and the sums of the top scores are sums over distinct scores;
+    4. of the rows that share the last score of the top, the first by (Date, Symbol) fill
+       it: only they are looked at one by one.
     """
-    grid = [(a, b, c) for a in p.return_weights for b in p.prob_weights for c in p.penalties]
-    candidates = [*grid, p.default]
-    structs = F.array(
-        *[
-            F.struct(F.lit(i).alias("candidate"), F.lit(a).alias("w_ret"), F.lit(b).alias("w_prob"), F.lit(c).alias("w_pen"))
-            for i, (a, b, c) in enumerate(candidates)
-        ]
-    )
-    # The frame feeds the split, the sizes and the ranks: write its few columns once.
-    slim = cut_lineage(
-        df.select("Date", "Symbol", "norm_return", "up_probability", "uncertainty_score", "target_log_return")
+    listed = [(a, b, c) for a in p.return_weights for b in p.prob_weights for c in p.penalties] + [p.default]
+    chosen = [(i, *w) for i, w in enumerate(listed) if only is None or i in only]
+    slim = cut_lineage(df.select("Date", "Symbol", "norm_return", "up_probability", "uncertainty_score", "target_log_return"))
+    base = cut_lineage(average_rank(inner_split(slim, p.train_ratio), ["part"], "target_log_return", "target_rank"))
+
+    spans = base.groupBy("part").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.percentile_approx(_blend(*map(F.lit, w)), [0.01, 0.99], SPAN_SKETCH).alias(f"s{i}") for i, *w in chosen],
     )
-    base = inner_split(slim, p.train_ratio)
-    # Everything that does not depend on the candidate is ranked once, before the fan-out,
-    # so that only fixed-width columns are shuffled and sorted per candidate.
-    base = ordinal_rank(base, ["part"], [F.col("Date"), F.col("Symbol")], "_order", group_rows)
-    base = average_rank(base, ["part"], "target_log_return", "target_rank", group_rows)
-    sizes = base.groupBy("part").agg(F.count(F.lit(1)).alias("_n"))
-    base = base.join(F.broadcast(sizes), "part").drop("Date", "Symbol")  # two rows
-    # Two parts leave two tasks behind; the fan-out needs all of them.
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = base.repartition(tasks, "_order")
-    rows = base.withColumn("_c", F.explode(structs)).select("*", "_c.*").drop("_c")
-    raw = (
-        F.col("norm_return") * F.col("w_ret")
-        + F.col("up_probability") * F.col("w_prob")
-        - F.col("uncertainty_score") * F.col("w_pen")
-    )
-    # Scores that differ only by rounding noise tie; ties follow (Date, Symbol).
+    rows: list[tuple] = []
+    for r in spans.collect():  # two rows
+        for i, *w in chosen:
+            low, high = r[f"s{i}"] or (0.0, 0.0)
+            rows.append((r["part"], i, *map(float, w), low, (high - low) / SCORE_BUCKETS or 1.0, r["n"], max(1, math.floor(r["n"] * p.top_share))))
+    schema = "part string, candidate int, w_ret double, w_prob double, w_pen double, _low double, _step double, _n long, _top long"
+    candidates = df.sparkSession.createDataFrame(rows, schema)
+    # The fan-out is the fixed candidate list; what it makes is combined before it is shuffled.
+    fan = base.join(F.broadcast(candidates), "part").withColumn("score", _blend(F.col("w_ret"), F.col("w_prob"), F.col("w_pen")))
+    place = F.floor((F.col("score") - F.col("_low")) / F.col("_step"))
+    inside = F.greatest(F.lit(0), F.least(F.lit(SCORE_BUCKETS - 1), place)).cast("int")
+    fan = fan.withColumn("bucket", F.when(F.col("score").isNull(), -1).otherwise(inside))  # no score ranks last
+
     key = ["candidate", "part"]
-    rows = rows.select(*key, "w_ret", "w_prob", "w_pen", F.rint(-raw * 1e12).alias("score"), "_order", "_n", "target_rank", "target_log_return")
-    rows = ordinal_rank(rows, key, [F.col("score").asc_nulls_last(), F.col("_order")], "_pos", group_rows)
-    rows = average_rank(rows, key, "score", "score_rank", group_rows)
-    chosen = F.col("_pos") <= F.greatest(F.lit(1), F.floor(F.col("_n") * p.top_share))
-    pick = F.when(chosen, F.col("target_log_return"))
-    weights = ["w_ret", "w_prob", "w_pen"]
-    return rows.groupBy(*key, *weights).agg(
-        F.avg(pick).alias("top_return"),
-        pearson(-F.col("score_rank"), F.col("target_rank")).alias("rank_ic"),
-        F.coalesce(-F.avg(F.when(pick < 0, pick)), F.lit(0.0)).alias("downside"),
-    ).withColumn(
-        "objective",
-        F.col("top_return") + p.rank_ic_weight * F.col("rank_ic") - p.downside_weight * F.col("downside"),
+    counted = fan.groupBy(*key, "bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    w = Window.partitionBy(*key).orderBy("bucket")  # at most SCORE_BUCKETS + 1 rows
+    before = counted.select(
+        *key, "bucket", (F.sum("_rows").over(w) - F.col("_rows")).alias("_before"),
+        F.coalesce(F.sum(F.when(F.col("bucket") < 0, F.col("_rows"))).over(w), F.lit(0)).alias("_unscored"),
     )
-
-
-def tune_weights(df: DataFrame, p: TuningParams = TuningParams(), group_rows: int | None = None) -> DataFrame:
+    target = F.col("target_log_return")
+    middle = (F.col("_n") + 1) / 2.0  # sums of squares around the middle rank keep their digits
+    known = F.col("score").isNotNull() & F.col("target_rank").isNotNull()
+    t = F.when(known, F.col("target_rank") - middle)
+    sums = {
+        "_rows": F.count(F.lit(1)), "_known": F.count(F.when(known, 1)), "_t": F.sum(t), "_tt": F.sum(t * t),
+        "_gain": F.sum(target), "_gains": F.count(target), "_loss": F.sum(F.when(target < 0, target)), "_losses": F.count(F.when(target < 0, 1)),
+    }
+    fixed = ["w_ret", "w_prob", "w_pen", "_n", "_top"]
+    values = fan.groupBy(*key, "bucket", "score").agg(*[F.first(c).alias(c) for c in fixed], *[v.alias(n) for n, v in sums.items()])
+    values = values.join(F.broadcast(before), [*key, "bucket"])  # bounded by candidates and buckets
+    lower = F.coalesce(F.sum("_rows").over(Window.partitionBy(*key, "bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    values = values.withColumn("_under", F.col("_before") + lower)
+    above = F.col("_n") - F.col("_under") - F.col("_rows")
+    r = F.col("_under") - F.col("_unscored") + (F.col("_rows") + 1) / 2.0 - middle
+    whole, partly = above + F.col("_rows") <= F.col("_top"), (above < F.col("_top")) & (above + F.col("_rows") > F.col("_top"))
+    picked = ("_gain", "_gains", "_loss", "_losses")
+    totals = values.groupBy(*key).agg(
+        *[F.first(c).alias(c) for c in fixed],
+        F.sum("_known").alias("k"), F.sum(F.col("_known") * r).alias("r"), F.sum(F.col("_known") * r * r).alias("rr"),
+        F.sum("_t").alias("t"), F.sum("_tt").alias("tt"), F.sum(F.col("_t") * r).alias("rt"),
+        *[F.sum(F.when(whole, F.col(c))).alias(f"w{c}") for c in picked],
+        F.max(F.when(partly, F.struct("score", (F.col("_top") - above).alias("need")))).alias("cut"),
+    )
+    totals = cut_lineage(totals)  # a row per candidate and part
+    cuts = totals.where(F.col("cut").isNotNull()).select(*key, F.col("cut.score").alias("_cut"), F.col("cut.need").alias("_need"))
+    tied = fan.join(F.broadcast(cuts), key).where(F.col("score").eqNullSafe(F.col("_cut")))
+    tied = ordinal_rank(tied.select(*key, "Date", "Symbol", "_need", "target_log_return"), key, [F.col("Date"), F.col("Symbol")], "_pos")
+    filled = tied.where(F.col("_pos") <= F.col("_need")).groupBy(*key).agg(*[v.alias(f"t{n}") for n, v in sums.items() if n in picked])
+    both = totals.join(filled, key, "left")
+    both = both.withColumns({c: F.coalesce(F.col(f"w{c}"), F.lit(0.0)) + F.coalesce(F.col(f"t{c}"), F.lit(0.0)) for c in picked})
+    k = F.col("k")
+    spread = F.sqrt(F.col("rr") / k - (F.col("r") / k) ** 2) * F.sqrt(F.col("tt") / k - (F.col("t") / k) ** 2)
+    ic = F.try_divide(F.col("rt") / k - F.col("r") / k * F.col("t") / k, F.nullif(spread, F.lit(0.0)))
+    mean = lambda total, n: F.try_divide(F.col(total), F.nullif(F.col(n).cast("double"), F.lit(0.0)))
+    return both.select(
+        *key, "w_ret", "w_prob", "w_pen", mean("_gain", "_gains").alias("top_return"),
+        F.when(k > 0, F.coalesce(ic, F.lit(0.0))).otherwise(0.0).alias("rank_ic"), F.coalesce(-mean("_loss", "_losses"), F.lit(0.0)).alias("downside"),
+    ).withColumn("objective", F.col("top_return") + p.rank_ic_weight * F.col("rank_ic") - p.downside_weight * F.col("downside"))
+
+
+def tune_weights(df: DataFrame, p: TuningParams = TuningParams()) -> DataFrame:
     """One row: the chosen weights, their performance, and whether the default was kept
     because the best candidate looked overfit."""
-    scores = tuning_grid(df, p, group_rows)
+    scores = tuning_grid(df, p)
     default_id = len(p.return_weights) * len(p.prob_weights) * len(p.penalties)
     measures = ["top_return", "rank_ic", "objective"]
     wide = scores.groupBy("candidate", "w_ret", "w_prob", "w_pen").agg(

@@ -309,8 +309,7 @@ obj AS (SELECT *, top_return + 0.10 * rank_ic - 0.25 * downside AS objective FRO
     f"""WITH {GRID} SELECT candidate, part, {r("w_ret")}, {r("w_prob")}, {r("w_pen")}, {r("top_return")}, {r("rank_ic")}, {r("downside")}, {r("objective")} FROM obj""",
 )
 def tuning_grid(spark, sf):
-    frame = scoring.prediction_frame(rounded_heads(spark, sf))
-    return validation.tuning_grid(frame, group_rows=t.row_bound(spark, sf))
+    return validation.tuning_grid(scoring.prediction_frame(rounded_heads(spark, sf)))
 
 
 @query(
@@ -319,8 +318,7 @@ def tuning_grid(spark, sf):
 )
 def top_decile(spark, sf):
     frame = scoring.prediction_frame(rounded_heads(spark, sf))
-    grid = validation.tuning_grid(frame, group_rows=t.row_bound(spark, sf))
-    return grid.where(F.col("candidate") == 36).select("part", "top_return", "downside")
+    return validation.tuning_grid(frame, only=[36]).select("part", "top_return", "downside")
 
 
 @query(
@@ -334,8 +332,7 @@ def top_decile(spark, sf):
     SELECT {r("w_ret")}, {r("w_prob")}, {r("w_pen")}, {r("tobj", "train_objective")}, {r("vobj", "valid_objective")}, {r("vtop", "valid_top_return")}, CAST(fb AS INT) AS overfit_fallback_applied FROM f""",
 )
 def tuned_weights(spark, sf):
-    frame = scoring.prediction_frame(rounded_heads(spark, sf))
-    out = validation.tune_weights(frame, group_rows=t.row_bound(spark, sf))
+    out = validation.tune_weights(scoring.prediction_frame(rounded_heads(spark, sf)))
     return out.select("w_ret", "w_prob", "w_pen", "train_objective", "valid_objective", "valid_top_return", "overfit_fallback_applied")
 
 

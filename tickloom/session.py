@@ -5,8 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.util import inheritable_thread_target
+
+T = TypeVar("T")
 
 
 def local_session(cores: int | str = 8, app: str = "tickloom", memory: str = "8g") -> SparkSession:
@@ -50,6 +56,34 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again.
+
+    For loops: a checkpointed frame hands on the constraints of its plan, which grow with
+    every round until planning takes all the time; a table that is read knows none.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared directory for a written table."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def side_by_side(spark: SparkSession, jobs: Sequence[Callable[[], T]], threads: int) -> list[T]:
+    """The results of independent jobs, up to ``threads`` at a time, each in a scheduler pool of its own.
+
+    With ``spark.scheduler.mode=FAIR`` the pools share the executors; else a job fills what the others leave idle.
+    """
+
+    def one(number: int) -> T:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"side-{number}")
+        return jobs[number]()
+
+    if threads <= 1 or len(jobs) <= 1:
+        return [job() for job in jobs]
+    with ThreadPoolExecutor(min(threads, len(jobs))) as pool:
+        waiting = [pool.submit(inheritable_thread_target(spark)(one), number) for number in range(len(jobs))]
+        return [w.result() for w in waiting]

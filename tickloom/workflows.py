@@ -72,7 +72,7 @@ def evaluate(
         )
         for part in ("tune", "eval")
     )
-    best = validation.tune_weights(tune, params.tuning, group_rows).first()
+    best = validation.tune_weights(tune, params.tuning).first()
     weights = (best["w_ret"], best["w_prob"], best["w_pen"])
     scored = scoring.rescore(tune.unionByName(held_out), weights, gate, group_rows)
     scored = cut_lineage(scored)
