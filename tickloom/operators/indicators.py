@@ -7,7 +7,10 @@ possible group is the trading calendar.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +21,8 @@ from tickloom.params import FeatureParams
 
 P = FeatureParams()
 EWM_BLOCK = 512
+DIGITS = 32  # base of the positions in dominance counting
+LONGEST_HISTORY = DIGITS**3  # bars of one symbol: 130 years of days
 
 
 def price_returns(df: DataFrame) -> DataFrame:
@@ -188,21 +193,46 @@ def next_day_target(df: DataFrame) -> DataFrame:
     )
 
 
-def market_regime(df: DataFrame, exact: bool = True) -> DataFrame:
+def smaller_before(df: DataFrame, value: str, name: str, position: str = "bar_no", longest: int = LONGEST_HISTORY) -> DataFrame:
+    """How many earlier bars of the symbol have a smaller value (no value is missing).
+
+    Offline dominance counting. Positions are numbers to the base ``DIGITS``. For each
+    digit, bars that agree in the higher digits meet in one window in the order of their
+    values; a bar there counts what came before it by value with a smaller digit, and every
+    earlier bar is counted in exactly one such window, that of the highest digit in which
+    the two positions differ. A pass is one sort inside the partitioning by symbol, and the
+    number of passes grows with the logarithm of the longest history.
+    """
+    passes = max(1, math.ceil(math.log(longest, DIGITS) - 1e-9))
+    out, counts = df, []
+    for level in range(passes):
+        digit = F.floor(F.col(position) / DIGITS**level) % DIGITS
+        out = out.withColumns({"_digit": digit, "_group": F.floor(F.col(position) / DIGITS ** (level + 1))})
+        # Of equal values the later bars come first, so that none counts as smaller.
+        w = Window.partitionBy("Symbol", "_group").orderBy(value, F.col("_digit").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        seen = [F.count(F.when(F.col("_digit") == k, 1)).over(w) for k in range(DIGITS - 1)]
+        lower = F.aggregate(F.slice("_seen", 1, F.col("_digit").cast("int")), F.lit(0).cast("long"), lambda acc, n: acc + n)
+        out = out.withColumn("_seen", F.array(*seen)).withColumn(f"_count_{level}", lower).drop("_digit", "_group", "_seen")
+        counts.append(f"_count_{level}")
+    total = reduce(add, [F.col(c) for c in counts])
+    checked = F.when(F.col(position) < DIGITS**passes, total).otherwise(F.raise_error(F.lit(f"a symbol has more than {DIGITS**passes} bars: raise longest")).cast("long"))
+    return out.withColumn(name, checked).drop(*counts)
+
+
+def market_regime(df: DataFrame, longest: int = LONGEST_HISTORY) -> DataFrame:
     """Trend and volatility state. A bar is high-volatility when it exceeds the 0.75
-    quantile of the symbol's own history so far (missing counts as 0). ``exact=False``
-    switches to an approximate quantile for very long histories."""
-    out = df.withColumns(
-        {
-            "_trend": F.coalesce("close_to_ma_20", F.lit(0.0)),
-            "_vol": F.coalesce("vol_20", F.lit(0.0)),
-        }
-    )
-    past = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
-    quantile = F.percentile("_vol", 0.75) if exact else F.percentile_approx("_vol", 0.75, 10000)
+    quantile of the symbol's own history so far (missing counts as 0).
+
+    The quantile itself is not needed: it lies between the values of rank k and k + 1 with
+    k = floor(0.75 (n - 1)), so a bar exceeds it when more than k earlier bars are below.
+    """
+    out = df if "bar_no" in df.columns else number_bars(df)
+    out = out.withColumns({"_trend": F.coalesce("close_to_ma_20", F.lit(0.0)), "_vol": F.coalesce("vol_20", F.lit(0.0))})
+    out = smaller_before(out, "_vol", "_below", longest=longest)
     trend = F.when(F.col("_trend") > 0.01, "uptrend").when(F.col("_trend") < -0.01, "downtrend").otherwise("sideways")
-    vol = F.when(F.col("_vol") > quantile.over(past), "high_vol").otherwise("low_vol")
-    return out.withColumn("market_regime", F.concat_ws("_", trend, vol)).drop("_trend", "_vol")
+    vol = F.when(F.col("_below") > F.floor(0.75 * F.col("bar_no")), "high_vol").otherwise("low_vol")
+    out = out.withColumn("market_regime", F.concat_ws("_", trend, vol)).drop("_trend", "_vol", "_below")
+    return out if "bar_no" in df.columns else out.drop("bar_no")
 
 
 def technical_block(df: DataFrame, params: FeatureParams = P) -> DataFrame:
