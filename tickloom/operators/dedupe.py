@@ -1,7 +1,8 @@
 """Deduplication of news, disclosures and context events.
 
 "First per key" is a map-side combined ``min_by``; a key that holds a third of all rows
-costs one partial row per task. The greedy any-key rule is solved in rounds of joins.
+costs one partial row per task. The greedy any-key rule is solved in one round of joins
+and, for what hangs together in chains, group by group.
 """
 
 from __future__ import annotations
@@ -9,12 +10,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.text import title_key, url_key
+from tickloom.operators.groups import connected_groups
 from tickloom.operators.skew import first_per_key, salted_lookup
-from tickloom.session import cut_lineage
+from tickloom.session import written
+
+
+GROUP_ROWS = 50_000  # items that a task walks through in order
 
 
 def news_keys(title: str, original_url: str, url: str) -> Column:
@@ -28,39 +34,64 @@ def news_keys(title: str, original_url: str, url: str) -> Column:
     )
 
 
+def _round(state: DataFrame) -> DataFrame:
+    """(item, keys, kept) after one round: true or false where it is decided, else null.
+
+    An item that comes first on all its keys is kept; one that shares a key with such an
+    item is dropped.
+    """
+    rows = state.select("_item", F.explode("_keys").alias("_key"))
+    first = rows.groupBy("_key").agg(F.min("_item").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    met = salted_lookup(rows, first, ["_key"], rows="_rows")
+    winners = met.groupBy("_item").agg(F.bool_and(F.col("_item") == F.col("_first")).alias("_wins"))
+    heads = first.select(F.col("_first").alias("_item"), "_key", "_rows").join(winners, "_item")
+    taken = heads.where("_wins").select("_key", "_rows", F.lit(True).alias("_taken"))
+    marked = salted_lookup(met, taken, ["_key"], rows="_rows")
+    own = F.bool_and(F.col("_item") == F.col("_first"))
+    out = marked.groupBy("_item").agg(own.alias("_wins"), F.bool_or(F.coalesce("_taken", F.lit(False))).alias("_hit"), F.collect_set("_key").alias("_keys"))
+    return out.select("_item", "_keys", F.when(F.col("_wins"), True).when(F.col("_hit"), False).alias("_kept"))
+
+
+def _in_order(table: pa.Table) -> pa.Table:
+    """The sequential rule over whole groups: an item is kept unless one of its keys was seen on a kept one."""
+    items, keys = table["_item"].to_pylist(), table["_keys"].to_pylist()
+    seen: set[str] = set()
+    kept = []
+    for i in sorted(range(len(items)), key=items.__getitem__):
+        if seen.isdisjoint(keys[i]):
+            seen.update(keys[i])
+            kept.append(items[i])
+    return pa.table({"_item": pa.array(kept, table.schema.field("_item").type)})
+
+
 def greedy_any_key(items: DataFrame, keys: Column, order: str) -> DataFrame:
     """Keep an item unless one of its keys was seen on an earlier kept item.
 
-    ``order`` must be unique. Each round keeps the undecided items that come first on all
-    their keys and drops the items that share a key with them; dropped items claim no
-    keys. This equals the sequential rule. Every round is written to reliable storage.
+    ``order`` must be unique; an item without keys is kept. A first round decides all items but those in chains
+    of shared keys. What is left falls into groups that share no key, so each follows the
+    rule on its own: groups of at most ``GROUP_ROWS`` are dealt to tasks and walked through
+    in order, and rounds go on only inside larger ones. Each round writes one table.
     """
-    undecided = cut_lineage(items.select(F.col(order).alias("_o"), F.explode(keys).alias("_key")))
-    kept: list[DataFrame] = []
-    while not undecided.isEmpty():
-        first = undecided.groupBy("_key").agg(F.min("_o").alias("_first"), F.count(F.lit(1)).alias("_n"))
-        sized = first.withColumn("_rows", F.col("_n"))
-        state = salted_lookup(undecided, sized, ["_key"], rows="_rows")
-        # An item has a handful of keys, so the sets stay short.
-        state = state.groupBy("_o").agg(
-            F.bool_and(F.col("_o") == F.col("_first")).alias("_keep"), F.collect_set(F.struct("_key", "_n")).alias("_keys")
-        )
-        state = cut_lineage(state)
-        winners = state.where("_keep")
-        kept.append(winners.select("_o"))
-        taken = winners.select(F.explode("_keys").alias("k")).select("k._key", "k._n", F.lit(True).alias("_taken"))
-        rest = state.where(~F.col("_keep")).select("_o", F.explode("_keys").alias("k")).select("_o", "k._key")
-        rest = salted_lookup(rest, taken, ["_key"], rows="_n")
-        open_items = rest.groupBy("_o").agg(
-            F.bool_or(F.coalesce("_taken", F.lit(False))).alias("_dropped"), F.collect_set("_key").alias("_keys")
-        )
-        undecided = cut_lineage(
-            open_items.where(~F.col("_dropped")).select("_o", F.explode("_keys").alias("_key"))
-        )
-    if not kept:
-        return items.limit(0)
-    winners = reduce(DataFrame.unionByName, kept)
-    return items.join(winners.withColumnRenamed("_o", order), order, "left_semi")
+    keyed = items.select(F.col(order).alias("_item"), F.array_distinct(F.array_compact(keys)).alias("_keys"))
+    state = written(_round(keyed.where(F.size("_keys") > 0)), "decided")
+    parts = [keyed.where(F.coalesce(F.size("_keys"), F.lit(0)) <= 0).select("_item"), state.where("_kept").select("_item")]
+    rest = state.where("_kept IS NULL").select("_item", "_keys")
+    if not rest.isEmpty():
+        grouped = rest.join(connected_groups(rest.select("_item", F.explode("_keys").alias("_key")), "_item", "_key"), "_item")
+        sizes = grouped.groupBy("head").agg(F.count(F.lit(1)).alias("_rows"))
+        sized = written(salted_lookup(grouped, sizes.withColumn("_n", F.col("_rows")), ["head"], rows="_rows"), "groups")
+        few = sized.where(F.col("_n") <= GROUP_ROWS)
+        tasks = 1 + few.count() // GROUP_ROWS
+        dealt = few.withColumn("_task", F.pmod(F.xxhash64("head"), F.lit(tasks)))
+        kind = items.schema[order].dataType.simpleString()
+        parts.append(dealt.groupBy("_task").applyInArrow(_in_order, f"_item {kind}"))
+        state = sized.where(F.col("_n") > GROUP_ROWS).select("_item", "_keys")
+        while not state.isEmpty():
+            after = written(_round(state), "decided")
+            parts.append(after.where("_kept").select("_item"))
+            state = after.where("_kept IS NULL").select("_item", "_keys")
+    winners = reduce(DataFrame.unionByName, parts)
+    return items.join(winners.withColumnRenamed("_item", order), order, "left_semi")
 
 
 def dedupe_news(news: DataFrame, order: str, title="title", original_url="original_url", url="url") -> DataFrame:

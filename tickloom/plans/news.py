@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import clock, factors, taxonomy, text
 from tickloom.operators import dedupe, impact, mapping, queries
+from tickloom.operators.phrases import phrase_hits
 from tickloom.operators.ranking import top_per_group
 from tickloom.plans.registry import query
 from tickloom.plans.sqltext import CONTEXT, NEWS, d, il, r
@@ -664,6 +665,22 @@ def ambiguous_aliases(spark, sf):
     return out.select("doc_id", "ticker", "confidence", "evidence")
 
 
+@query(
+    "jn08b_phrase_dictionary",
+    """WITH tx AS (SELECT doc_id, lower(text) AS s, list_filter(string_split(lower(text), ' '), lambda w: w <> '') AS w FROM documents),
+    ph AS (SELECT DISTINCT p FROM (SELECT w[1] || ' ' || w[2] AS p FROM tx WHERE len(w) > 1 UNION ALL SELECT w[len(w)] FROM tx UNION ALL SELECT substr(w[3], 2, 6) FROM tx WHERE len(w) > 2) WHERE length(p) > 5)
+    SELECT doc_id, md5(p) AS phrase_md5 FROM tx JOIN ph ON contains(s, p)""",
+)
+def phrase_dictionary(spark, sf):
+    """A dictionary of thousands: every document's first two words, its last word and a piece of its third."""
+    tx = t.table(spark, sf, "documents").select("doc_id", F.lower("text").alias("s"))
+    words = tx.select(F.filter(F.split("s", " "), lambda w: w != "").alias("w"))
+    pair = F.when(F.size("w") > 1, F.concat(F.get("w", F.lit(0)), F.lit(" "), F.get("w", F.lit(1))))
+    piece = F.when(F.size("w") > 2, F.substring(F.get("w", F.lit(2)), 2, 6))
+    listed = words.select(F.explode(F.array(pair, F.try_element_at("w", F.lit(-1)), piece)).alias("p")).where(F.length("p") > 5)
+    return phrase_hits(tx, "doc_id", "s", listed, "p").select("doc_id", F.md5("p").alias("phrase_md5"))
+
+
 ORDERED = f"""{DICTIONARY}, od AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, CASE WHEN evidence = 'ticker' THEN 1 ELSE 0 END DESC, ticker DESC) AS pos FROM best)"""
 
 
