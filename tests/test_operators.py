@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import policy, text
 from tickloom.functions.selection import display_columns, feature_columns
-from tickloom.operators import clean, context, dedupe, impact, indicators, learning, mapping, metrics, portfolio, validation
+from tickloom.operators import clean, context, dedupe, groups, impact, indicators, learning, mapping, metrics, portfolio, quantiles, validation
+from tickloom.operators.phrases import phrase_hits
 from tickloom.operators.ranking import average_rank, dense_rank, ordinal_rank, percentile_rank
 from tickloom.operators.skew import first_per_key, salted_lookup
-from tickloom.params import FoldParams, PortfolioParams
+from tickloom.params import FoldParams, PortfolioParams, TuningParams
 from tickloom.sources import pages, readers, sinks
+from tickloom.streaming import jobs
 
 
 def bars_frame(spark, n=700, symbols=("AAA", "BBB"), seed=42):
@@ -127,20 +129,69 @@ def test_greedy_dedupe_equals_the_sequential_rule(spark, monkeypatch, hot_rows):
     assert sorted(r.id for r in got.collect()) == want
 
 
+def test_greedy_dedupe_of_a_long_chain_and_of_large_groups(spark, monkeypatch):
+    def sequential(items):
+        seen, kept = set(), []
+        for i, keys in items:
+            if not seen & set(keys):
+                seen |= set(keys)
+                kept.append(i)
+        return kept
+
+    chain = [(i, [f"k{i}", f"k{i + 1}"]) for i in range(10_000)]
+    rounds = []
+    whole = dedupe._round
+    monkeypatch.setattr(dedupe, "_round", lambda state: rounds.append(1) or whole(state))
+    got = dedupe.greedy_any_key(spark.createDataFrame(chain, "id int, keys array<string>"), F.col("keys"), "id")
+    assert sorted(r.id for r in got.collect()) == sequential(chain) and len(rounds) == 1
+    rng = random.Random(11)
+    items = [(i, [f"g{i % 3}-{rng.randint(0, 30)}" for _ in range(rng.randint(0, 3))]) for i in range(200)]
+    monkeypatch.setattr(dedupe, "GROUP_ROWS", 20)
+    got = dedupe.greedy_any_key(spark.createDataFrame(items, "id int, keys array<string>"), F.col("keys"), "id")
+    assert sorted(r.id for r in got.collect()) == sequential(items)
+
+
+def test_connected_groups_take_few_rounds(spark, monkeypatch):
+    rng = random.Random(2)
+    order = list(range(600))
+    rng.shuffle(order)
+    rows = [(order[i], f"a{i // 2}") for i in range(300)] + [(order[i], f"b{(i + 1) // 2}") for i in range(300)]  # one shuffled chain
+    rows += [(order[i], f"c{i % 40}") for i in range(300, 600)]
+    parent = {i: i for i in order}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    by_key = {}
+    for i, k in rows:
+        a, b = find(i), find(by_key.setdefault(k, i))
+        parent[max(a, b)] = min(a, b)
+    tables = []
+    keep = groups.written
+    monkeypatch.setattr(groups, "written", lambda df, name: tables.append(name) or keep(df, name))
+    got = groups.connected_groups(spark.createDataFrame(rows, "id int, k string"), "id", "k").collect()
+    assert {r.id: r.head for r in got} == {i: find(i) for i, _ in rows}
+    assert len(tables) <= 1 + 2 * 8  # rounds, not links of the chain
+
+
 def test_news_keys_ignore_case_punctuation_and_slash(spark):
     df = spark.createDataFrame([("Big, Deal!", "HTTPS://A.com/x/ "), ("big deal", "https://a.com/x")], "t string, u string")
     rows = df.select(text.title_key("t").alias("a"), text.url_key("u").alias("b")).collect()
     assert rows[0] == rows[1]
 
 
-def test_phrase_hits_in_both_forms(spark):
-    docs = spark.createDataFrame([(1, "samsungs a"), (2, "삼성전자 실적"), (3, ""), (4, "xab"), (5, "b 😀q")], "id int, body string")
-    words = ["samsung", "삼성", "실적", "ab", "b", "none", "😀q"]
-    phrases = spark.createDataFrame([(w,) for w in words], "p string")
-    want = {(d.id, w) for d in docs.collect() for w in words if w in d.body}
-    for limit in (500, 2):
-        got = mapping.phrase_hits(docs, "id", "body", phrases, "p", short_list=limit)
-        assert {(r.id, r.p) for r in got.collect()} == want
+def test_phrase_hits_equal_brute_force(spark):
+    rng = random.Random(9)
+    bodies = ["samsungs a", "삼성전자 실적", "", None, "xab", "b 😀q", "a  b c", " lead", "tail ", "line\nbreak ab", "삼성 전자", "ab" * 40]
+    bodies += [" ".join(rng.choice(["ab", "abc", "bca", "삼성전자", "c", "cab\t"]) for _ in range(rng.randint(1, 9))) for _ in range(40)]
+    words = ["samsung", "삼성", "실적", "ab", "b", "none", "😀q", "a b", "a  b", " b", "ab ", "b c", "성전", "k\nb", "삼성 전자", "c ab", "ab abc", "bab", "", None, "ab"]
+    words += [b[i : i + 9] for b in bodies if b for i in (0, 3)]
+    docs = spark.createDataFrame(list(enumerate(bodies)) + [(0, bodies[0])], "id int, body string")
+    want = {(i, w) for i, b in enumerate(bodies) for w in words if w and w.strip(" ") and b and w in b}
+    got = phrase_hits(docs, "id", "body", spark.createDataFrame([(w,) for w in words], "p string"), "p").collect()
+    assert len(got) == len(want) and {(r.id, r.p) for r in got} == want
 
 
 def test_similar_names_equal_brute_force(spark):
@@ -261,7 +312,112 @@ def test_heads_predict_ordered_quantiles(spark):
     assert len(out) == 500 and out["up_probability"].between(0, 1).all()
     assert ((out["quantile_low"] <= out["quantile_mid"]) & (out["quantile_mid"] <= out["quantile_high"])).all()
     shares = learning.feature_importance(models, spark).groupBy("head").agg(F.sum("importance").alias("s")).collect()
-    assert len(shares) == 2 and all(r.s == pytest.approx(1.0) for r in shares)
+    assert len(shares) == 5 and all(r.s == pytest.approx(1.0) for r in shares)
+
+
+def noisy_frame(spark, n, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 3))
+    y = 0.02 * x[:, 0] + 0.01 * (1 + np.abs(x[:, 1])) * rng.normal(size=n)
+    pdf = pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "target_log_return": y, "target_up": (y > 0).astype(int)})
+    pdf.loc[::17, "c"] = None
+    return spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "a double, b double, c double, target_log_return double, target_up int")
+
+
+def test_five_heads_cover_their_levels_on_held_out_rows(spark):
+    train, held = noisy_frame(spark, 6000, 1), noisy_frame(spark, 6000, 2)
+    models = learning.fit_heads(train, ["a", "b", "c"], trees=3)
+    assert [h.level for h in models.quantiles] == [0.1, 0.5, 0.9] and all(len(h.trees) == learning.QUANTILE_TREES for h in models.quantiles)
+    out = learning.predict_heads(models, held).toPandas()
+    for level, name in zip((0.1, 0.5, 0.9), ("quantile_low", "quantile_mid", "quantile_high")):
+        assert (out["target_log_return"] <= out[name]).mean() == pytest.approx(level, abs=0.02)
+    assert ((out["quantile_low"] <= out["quantile_mid"]) & (out["quantile_mid"] <= out["quantile_high"])).all()
+    # The spread follows the noise, which a shift of the mean prediction could not do.
+    spread, wide = out["quantile_high"] - out["quantile_low"], out["b"].abs() > 1.5
+    assert spread[wide].mean() > 1.4 * spread[~wide].mean()
+    loss = lambda q, f: np.where(out["target_log_return"] > f, q, q - 1) * (out["target_log_return"] - f)
+    for level, name in ((0.1, "quantile_low"), (0.9, "quantile_high")):
+        assert loss(level, out[name]).mean() < 0.95 * loss(level, out["target_log_return"].quantile(level)).mean()
+    shares = learning.feature_importance(models, spark).groupBy("head").agg(F.sum("importance").alias("s")).collect()
+    assert len(shares) == 5 and all(r.s == pytest.approx(1.0) for r in shares)
+
+
+def test_folds_side_by_side_equal_folds_one_by_one_and_restart(spark, tmp_path, monkeypatch):
+    df = indicators.next_day_target(indicators.lagged_returns(indicators.price_returns(bars_frame(spark, 260, ("AAA", "BBB"))), (1, 5)))
+    p = FoldParams(min_train=120, test=40, step=40)
+    names = ["ret_1d", "ret_5d", "daily_return"]
+    windows = validation.fold_windows(df, p)
+    run = lambda folder, threads: learning.walk_forward(df, windows, names, ["Close"], p, 2, str(tmp_path / folder), threads, 2)
+    many = sorted(run("many", 3).collect(), key=str)
+    assert len({r.fold_id for r in many}) == 3 and many == sorted(run("one", 1).collect(), key=str)
+    fitted = []
+    whole = learning.fit_heads
+    monkeypatch.setattr(learning, "fit_heads", lambda *a, **k: fitted.append(1) or whole(*a, **k))
+    assert sorted(run("many", 3).collect(), key=str) == many and not fitted  # all folds were committed
+    spark.createDataFrame([(0,), (2,)], "fold_id int").coalesce(1).write.parquet(str(tmp_path / "broken" / "done"))
+    for fold in (0, 2):
+        spark.read.parquet(str(tmp_path / "many" / f"fold-{fold}")).write.parquet(str(tmp_path / "broken" / f"fold-{fold}"))
+    assert sorted(run("broken", 3).collect(), key=str) == many and len(fitted) == 1  # only the missing fold was fitted
+
+
+def test_exact_quantiles_of_many_columns(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "FINISH_ROWS", 20)
+    rng = random.Random(4)
+    n = 4001
+    columns = {
+        "spread": [rng.gauss(0, 1) * 10 ** rng.randint(-9, 9) for _ in range(n)], "ties": [float(rng.choice([1, 1, 1, 2, 7])) for _ in range(n)],
+        "ends": [rng.random() if rng.random() < 0.02 else rng.choice([0.0, 1.0]) for _ in range(n)], "one": [3.5] * n, "gaps": [rng.random() if rng.random() < 0.3 else None for _ in range(n)],
+        "none": [None] * n, "single": [None] * (n - 1) + [4.0], "two": [None] * (n - 2) + [1.0, 4.0], "signs": [-(2.0**k) for k in range(n // 4)] + [2.0 ** -(k % 999) for k in range(n - n // 4)],
+    }
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns)).repartition(7)
+    for level in (0.5, 0.75, 0.0, 1.0):
+        got = quantiles.exact_quantiles(df, list(columns), level)
+        for c, values in columns.items():
+            known = [v for v in values if v is not None]
+            assert (got[c] is None) == (not known), c
+            if known:
+                assert got[c] == pytest.approx(float(np.quantile(known, level)), rel=1e-12), (c, level)
+    assert quantiles.exact_quantiles(df.where("false"), ["ties"]) == {"ties": None} and quantiles.exact_quantiles(df, []) == {}
+    small = df.limit(10)
+    assert quantiles.exact_quantiles(small, ["ties"])["ties"] is not None
+
+
+def test_weight_grid_equals_ranking_every_row(spark):
+    rng = random.Random(6)
+    day = lambda i: date.fromordinal(738000 + i)
+    rows = [(day(i % 30), f"s{i}", round(rng.random(), 1), round(rng.random(), 1), round(rng.random(), 1), None if rng.random() < 0.05 else round(rng.gauss(0, 0.02), 3)) for i in range(900)]
+    rows += [(day(i % 30), f"t{i}", 0.5, 0.5, 0.5, rng.gauss(0, 0.02)) for i in range(500)] + [(day(3), "u", None, 0.5, 0.5, 0.1)]  # a third of all rows share a score
+    df = spark.createDataFrame(rows, "Date date, Symbol string, norm_return double, up_probability double, uncertainty_score double, target_log_return double")
+    p = TuningParams(return_weights=(0.3, 0.65), prob_weights=(0.2, 0.5), penalties=(0.15,))
+    pdf = pd.DataFrame(rows, columns=df.columns)
+    pdf["part"] = np.where(pdf["Date"] < day(21), "train", "valid")
+    got = {(r.candidate, r.part): r for r in validation.tuning_grid(df, p).collect()}
+    weights = [(a, b, c) for a in p.return_weights for b in p.prob_weights for c in p.penalties] + [p.default]
+    assert set(got) == {(i, part) for i in range(len(weights)) for part in ("train", "valid")}
+    for (i, part), r in got.items():
+        a, b, c = weights[i]
+        x = pdf[pdf["part"] == part].copy()
+        x["score"] = np.rint((x["norm_return"] * a + x["up_probability"] * b - x["uncertainty_score"] * c) * 1e12)
+        top = x.sort_values(["score", "Date", "Symbol"], ascending=[False, True, True], na_position="last").head(max(1, int(len(x) * p.top_share)))["target_log_return"].dropna()
+        ranks = pd.DataFrame({"s": x["score"].rank(), "t": x["target_log_return"].rank()}).dropna()
+        assert (r.w_ret, r.w_prob, r.w_pen) == (a, b, c)
+        assert r.top_return == pytest.approx(top.mean(), abs=1e-12)
+        assert r.rank_ic == pytest.approx(np.corrcoef(ranks["s"], ranks["t"])[0, 1], abs=1e-9)
+        assert r.downside == pytest.approx(-top[top < 0].mean() if (top < 0).any() else 0.0, abs=1e-12)
+    only = validation.tuning_grid(df, p, only=[len(weights) - 1]).collect()
+    assert {(r.candidate, r.part) for r in only} == {(len(weights) - 1, "train"), (len(weights) - 1, "valid")}
+
+
+def test_smaller_before_counts_every_earlier_bar_once(spark):
+    rng = random.Random(8)
+    rows = [(s, i, float(rng.randint(0, 40))) for s, n in (("A", 1500), ("B", 33), ("C", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "Symbol string, bar_no int, v double")
+    got = {(r.Symbol, r.bar_no): r.n for r in indicators.smaller_before(df, "v", "n", longest=2000).collect()}
+    for s in "ABC":
+        values = [v for name, _, v in rows if name == s]
+        assert [got[s, i] for i in range(len(values))] == [sum(w < v for w in values[:i]) for i, v in enumerate(values)]
+    with pytest.raises(Exception, match="raise longest"):
+        indicators.smaller_before(df, "v", "n", longest=900).collect()
 
 
 def test_external_series_is_lagged_and_filled(spark):
@@ -273,6 +429,75 @@ def test_external_series_is_lagged_and_filled(spark):
     assert [r.ks11_close for r in out] == [7.0, 7.0, 7.0, 7.0]
 
 
+def test_series_fall_back_to_substitutes(spark):
+    days = [date(2024, 1, d) for d in (2, 3, 4)]
+    bars = spark.createDataFrame([(d, "A") for d in days], "Date date, Symbol string")
+    rows = [("EWY", days[0], 5.0), ("EWY", days[1], 6.0), ("QQQ", days[0], 1.0), ("^VIX", days[0], None), ("VIXY", days[0], 9.0), ("SOXX", date(2023, 1, 2), 3.0), ("^GSPC", days[0], 2.0), ("SPY", days[0], 7.0)]
+    series = spark.createDataFrame(rows, "series string, Date date, close double")
+    names = ["^KS11", "^IXIC", "NQ=F", "^VIX", "^SOX", "^GSPC"]
+    out = context.external_matrix(series, bars, names).orderBy("Date").collect()
+    assert [r.ks11_close for r in out] == [None, 5.0, 5.0]  # the substitute trades elsewhere: a row late
+    assert [r.ixic_close for r in out] == [r.nq_f_close for r in out]
+    assert {r.sox_close for r in out} == {None}  # landed only outside the span
+    chosen = context.choose_series(series, context.fallback_chains(spark, names))
+    assert {(r.series, r.used) for r in chosen.collect()} == {("^KS11", "EWY"), ("^IXIC", "QQQ"), ("NQ=F", "QQQ"), ("^VIX", "VIXY"), ("^SOX", "SOXX"), ("^GSPC", "^GSPC")}
+    row = context.source_coverage(chosen).first()
+    assert (row.requested, row.successful, row.failed, row.substituted, row.ratio) == (6, 6, 0, 5, 1.0)
+    assert context.source_coverage(chosen.where("false")).first().ratio == 1.0
+
+
+def test_writes_count_rows_and_nulls_and_check_fields(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, None)], "k int, v string")
+    for csv in (False, True):
+        got = sinks.write_artifact(df, str(tmp_path / f"out-{csv}"), csv, required=["v", "k", "gone"])
+        assert (got.rows, got.columns, got.nulls, got.missing(["k", "gone"])) == (3, ("k", "v"), {"v": 2, "k": 0}, ["gone"])
+    none = sinks.write_artifact(df.where("k > 9"), str(tmp_path / "none"), required=["v"])
+    assert (none.rows, none.nulls) == (0, {"v": 0})
+    report = sinks.contract_report(spark, {"a": got}, {"a": ["v", "gone"]}).collect()
+    assert [(r.field, r.present, r.null_count, r.row_count) for r in report] == [("v", True, 2, 3), ("gone", False, None, 3)]
+    with pytest.raises(ValueError, match="gone"):
+        sinks.require_fields({"a": got}, {"a": ["gone"]})
+    lines = sinks.manifest(spark, {"a": got, "none": none}).collect()
+    assert [(r.relative_path, r.row_count, r.columns) for r in lines] == [("a", 3, ["k", "v"]), ("none", 0, ["k", "v"])]
+
+
+def test_a_failed_publish_leaves_the_latest_one(spark, tmp_path):
+    root, df = str(tmp_path / "pub"), spark.createDataFrame([(1, 2.0)], "k int, v double")
+    put = lambda frame, day, run, **kw: sinks.publish_snapshot({"simple": frame, "detail": frame}, root, day, run, "now", 1, **kw)
+    with pytest.raises(ValueError, match="nothing is published"):
+        sinks.read_published(spark, root, "detail")
+    put(df, "2024-01-03", "one")
+    put(df.withColumn("v", F.lit(3.0)), "2024-01-02", "two")
+    with pytest.raises(ValueError, match="artifacts to publish"):
+        sinks.publish_snapshot({"simple": df}, root, "2024-01-05", "three", "now", 1, required={"detail": []})
+    with pytest.raises(ValueError, match="required fields"):
+        put(df, "2024-01-05", "four", required={"detail": ["w"]})
+    broken = df.withColumn("v", F.when(F.col("k") == 1, F.raise_error(F.lit("broken write")).cast("double")))
+    with pytest.raises(Exception, match="broken write"):
+        put(broken, "2024-01-05", "five")
+    assert sinks.read_published(spark, root, "detail").first().v == 3.0  # published last, though for an earlier date
+    assert sinks.read_published(spark, root, "detail", "2024-01-03").first().v == 2.0
+    put(df.withColumn("v", F.lit(4.0)), "2024-01-03", "six")
+    assert sinks.read_published(spark, root, "simple", "2024-01-03").first().v == 4.0
+    index = {r.trading_date: (r.source_run_id, r.is_latest) for r in sinks.published_index(spark, root).collect()}
+    assert index == {"2024-01-03": ("six", True), "2024-01-02": ("two", False)}
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    table = str(tmp_path / "counts")
+    frame = lambda rows: spark.createDataFrame(rows, "Date date, Symbol string, source_type string, event_count long, disclosure_score double")
+    first = frame([(date(2024, 1, 31), "A", "news", 3, 0.0), (date(2024, 2, 1), "A", "news", 1, 0.0)])
+    second = frame([(date(2024, 2, 1), "A", "news", 4, 0.0), (date(2024, 2, 1), "B", "disclosure", 1, 0.2)])
+    seen = lambda: sorted(tuple(r)[:5] for r in spark.read.parquet(table).select("Date", "Symbol", "source_type", "event_count", "batch_id").collect())
+    jobs.merge_counts(first, 0, table, str(tmp_path / "s0"))
+    jobs.merge_counts(second, 1, table, str(tmp_path / "s1"))
+    want = [(date(2024, 1, 31), "A", "news", 3, 0), (date(2024, 2, 1), "A", "news", 4, 1), (date(2024, 2, 1), "B", "disclosure", 1, 1)]
+    assert seen() == want
+    jobs.merge_counts(second, 1, table, str(tmp_path / "s1"))
+    jobs.merge_counts(first, 0, table, str(tmp_path / "s0"))
+    assert seen() == want
+
+
 def test_article_text_skips_hidden_elements(spark):
     body = "<p>Fact &amp; figure</p><script>x</script><svg><p>no</p></svg> " + "word " * 60
     html = [(1, body), (2, "<p>short</p>"), (3, "<p>Subscribe to continue</p>" + "text " * 60)]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tickloom.functions.numeric import full, number, pct_change
-from tickloom.operators.skew import first_per_key, small
+from tickloom.operators.skew import first_per_key
 
 # Short column names of external market series, substitutes per series,
 # and the series known on the same date (all others are known one row later).
@@ -16,8 +18,8 @@ SERIES_NAMES = {
     "NQ=F": "nq_f", "^GSPC": "gspc", "KRW=X": "krw_x", "^TNX": "tnx",
 }
 SERIES_SUBSTITUTES = {
-    "^SOX": "SOXX", "^VIX": "VIXY", "^KS11": "EWY", "^KQ11": "KORU", "^IXIC": "QQQ",
-    "NQ=F": "QQQ", "^GSPC": "SPY", "KRW=X": "USDKRW=X", "^TNX": "IEF",
+    "^SOX": ("SOXX",), "^VIX": ("VIXY",), "^KS11": ("EWY",), "^KQ11": ("KORU",), "^IXIC": ("QQQ",),
+    "NQ=F": ("QQQ",), "^GSPC": ("SPY",), "KRW=X": ("USDKRW=X",), "^TNX": ("IEF",),
 }
 SAME_DATE_SERIES = ("^KS11", "^KQ11")
 CONTEXT_COLUMNS = [
@@ -38,22 +40,44 @@ def external_returns(series: DataFrame) -> DataFrame:
     return out.withColumn("vol_20", full(F.stddev_samp, "ret_1d", 20, w))
 
 
+def fallback_chains(spark: SparkSession, names: Sequence[str], substitutes: Mapping[str, Sequence[str]] = SERIES_SUBSTITUTES) -> DataFrame:
+    """(series, used, step): for every named series itself at step 0, then its substitutes in order."""
+    rows = [(s, used, step) for s in dict.fromkeys(names) for step, used in enumerate((s, *substitutes.get(s, ())))]
+    return spark.createDataFrame(rows, "series string, used string, step int")
+
+
+def choose_series(landed: DataFrame, chains: DataFrame) -> DataFrame:
+    """(series, used, step): the first of each chain that has a value in ``landed``; null where none has."""
+    present = landed.where(F.col("close").isNotNull()).select(F.col("series").alias("used")).distinct()
+    first = chains.join(present, "used").groupBy("series").agg(F.min(F.struct("step", "used")).alias("_first"))
+    asked = chains.select("series").distinct()
+    return asked.join(first, "series", "left").select("series", F.col("_first.used").alias("used"), F.col("_first.step").alias("step"))
+
+
 def external_matrix(
-    series: DataFrame, dates: DataFrame, names: list[str], same_date: tuple[str, ...] = SAME_DATE_SERIES
+    series: DataFrame, dates: DataFrame, names: list[str], same_date: tuple[str, ...] = SAME_DATE_SERIES,
+    substitutes: Mapping[str, Sequence[str]] = SERIES_SUBSTITUTES,
 ) -> DataFrame:
     """One row per trading date with the columns of every named series.
 
-    Series are lagged by one of their own rows unless known on the same date, matched to
+    A series without a value in the span of the trading dates is read from the first of
+    its substitutes that has one, under its own name. Series are lagged by one of their
+    own rows unless the one that is read is known on the same date, matched to
     trading dates exactly, then filled forward. The result has one row per trading day,
     so the single-task window of the forward fill is bounded by the calendar.
     """
-    last = first_per_key(series, ["series", "Date"], [F.col("close")], last=True)
+    span = dates.agg(F.min("Date").alias("_from"), F.max("Date").alias("_to"))
+    inside = series.join(F.broadcast(span), F.col("Date").between(F.col("_from"), F.col("_to"))).drop("_from", "_to")  # one row
+    chosen = choose_series(inside, fallback_chains(series.sparkSession, names, substitutes)).where("used IS NOT NULL")
+    last = first_per_key(inside, ["series", "Date"], [F.col("close")], last=True)
     values = external_returns(last)
     w = Window.partitionBy("series").orderBy("Date")
     measures = ["close", "ret_1d", "ret_5d", "vol_20"]
     known = F.col("series").isin(*same_date)
     lagged = values.withColumns({m: F.when(known, F.col(m)).otherwise(F.lag(m, 1).over(w)) for m in measures})
-    wide = lagged.groupBy("Date").pivot("series", names).agg(*[F.max(m).alias(m) for m in measures])
+    # A handful of names, and one substitute may stand for several.
+    read = lagged.withColumnRenamed("series", "used").join(F.broadcast(chosen.select("series", "used")), "used")
+    wide = read.groupBy("Date").pivot("series", names).agg(*[F.max(m).alias(m) for m in measures])
     spine = dates.select("Date").distinct().join(F.broadcast(wide), "Date", "left")  # calendar-bounded
     filled = Window.orderBy("Date").rowsBetween(Window.unboundedPreceding, 0)
     return spine.select(
@@ -66,19 +90,22 @@ def external_matrix(
     )
 
 
-def add_external(bars: DataFrame, series: DataFrame, names: list[str], same_date=SAME_DATE_SERIES) -> DataFrame:
-    return bars.join(F.broadcast(external_matrix(series, bars, names, same_date)), "Date", "left")  # calendar-bounded
+def add_external(
+    bars: DataFrame, series: DataFrame, names: list[str], same_date=SAME_DATE_SERIES, substitutes: Mapping[str, Sequence[str]] = SERIES_SUBSTITUTES
+) -> DataFrame:
+    return bars.join(F.broadcast(external_matrix(series, bars, names, same_date, substitutes)), "Date", "left")  # calendar-bounded
 
 
-def source_coverage(requested: DataFrame, landed: DataFrame) -> DataFrame:
-    """Requested, successful and failed series (column ``series``) and how many used a substitute."""
-    hit = landed.select("series", F.lit(1).alias("_hit")).distinct()
-    joined = requested.join(small(hit), "series", "left")
-    return joined.agg(
+def source_coverage(chosen: DataFrame) -> DataFrame:
+    """Requested, successful and failed series and how many were read from a substitute, of ``choose_series``' rows.
+    ``ratio`` is the share of successful ones, 1.0 when none was requested."""
+    counted = chosen.agg(
         F.count(F.lit(1)).alias("requested"),
-        F.sum(F.coalesce("_hit", F.lit(0))).alias("successful"),
-        F.sum(F.when(F.col("_hit").isNull(), 1).otherwise(0)).alias("failed"),
+        F.count("used").alias("successful"),
+        F.count(F.when(F.col("used").isNull(), 1)).alias("failed"),
+        F.count(F.when(F.col("step") > 0, 1)).alias("substituted"),
     )
+    return counted.withColumn("ratio", F.coalesce(F.try_divide("successful", "requested"), F.lit(1.0)))
 
 
 def add_flows(bars: DataFrame, flows: DataFrame) -> DataFrame:

@@ -284,8 +284,34 @@ def written_detail(spark, sf):
     """SELECT 'orders' AS relative_path, (SELECT count(*) FROM orders) AS row_count, 'o_orderkey;o_custkey' AS columns, '1.0' AS schema_version UNION ALL SELECT 'customer', (SELECT count(*) FROM customer), 'c_custkey', '1.0'""",
 )
 def manifest(spark, sf):
-    orders = t.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    return sinks.manifest(spark, {"orders": orders, "customer": t.table(spark, sf, "customer").select("c_custkey")})
+    """Two tables are written; their rows are counted by the writes."""
+    tables = {"orders": t.table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "customer": t.table(spark, sf, "customer").select("c_custkey")}
+    root = scratch_path(spark, "run")
+    return sinks.manifest(spark, {name: sinks.write_artifact(df, f"{root}/{name}") for name, df in tables.items()})
+
+
+@query(
+    "sk03_publish_latest",
+    f"""WITH {BARS}, m AS (SELECT max("Date") AS last FROM bars) SELECT {d()}, "Symbol", {r('"Close" + 1', "Close")}, 'run-3' AS source_run_id, 2 AS dates FROM bars, m WHERE "Date" >= last - 10""",
+)
+def publish_latest(spark, sf):
+    """Three publishes over two dates, then one that fails for a missing field: the third stays the latest."""
+    bars = t.daily_bars(spark, sf).select("Date", "Symbol", "Close")
+    last = bars.agg(F.max("Date").alias("last"))
+    recent = bars.join(F.broadcast(last), F.col("Date") >= F.date_sub("last", 10)).drop("last")  # one row
+    root, fields = scratch_path(spark, "published"), {"detail": ["Date", "Symbol", "Close"]}
+    put = lambda df, day, run: sinks.publish_snapshot({"detail": df}, root, day, run, f"{day}T16:00:00+09:00", 0, required=fields)
+    put(bars, "2001-01-02", "run-1")
+    put(recent, "2001-01-03", "run-2")
+    put(recent.withColumn("Close", F.col("Close") + 1), "2001-01-03", "run-3")
+    try:
+        put(recent.drop("Close"), "2001-01-04", "run-4")
+    except ValueError as refused:
+        if "required fields" not in str(refused):
+            raise
+    index = sinks.published_index(spark, root)
+    run, dates = index.agg(F.max(F.when(F.col("is_latest"), F.col("source_run_id"))), F.count(F.lit(1))).first()
+    return sinks.read_published(spark, root, "detail").withColumns({"source_run_id": F.lit(run), "dates": F.lit(dates)})
 
 
 @query(
@@ -365,15 +391,26 @@ def top_buys(spark, sf):
     return out.select("Date", "Symbol", "predicted_return", "portfolio_action")
 
 
-@query("pf43_schema_contract", """SELECT o_orderkey FROM orders""")
+CONTRACTS = {"orders": ["o_orderkey", "priority", "shipped_at", "o_totalprice"], "customer": ["c_custkey", "phone"], "supplier": ["s_suppkey", "s_comment_hash"]}
+
+
+@query(
+    "pf43_schema_contract",
+    """WITH o AS (SELECT count(*) AS n, count(*) FILTER (o_orderpriority = '1-URGENT') AS a FROM orders), c AS (SELECT count(*) AS n, count(*) FILTER (c_acctbal < 0) AS a FROM customer), s AS (SELECT count(*) AS n FROM supplier)
+    SELECT 'orders' AS relative_path, 'o_orderkey' AS field, 1 AS present, 0 AS null_count, n AS row_count FROM o UNION ALL SELECT 'orders', 'priority', 1, a, n FROM o UNION ALL SELECT 'orders', 'shipped_at', 0, NULL, n FROM o
+    UNION ALL SELECT 'orders', 'o_totalprice', 1, 0, n FROM o UNION ALL SELECT 'customer', 'c_custkey', 1, 0, n FROM c UNION ALL SELECT 'customer', 'phone', 1, a, n FROM c
+    UNION ALL SELECT 'supplier', 's_suppkey', 1, 0, n FROM s UNION ALL SELECT 'supplier', 's_comment_hash', 0, NULL, n FROM s""",
+)
 def schema_contract(spark, sf):
-    """A written table must carry its required columns; the check runs before the write."""
-    df = t.table(spark, sf, "orders").select("o_orderkey")
-    missing = sinks.missing_report_fields([*df.columns, *sinks.REPORT_FIELDS])
-    if missing:
-        raise ValueError(missing)
-    assert sinks.missing_report_fields(df.columns) == list(sinks.REPORT_FIELDS)
-    return df
+    """Required fields of three written tables: which are there, and how many rows lack a value."""
+    tables = {
+        "orders": t.table(spark, sf, "orders").select("o_orderkey", F.nullif("o_orderpriority", F.lit("1-URGENT")).alias("priority"), "o_totalprice"),
+        "customer": t.table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_acctbal") >= 0, F.lit("known")).alias("phone")),
+        "supplier": t.table(spark, sf, "supplier").select("s_suppkey"),
+    }
+    root = scratch_path(spark, "contract")
+    written = {name: sinks.write_artifact(df, f"{root}/{name}", required=CONTRACTS[name]) for name, df in tables.items()}
+    return sinks.contract_report(spark, written, CONTRACTS)
 
 
 @query(

@@ -41,6 +41,32 @@ def external_series(spark, sf):
     return out.select("Date", "Symbol", "r0_close", "r0_ret_1d", "r1_close", "r1_ret_1d")
 
 
+SUBSTITUTES = """
+named AS (SELECT 'R' || n_regionkey AS region, "Date", floor(sum("Close") / count(*) * 1e6 + 0.5) / 1e6 AS close FROM bars
+  JOIN supplier ON "Symbol" = 'S' || s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2),
+landed AS (SELECT used, "Date", close FROM named JOIN (VALUES ('R0', 'SOXX'), ('R1', '^VIX'), ('R1', 'VIXY'), ('R2', 'QQQ'), ('R3', 'EWY'), ('R4', '^KQ11')) v(region, used) USING (region)),
+seen AS (SELECT used, "Date", close, close / lag(close) OVER w - 1 AS ret FROM landed WINDOW w AS (PARTITION BY used ORDER BY "Date")),
+lagd AS (SELECT used, "Date", CASE WHEN used = '^KQ11' THEN close ELSE lag(close) OVER w END AS close, CASE WHEN used = '^KQ11' THEN ret ELSE lag(ret) OVER w END AS ret
+  FROM seen WINDOW w AS (PARTITION BY used ORDER BY "Date")),
+wide AS (SELECT c."Date", max(close) FILTER (used = 'SOXX') AS sox, max(close) FILTER (used = '^VIX') AS vix, max(close) FILTER (used = 'QQQ') AS qqq, max(ret) FILTER (used = 'QQQ') AS qret,
+  max(close) FILTER (used = 'EWY') AS ewy, max(close) FILTER (used = '^KQ11') AS kq FROM (SELECT DISTINCT "Date" FROM bars) c LEFT JOIN lagd USING ("Date") GROUP BY 1)"""
+SUBSTITUTED = {"sox_close": "sox", "vix_close": "vix", "ixic_close": "qqq", "nq_f_close": "qqq", "nq_f_ret_1d": "qret", "ks11_close": "ewy", "kq11_close": "kq"}
+
+
+@query(
+    "jn01b_series_substitutes",
+    f"""WITH {BARS}, {SUBSTITUTES} SELECT {d()}, {", ".join(r(f'last_value({c} IGNORE NULLS) OVER w', n) for n, c in SUBSTITUTED.items())}, CAST(NULL AS DOUBLE) AS tnx_close
+    FROM wide WINDOW w AS (ORDER BY "Date" ROWS UNBOUNDED PRECEDING)""",
+)
+def series_substitutes(spark, sf):
+    """Series that did not land are read from their substitutes: lagged as the substitute is, one of them under two names."""
+    places = F.create_map(*[F.lit(x) for x in ("R0", "SOXX", "R1", "^VIX", "R2", "QQQ", "R3", "EWY", "R4", "^KQ11")])
+    named = region_series(spark, sf).withColumn("series", places[F.col("series")])
+    landed = named.unionByName(named.where(F.col("series") == "^VIX").withColumn("series", F.lit("VIXY")))
+    names = ["^SOX", "^VIX", "^IXIC", "NQ=F", "^KS11", "^KQ11", "^TNX"]
+    return context.external_matrix(landed, t.daily_bars(spark, sf), names).select("Date", *SUBSTITUTED, "tnx_close")
+
+
 @query(
     "jn02_investor_flows",
     f"""WITH {BARS}, {CALENDAR}, {FLOWS} SELECT {d()}, "Symbol", {r("coalesce(foreign_net_buy, \"Volume\")", "foreign_net_buy")},
@@ -82,10 +108,15 @@ def disclosure_join(spark, sf):
 
 @query(
     "ag23_coverage_ratios",
-    """SELECT count(*) AS requested, sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) AS successful, sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS failed
-    FROM (SELECT s_suppkey, count(user_id) AS n FROM supplier LEFT JOIN events ON user_id = s_suppkey GROUP BY 1)""",
+    f"""WITH u AS (SELECT DISTINCT user_id AS k FROM events), c AS (SELECT s_suppkey, CASE WHEN s_suppkey IN (SELECT k FROM u) THEN 0 WHEN s_suppkey + 7 IN (SELECT k FROM u) THEN 1 WHEN s_suppkey * 2 IN (SELECT k FROM u) THEN 2 END AS step FROM supplier)
+    SELECT count(*) AS requested, count(step) AS successful, count(*) - count(step) AS failed, count(*) FILTER (step > 0) AS substituted, {r("count(step) / count(*)", "ratio")} FROM c""",
 )
 def coverage_ratios(spark, sf):
-    requested = t.table(spark, sf, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("series"))
-    landed = t.table(spark, sf, "events").select(F.concat(F.lit("S"), F.col("user_id")).alias("series"))
-    return context.source_coverage(requested, landed)
+    """Every supplier's series, with two substitutes each."""
+    k = F.col("s_suppkey")
+    listed = F.posexplode(F.array(k, k + 7, k * 2)).alias("step", "number")
+    chains = t.table(spark, sf, "supplier").select(k, listed).select(
+        F.concat(F.lit("S"), k).alias("series"), F.concat(F.lit("S"), F.col("number")).alias("used"), "step"
+    )
+    landed = t.table(spark, sf, "events").select(F.concat(F.lit("S"), F.col("user_id")).alias("series"), F.col("value").alias("close"))
+    return context.source_coverage(context.choose_series(landed, chains))

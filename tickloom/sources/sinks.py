@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,30 +22,109 @@ REPORT_FIELDS = (
 )
 
 
-def write_artifact(df: DataFrame, path: str, csv: bool = False) -> None:
+@dataclass(frozen=True)
+class Written:
+    """What a write put down: counted while it ran, columns as the files have them."""
+
+    path: str
+    rows: int
+    columns: tuple[str, ...]
+    nulls: dict[str, int]
+
+    def missing(self, required: Sequence[str]) -> list[str]:
+        return [c for c in required if c not in self.columns]
+
+
+def write_artifact(df: DataFrame, path: str, csv: bool = False, required: Sequence[str] = ()) -> Written:
     """Parquet by default; ``csv`` adds a header and a byte-order mark for spreadsheet tools.
-    The CSV stays split by partition: a single file would pull everything into one task."""
-    if not csv:
-        df.write.mode("overwrite").parquet(path)
-        return
-    first, *rest = df.columns
-    marked = df.select(F.col(f"`{first}`").alias("﻿" + first), *[F.col(f"`{c}`") for c in rest])
-    marked.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
-
-
-def manifest(spark: SparkSession, artifacts: dict[str, DataFrame], version: str = SCHEMA_VERSION) -> DataFrame:
-    """One row per artifact with its row count and columns. Counts run as one job."""
-    parts = [
-        df.agg(F.count(F.lit(1)).alias("row_count")).select(
-            F.lit(path).alias("relative_path"), "row_count",
-            F.array(*[F.lit(c) for c in df.columns]).alias("columns"), F.lit(version).alias("schema_version"),
-        )
-        for path, df in artifacts.items()
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    The CSV stays split by partition: a single file would pull everything into one task.
+
+    Rows, and nulls of the ``required`` columns, are counted by the write itself.
+    """
+    seen = Observation(f"written-{uuid.uuid4().hex}")
+    checked = [c for c in required if c in df.columns]
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count(F.when(F.col(f"`{c}`").isNull(), 1)).alias(f"nulls_{i}") for i, c in enumerate(checked)])
+    if csv:
+        first, *rest = df.columns
+        marked = counted.select(F.col(f"`{first}`").alias("\ufeff" + first), *[F.col(f"`{c}`") for c in rest])
+        marked.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+        columns = [c.removeprefix("\ufeff") for c in df.sparkSession.read.option("header", True).csv(path).columns] or df.columns
+    else:
+        counted.write.mode("overwrite").parquet(path)
+        columns = df.sparkSession.read.parquet(path).columns
+    found = seen.get
+    return Written(path, found.get("rows") or 0, tuple(columns), {c: found.get(f"nulls_{i}") or 0 for i, c in enumerate(checked)})
+
+
+def manifest(spark: SparkSession, written: Mapping[str, Written], version: str = SCHEMA_VERSION) -> DataFrame:
+    """One row per artifact with its row count and columns, without reading a row again."""
+    rows = [(name, w.rows, list(w.columns), version) for name, w in written.items()]
+    return spark.createDataFrame(rows, "relative_path string, row_count long, columns array<string>, schema_version string")
+
+
+def contract_report(spark: SparkSession, written: Mapping[str, Written], required: Mapping[str, Sequence[str]]) -> DataFrame:
+    """One row per artifact and required field: is it there, and in how many rows it is null."""
+    rows = [(name, field, field in w.columns, w.nulls.get(field), w.rows) for name, w in written.items() for field in required.get(name, ())]
+    return spark.createDataFrame(rows, "relative_path string, field string, present boolean, null_count long, row_count long")
+
+
+def require_fields(written: Mapping[str, Written], required: Mapping[str, Sequence[str]]) -> None:
+    """Raise with all missing fields of all artifacts."""
+    missing = {name: gone for name, w in written.items() if (gone := w.missing(required.get(name, ())))}
+    if missing:
+        raise ValueError(f"required fields are missing: {missing}")
+
+
+PUBLISH_LOG = "sequence long, version string, trading_date string, generated_at string, source_run_id string, mode string, symbol_count long"
+
+
+def _publish_log(spark: SparkSession, root: str) -> DataFrame:
+    try:
+        spark.read.parquet(f"{root}/log")
+    except AnalysisException as missing:  # nothing was published yet, or the first publish never ended
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], PUBLISH_LOG)
+    return spark.read.schema(PUBLISH_LOG).parquet(f"{root}/log")
+
+
+def publish_snapshot(
+    artifacts: Mapping[str, DataFrame], root: str, trading_date: str, source_run_id: str, generated_at: str, symbol_count: int,
+    mode: str = "rule_based", required: Mapping[str, Sequence[str]] | None = None,
+) -> str:
+    """Write a run's tables as one version; the row in the log that makes it the latest comes last.
+
+    Readers follow the log, so they see the whole version or the one before. A publish
+    that fails, because a required artifact or field is missing or a write breaks, leaves
+    no row: its folder is never read. One writer at a time.
+    """
+    required = required or {}
+    absent = [name for name in required if name not in artifacts]
+    if absent:
+        raise ValueError(f"artifacts to publish are missing: {absent}")
+    spark = next(iter(artifacts.values())).sparkSession
+    version = f"{trading_date}-{uuid.uuid4().hex}"
+    written = {name: write_artifact(df, f"{root}/versions/{version}/{name}", required=required.get(name, ())) for name, df in artifacts.items()}
+    require_fields(written, required)
+    last = _publish_log(spark, root).agg(F.max("sequence")).first()[0]
+    row = ((last or 0) + 1, version, trading_date, generated_at, source_run_id, mode, symbol_count)
+    spark.createDataFrame([row], PUBLISH_LOG).coalesce(1).write.mode("append").parquet(f"{root}/log")
+    return version
+
+
+def published_index(spark: SparkSession, root: str) -> DataFrame:
+    """The newest publish of every trading date with its metadata; ``is_latest`` marks the newest date."""
+    return publish_index(_publish_log(spark, root), "sequence")
+
+
+def read_published(spark: SparkSession, root: str, artifact: str, trading_date: str | None = None) -> DataFrame:
+    """An artifact of the publish that was made last, or made last for a trading date."""
+    log = _publish_log(spark, root)
+    chosen = log if trading_date is None else log.where(F.col("trading_date") == trading_date)
+    row = chosen.orderBy(F.col("sequence").desc()).limit(1).collect()  # one row
+    if not row:
+        raise ValueError(f"nothing is published in {root}" + (f" for {trading_date}" if trading_date else ""))
+    return spark.read.parquet(f"{root}/versions/{row[0]['version']}/{artifact}")
 
 
 def publish(df: DataFrame, root: str, trading_date: str = "trading_date") -> None:
