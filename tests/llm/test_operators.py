@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -309,16 +310,98 @@ def _is_subsequence(part, whole):
     return all(x in rest for x in part)
 
 
-def test_gram_probabilities_sum_to_one_and_match_brute_force(spark):
+def brute_kneser_ney(counts):
+    """p of every order-4 gram (a tuple) by the textbook recursion; counts: gram -> occurrences in training text."""
+    levels = [{g: c for g, c in counts.items() if c}]
+    for _ in range(quality.ORDER - 1):
+        below = Counter(g[1:] for g in levels[-1])
+        levels.append(dict(below))
+    tables = []
+    for level in reversed(levels):
+        n = [sum(c == i for c in level.values()) for i in (1, 2, 3, 4)]
+        if min(n) > 0:
+            y = n[0] / (n[0] + 2 * n[1])
+            d = [min(float(i), max(0.05, i - (i + 1) * y * n[i] / n[i - 1])) for i in (1, 2, 3)]
+        else:
+            d = [0.5, 0.75, 1.0]
+        total, kinds = Counter(), defaultdict(lambda: [0, 0, 0])
+        for g, c in level.items():
+            total[g[:-1]] += c
+            kinds[g[:-1]][min(c, 3) - 1] += 1
+        tables.append((level, d, total, kinds))
+
+    def p(gram, width=quality.ORDER):
+        level, d, total, kinds = tables[width - 1]
+        gram, context = gram[-width:], gram[-width:-1]
+        if width == 1:
+            rest = sum(x * k for x, k in zip(d, kinds[()])) / total[()] / (sum(kinds[()]) + 1)
+        else:
+            rest = p(gram, width - 1)
+            if not total[context]:
+                return rest
+            rest *= sum(x * k for x, k in zip(d, kinds[context])) / total[context]
+        c = level.get(gram, 0)
+        return (max(c - d[min(c, 3) - 1], 0) / total[context] if c else 0.0) + rest
+
+    return p
+
+
+def grams(text):
+    padded = chr(quality.START) * (quality.ORDER - 1) + text
+    return [tuple(padded[i : i + quality.ORDER]) for i in range(len(text))]
+
+
+def test_perplexities_and_limits_match_a_brute_force_model(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BUCKET_BYTES", 2000)
+    monkeypatch.setattr(quality, "CHUNK_BYTES", 1500)
+    rng = random.Random(12)
+    draw = lambda lang: " ".join("".join(rng.choices("abcdeéß😀" if lang == "de" else "abcxyz", k=rng.randint(1, 5))) for _ in range(rng.randint(1, 25)))
+    rows = [(i, lang, draw(lang)) for i, lang in enumerate(rng.choice(["en", "de", "XX", None, "fr"]) for _ in range(150))]
+    rows += [(200, "en", ""), (201, "de", None), (None, "en", "abc"), (3, "en", "a repeated id")]
+    kinds = {i: (rng.choice([0, 1, 1]), rng.choice([0, 0, 1])) for i in range(0, 150, 2) if rows[i][1] != "fr"}  # French has no training text
+    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, lang string, text string, gram int")
+    labels = spark.createDataFrame([(i, *k) for i, k in kinds.items()], "doc_id long, quality int, toxic int")
+    folds = {r[0]: r[1] for r in labels.selectExpr("doc_id", f"pmod(xxhash64(doc_id), {quality.FOLDS}) AS fold").collect()}
+    code = lambda lang: lang if lang in ("en", "de", "fr") else "other"
+    good, bad = defaultdict(Counter), defaultdict(Counter)
+    for i, lang, text in rows:
+        if i in kinds and folds[i] > 0:
+            if kinds[i][1]:
+                bad[code(lang)].update(set(grams(text)))
+            elif kinds[i][0]:
+                good[code(lang)].update(grams(text))
+    fold = lambda g: tuple(chr(ord(c) if ord(c) < 0x10000 else 0xE000 + ord(c) % 6400) for c in g)
+    models = {lang: brute_kneser_ney(Counter({fold(g): n for g, n in c.items()})) for lang, c in good.items()}
+    toxic = {lang: (brute_kneser_ney(Counter({fold(g): n for g, n in c.items()})), {fold(g) for g in c}) for lang, c in bad.items()}
+    got = defaultdict(list)
+    for r in quality.perplexities(docs, labels).collect():
+        got[r.doc_id, r.n_chars].append(r)
+    for i, lang, text in rows:
+        r = got[i, len(text or "")].pop()
+        assert r.lang == code(lang)
+        if not text or code(lang) not in models:
+            assert r.nll is None
+            continue
+        p = [models[code(lang)](fold(g)) for g in grams(text)]
+        assert r.nll == pytest.approx(-sum(map(math.log, p)), rel=1e-5)
+        gains = [math.log(toxic[code(lang)][0](fold(g)) / x) if fold(g) in toxic[code(lang)][1] else 0.0 for g, x in zip(grams(text), p)]
+        assert r.gain == pytest.approx(quality._largest_word(np.array(gains), text), abs=1e-4)
+    judged = [r for r in quality.classify(docs, labels).collect() if r.lang == "en" and r.perplexity is not None]
+    held = [math.log(r.perplexity) for r in judged if r.doc_id in kinds and kinds[r.doc_id] == (1, 0) and folds[r.doc_id] == 0]
+    limits = {r.limit for r in judged}
+    assert len(limits) == 1 and math.log(limits.pop()) >= max(held) - 1e-9  # a high quantile of the few held out, and some more
+
+
+def test_probabilities_of_a_context_sum_to_one(spark):
     text = "abracadabra abra cadabra"
-    grams = quality.grams_of(text)
-    seen = Counter(grams.tolist())
-    every = [int(g) for g in grams] + [(int(grams[9]) >> 16 << 16 | ord(c)) & (1 << 64) - 1 for c in set(text) | {"z"}]
-    rows = [("en", common.sixty_four(g), seen.get(g, 0)) for g in set(every)]
-    got = {r.gram & (1 << 64) - 1: r.p for r in quality.gram_probabilities(spark.createDataFrame(rows, "lang string, gram long, n long")).collect()}
-    context = int(grams[9]) >> 16
-    total = sum(p for g, p in got.items() if g >> 16 == context)
-    assert abs(total - 1) < 1e-9  # all symbols and one unseen
+    values = quality.grams_of(text)
+    seen = Counter(values.tolist())
+    every = [int(g) for g in values] + [(int(values[9]) >> 16 << 16 | ord(c)) & (1 << 64) - 1 for c in set(text) | {"z"}]
+    rows = [("en", common.sixty_four(g), seen.get(g, 0), 0) for g in set(every)]
+    found = quality.gram_probabilities(spark.createDataFrame(rows, "lang string, gram long, c1 long, c2 long")).collect()
+    context = int(values[9]) >> 16
+    assert abs(sum(r.p1 for r in found if (r.gram & (1 << 64) - 1) >> 16 == context) - 1) < 1e-9  # all symbols and one unseen
+    assert all(r.p2 is None for r in found)
 
 
 def test_quality_classifier(spark, docs, nothing, sf):

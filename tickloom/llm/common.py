@@ -8,6 +8,7 @@ windows, probabilities of n-grams) are cogrouped with it. A chunk and its notes
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,9 +39,7 @@ def _cut(table: pa.Table, limit: int) -> Iterator[pa.Table]:
         yield table.slice(a, b - a)
 
 
-def pack_chunks(docs: DataFrame, columns: list[str], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(chunk, blob) rows that hold ``columns`` of every document, dealt by chunk. ``text`` is one of them."""
-
+def _packed(docs: DataFrame, columns: list[str], chunk_bytes: int) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))
@@ -54,7 +53,29 @@ def pack_chunks(docs: DataFrame, columns: list[str], chunk_bytes: int = CHUNK_BY
                 yield pa.RecordBatch.from_pydict({"chunk": [(part << 32) + number], "blob": [sink.getvalue().to_pybytes()]})
                 number += 1
 
-    return docs.select(*columns).mapInArrow(pack, "chunk long, blob binary").repartition("chunk")
+    return docs.select(*columns).mapInArrow(pack, "chunk long, blob binary")
+
+
+def pack_chunks(docs: DataFrame, columns: list[str], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(chunk, blob) rows that hold ``columns`` of every document, dealt by chunk. ``text`` is one of them."""
+    return _packed(docs, columns, chunk_bytes).repartition("chunk")
+
+
+def chunk_table(docs: DataFrame, columns: list[str], total_bytes: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The rows of ``pack_chunks``, written once in the shared folder and bucketed by chunk.
+
+    Jobs of their own may read it, each cogroups notes with it without moving a text again. The table's name is
+    dropped at once; the files stay where ``spark.checkpoint.dir`` says.
+    """
+    from tickloom.session import scratch_path
+
+    spark = docs.sparkSession
+    name, buckets = f"chunks_{uuid.uuid4().hex}", max(12, total_bytes // (2 * chunk_bytes))
+    writer = _packed(docs, columns, chunk_bytes).write.bucketBy(buckets, "chunk").option("path", scratch_path(spark, "chunks"))
+    writer.saveAsTable(name, format="parquet")
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def open_chunk(blob: bytes) -> pa.Table:

@@ -2,11 +2,12 @@
 
 The model is of order four over characters (16-bit symbols, so that a gram is one long; code points above the
 basic plane fold into the private area), one model per language, trained on the documents that the labels
-call good and not toxic, but for one fold in five, by a hash of doc_id, which sets the limits. Each chunk of documents sends its distinct grams with their trusted counts; they are
-dealt by gram once, and counts, continuation counts, context totals and discounts are grouped and joined
-there, level by level. The probability of every gram that occurs anywhere goes back to the chunks that hold
-it, where each document sums its logarithms. A gram's rows are as many as chunks hold it, whatever its
-frequency.
+call good and not toxic, but for one fold in five, by a hash of doc_id, which sets the limits. Each chunk of documents
+sends its distinct grams, with the counts of those in training text, as sorted runs by bucket of a uniform hash;
+a gram is there once per chunk, whatever its frequency. The buckets sum the counts of distinct grams into one table;
+continuation counts, context totals, discounts and probabilities follow level by level, both models side by side, each
+level written before the next. A bucket then answers every run with the logarithms of its grams, and the chunks sum them
+for each document.
 
 A document is rejected if its perplexity is above the limit of its language: a high quantile of the
 perplexities of the trusted documents held out plus ``slack`` times the distance from the median to that quantile. A short text
@@ -26,19 +27,18 @@ an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import repeats as R
-from tickloom.llm.common import pack_chunks, scan_chunks, scan_with_notes, stored
+from tickloom.llm.common import chunk_table, scan_chunks, scan_with_notes, stored, text_bytes
 
 ORDER = 4
 START = 2
 CHUNK_BYTES = 8 << 20
+BUCKET_BYTES = 24 << 20  # text bytes for each bucket of grams
 PRIOR = 200
 QUANTILE = 0.99
 SLACK = 1.0
@@ -76,94 +76,122 @@ def _labelled(labels: DataFrame) -> DataFrame:
     return kinds.select("doc_id", (F.col("t") == 1).alias("toxic"), F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).alias("fold"))
 
 
-def _count(chunk: int, table: pa.Table, notes: pa.Table) -> pa.Table:
+def _bucketed(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of grams, ranges of a uniform hash, and the order by bucket that keeps the order inside each."""
+    bucket = ((R.mix(grams) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    return bucket, np.argsort(bucket, kind="stable")
+
+
+def _distinct(texts: list[str]) -> np.ndarray:
+    return R.sorted_distinct(np.concatenate([grams_of(t) for t in texts])) if texts else np.zeros(0, np.uint64)
+
+
+def _count(chunk: int, table: pa.Table, notes: pa.Table, buckets: int) -> pa.Table:
+    """A chunk's distinct grams as a sorted run for each language and bucket, with the places and counts of those in training text."""
     texts = table["text"].to_pylist()
     kind = dict(zip(notes["row"].to_pylist(), notes["toxic"].to_pylist()))
-    chunks, langs, grams, counts = [], [], [], []
+    out: list[tuple] = []
     for name, rows in _by_language(table).items():
-        parts = [(grams_of(texts[r]), kind.get(r)) for r in rows if texts[r]]
-        if not parts:
+        values = _distinct([texts[r] for r in rows if texts[r]])
+        if not len(values):
             continue
-        values = np.unique(np.concatenate([g for g, _ in parts]))
         count = np.zeros((len(values), 2), np.int64)
-        for column, used in enumerate(([g for g, t in parts if t is False], [np.unique(g) for g, t in parts if t])):
+        for column, toxic in enumerate((False, True)):
+            used = [grams_of(texts[r]) for r in rows if texts[r] and kind.get(r) is toxic]
             if used:
-                seen, n = np.unique(np.concatenate(used), return_counts=True)
+                seen, n = np.unique(np.concatenate([R.sorted_distinct(g) for g in used] if toxic else used), return_counts=True)
                 count[np.searchsorted(values, seen), column] = n
-        grams.append(values.view(np.int64))
-        counts.append(count)
-        langs += [name] * len(values)
-    size = len(langs)
-    held = np.column_stack([np.full(size, chunk, np.int64), np.concatenate(counts) if counts else np.zeros((0, 2), np.int64)])
-    return pa.table({
-        "lang": pa.array(langs, pa.string()), "gram": pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64)),
-        "held": pa.ListArray.from_arrays(pa.array(np.arange(size + 1, dtype=np.int32) * 3), pa.array(held.ravel())),
-    })
+        bucket, order = _bucketed(values, buckets)
+        values, count, bucket = values[order], count[order], bucket[order]
+        first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        for a, z in zip(first.tolist(), [*first[1:].tolist(), len(values)]):
+            at = np.flatnonzero(count[a:z].any(axis=1))
+            out.append((name, int(bucket[a]), chunk, R.pack_sorted(values[a:z]), at.astype("<i4").tobytes(), count[a:z][at].astype("<i8").tobytes()))
+    kinds = (("lang", pa.string()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("run", pa.binary()), ("places", pa.binary()), ("counts", pa.binary()))
+    return pa.table({n: pa.array([r[i] for r in out], k) for i, (n, k) in enumerate(kinds)})
 
 
-def _fresh(df: DataFrame) -> DataFrame:
-    """New column ids: a join of two branches of one plan then leaves both as they are, and Spark reuses their common exchange."""
-    return df.select(*[F.col(c).alias(c) for c in df.columns])
+def _sum_counts(table: pa.Table) -> pa.Table:
+    """The counts of a bucket's distinct grams over all chunks."""
+    parts = [R.unpack_sorted(b) for b in table["run"].to_pylist()]
+    starts = np.cumsum([0, *map(len, parts)])
+    values, back = np.unique(np.concatenate(parts), return_inverse=True)
+    total = np.zeros((len(values), 2), np.int64)
+    for start, places, counts in zip(starts.tolist(), table["places"].to_pylist(), table["counts"].to_pylist()):
+        np.add.at(total, back[start + np.frombuffer(places, "<i4")], np.frombuffer(counts, "<i8").reshape(-1, 2))
+    n = len(values)
+    return pa.table({"lang": pa.array([table["lang"][0].as_py()] * n, pa.string()), "bucket": pa.array(np.full(n, table["bucket"][0].as_py(), np.int32)),
+                     "gram": pa.array(values.view(np.int64)), "c1": pa.array(total[:, 0]), "c2": pa.array(total[:, 1])})
 
 
-def _discounts(level: DataFrame) -> DataFrame:
-    """Per language, the discounts of grams seen once, twice and more, from the counts of counts."""
-    kinds = level.where("c > 0").groupBy("lang").agg(*[F.sum((F.col("c") == i).cast("long")).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)])
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-    known = F.least("n1", "n2", "n3", "n4") > 0
-    ds = [F.when(known, F.least(F.lit(float(i)), F.greatest(F.lit(0.05), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")))).otherwise(F.lit(0.5 + 0.25 * (i - 1))) for i in (1, 2, 3)]
-    return kinds.select("lang", *[d.alias(f"d{i}") for i, d in enumerate(ds, 1)])
+MODELS = (1, 2)  # of trusted and of toxic text, side by side in one table
 
 
-def _interpolate(level: DataFrame, lower: DataFrame | None) -> DataFrame:
-    """(lang, gram, p) for a level's grams (lang, gram, c) of w symbols, from the probabilities of w - 1."""
-    discounts = F.broadcast(_fresh(_discounts(level)))  # a row per language code of up to three letters
+def _discounts(level: DataFrame) -> DataFrame:
+    """Per language and model, the discounts of grams seen once, twice and more, from the counts of counts."""
+    kinds = level.groupBy("lang").agg(*[F.sum((F.col(f"c{m}") == i).cast("long")).cast("double").alias(f"n{m}{i}") for m in MODELS for i in (1, 2, 3, 4)])
+    out = []
+    for m in MODELS:
+        n = [F.col(f"n{m}{i}") for i in (1, 2, 3, 4)]
+        y = F.try_divide(n[0], n[0] + 2 * n[1])
+        for i in (1, 2, 3):
+            d = F.least(F.lit(float(i)), F.greatest(F.lit(0.05), i - (i + 1) * y * F.try_divide(n[i], n[i - 1])))
+            out.append(F.when(F.least(*n) > 0, d).otherwise(F.lit(0.5 + 0.25 * (i - 1))).alias(f"d{m}{i}"))
+    return kinds.select("lang", *out)
+
+
+def _interpolate(level: DataFrame, lower: DataFrame | None, width: int) -> DataFrame:
+    """``level``, the counts c1 and c2 of grams of ``width`` symbols, with their probabilities p1 and p2, from those of ``width - 1``.
+
+    A model without any count in a language has no probabilities there.
+    """
     prefix = F.shiftrightunsigned("gram", 16)
-    context = level.where("c > 0").groupBy("lang", prefix.alias("prefix")).agg(
-        F.sum("c").alias("total"), *[F.sum(test.cast("long")).alias(f"k{i}") for i, test in enumerate((F.col("c") == 1, F.col("c") == 2, F.col("c") >= 3), 1)]
-    )
-    joined = level.withColumn("prefix", prefix).join(_fresh(context), ["lang", "prefix"], "left").join(discounts, "lang", "left")
-    off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    own = F.when(F.col("c") > 0, F.greatest(F.col("c") - off, F.lit(0.0)) / F.col("total")).otherwise(0.0)
-    gamma = (F.col("d1") * F.col("k1") + F.col("d2") * F.col("k2") + F.col("d3") * F.col("k3")) / F.col("total")
-    if lower is None:  # the context of single symbols is empty: what is left is spread over all symbols and one unseen
-        return joined.select("lang", "gram", (own + gamma / (F.col("k1") + F.col("k2") + F.col("k3") + 1)).alias("p"))
-    p = F.when(F.col("total").isNull(), F.col("below")).otherwise(own + gamma * F.col("below"))
-    return joined.withColumn("suffix", _suffix(level)).join(lower.select(F.col("lang").alias("lang"), F.col("gram").alias("suffix"), F.col("p").alias("below")), ["lang", "suffix"]).select("lang", "gram", p.alias("p"))
-
-
-def _suffix(level: DataFrame):
-    return F.col("gram").bitwiseAND(F.col("mask"))
-
-
-def gram_probabilities(grams: DataFrame, seen_only: bool = False) -> DataFrame:
-    """(lang, gram, p) for all distinct grams of (lang, gram, n), or those with a count; n counts a gram in the training text."""
-    counted = grams.groupBy("lang", "gram").agg(F.sum("n").alias("c"))
-    levels = [(counted.where("c > 0") if seen_only else counted).withColumn("mask", F.lit((1 << 16 * (ORDER - 1)) - 1))]
+    sums = [F.sum(f"c{m}").alias(f"total{m}") for m in MODELS]
+    sums += [F.sum(test.cast("long")).alias(f"k{m}{i}") for m in MODELS for i, test in enumerate((F.col(f"c{m}") == 1, F.col(f"c{m}") == 2, F.col(f"c{m}") >= 3), 1)]
+    context = level.groupBy("lang", prefix.alias("prefix")).agg(*sums)
+    joined = level.withColumn("prefix", prefix).join(context, ["lang", "prefix"]).join(F.broadcast(_discounts(level)), "lang")  # a row per language code of up to three letters
+    if lower is not None:
+        below = lower.select(F.col("lang"), F.col("gram").alias("suffix"), *[F.col(f"p{m}").alias(f"below{m}") for m in MODELS])
+        joined = joined.withColumn("suffix", _suffix(width - 1)).join(below, ["lang", "suffix"])
+    found = {}
+    for m in MODELS:
+        c, total, (k1, k2, k3), (d1, d2, d3) = F.col(f"c{m}"), F.col(f"total{m}"), (F.col(f"k{m}{i}") for i in (1, 2, 3)), (F.col(f"d{m}{i}") for i in (1, 2, 3))
+        off = F.when(c == 1, d1).when(c == 2, d2).otherwise(d3)
+        own = F.when(c > 0, F.try_divide(F.greatest(c - off, F.lit(0.0)), total)).otherwise(0.0)
+        gamma = F.try_divide(d1 * k1 + d2 * k2 + d3 * k3, total.cast("double"))
+        # The context of single symbols is empty: what is left is spread over all symbols and one unseen.
+        rest = gamma / (k1 + k2 + k3 + 1) if lower is None else gamma * F.col(f"below{m}")
+        found[f"p{m}"] = F.when(total > 0, own + rest) if lower is None else F.when(total > 0, own + rest).otherwise(F.col(f"below{m}"))
+    return joined.select(*level.columns, *[p.alias(n) for n, p in found.items()])
+
+
+def _suffix(width: int):
+    return F.col("gram").bitwiseAND(F.lit((1 << 16 * width) - 1))
+
+
+def gram_probabilities(counted: DataFrame) -> DataFrame:
+    """``counted`` (lang, gram, c1, c2 for distinct grams, more columns may follow) with p1 and p2.
+
+    Each level is written before the next reads it, so no plan holds more than a level's own few joins.
+    """
+    levels = [counted]
     for width in range(ORDER - 1, 0, -1):  # continuation counts: how many symbols come before
         above = levels[-1]
-        levels.append(above.groupBy("lang", _suffix(above).alias("gram")).agg(F.sum((F.col("c") > 0).cast("long")).alias("c")).withColumn("mask", F.lit((1 << 16 * (width - 1)) - 1)))
+        fewer = above.groupBy("lang", _suffix(width).alias("gram")).agg(*[F.sum((F.col(f"c{m}") > 0).cast("long")).alias(f"c{m}") for m in MODELS])
+        levels.append(stored(fewer, "gram-level"))
     p = None
-    for level in reversed(levels):
-        p = _interpolate(level, p)
+    for width, level in enumerate(reversed(levels), 1):
+        p = stored(_interpolate(level, p, width), "gram-probabilities")
     return p
 
 
-def _pack_replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's (chunk, lang, gram, logp, gain) rows as a sorted run for each chunk and language, a fraction of their size."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    table = pa.Table.from_batches(held)
-    names = table["lang"].combine_chunks().dictionary_encode()
-    lang, chunk, gram = names.indices.to_numpy(), table["chunk"].to_numpy(), table["gram"].to_numpy().view(np.uint64)
-    logp, gain = (table[c].to_numpy(zero_copy_only=False) for c in ("logp", "gain"))
-    order = np.lexsort((gram, lang, chunk))
-    lang, chunk, gram, logp, gain = lang[order], chunk[order], gram[order], logp[order].astype(np.float32), gain[order].astype(np.float32)
-    first = np.flatnonzero(np.r_[True, (chunk[1:] != chunk[:-1]) | (lang[1:] != lang[:-1])])
-    values = names.dictionary.to_pylist()
-    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(chunk)]):
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk[a]], pa.int64()), "lang": [values[lang[a]]], "grams": pa.array([R.pack_sorted(gram[a:b])], pa.binary()), "logs": pa.array([logp[a:b].tobytes()], pa.binary()), "gains": pa.array([gain[a:b].tobytes()], pa.binary())})
+def _reply(runs: pa.Table, known: pa.Table) -> pa.Table:
+    """For each run of a bucket its logarithms and gains, in its own order."""
+    gram = known["gram"].to_numpy().view(np.uint64)
+    order = np.argsort(gram)
+    gram, logp, gain = gram[order], *(known[c].to_numpy(zero_copy_only=False).astype(np.float32)[order] for c in ("logp", "gain"))
+    at = [np.searchsorted(gram, R.unpack_sorted(b)) for b in runs["run"].to_pylist()]
+    return pa.table({"chunk": runs["chunk"], "lang": runs["lang"], "bucket": runs["bucket"], "logs": pa.array([logp[i].tobytes() for i in at], pa.binary()), "gains": pa.array([gain[i].tobytes() for i in at], pa.binary())})
 
 
 def _largest_word(gains: np.ndarray, text: str) -> float:
@@ -176,40 +204,43 @@ def _largest_word(gains: np.ndarray, text: str) -> float:
 def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, key (hash of the text), n_chars, nll (sum of negative logarithms; null without a model) and gain (a word's largest) of every row."""
     slim = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"), F.xxhash64("text").alias("key"))
-    chunks = pack_chunks(slim, ["doc_id", "lang", "text", "key"], CHUNK_BYTES)
+    size = text_bytes(slim)
+    buckets = max(1, size // BUCKET_BYTES)
+    chunks = chunk_table(slim, ["doc_id", "lang", "text", "key"], size, CHUNK_BYTES)
 
     def places(chunk: int, table: pa.Table) -> pa.Table:
         n = table.num_rows
         return pa.table({"doc_id": table["doc_id"], "chunk": pa.array(np.full(n, chunk, np.int64)), "row": pa.array(np.arange(n, dtype=np.int32))})
 
     good = scan_chunks(chunks, places, "doc_id long, chunk long, row int").join(_labelled(labels).where("fold > 0"), "doc_id").select("chunk", "row", "toxic")
-    grams = scan_with_notes(chunks, good, _count, "lang string NOT NULL, gram long NOT NULL, held array<long>").repartition("lang", "gram")
-    # chunk and count stay in one column and nothing is null: a pruned column or a null filter would make two exchanges of this one
-    chunk = F.element_at("held", 1).alias("chunk")
-    good_p, toxic_p = (gram_probabilities(grams.select("lang", "gram", F.element_at("held", i).alias("n")), seen_only=i == 3) for i in (2, 3))
-    both = _fresh(good_p).join(_fresh(toxic_p).withColumnRenamed("p", "toxic"), ["lang", "gram"], "left")
-    gain = F.coalesce(F.log("toxic") - F.log("p"), F.lit(0.0)).cast("float").alias("gain")
-    logs = grams.join(both, ["lang", "gram"]).select(chunk, "lang", "gram", F.log("p").cast("float").alias("logp"), gain)
-    replies = logs.mapInArrow(_pack_replies, "chunk long, lang string, grams binary, logs binary, gains binary")
+    counting = lambda chunk, table, notes: _count(chunk, table, notes, buckets)
+    runs = stored(scan_with_notes(chunks, good, counting, "lang string, bucket int, chunk long, run binary, places binary, counts binary"), "gram-runs")
+    counted = stored(runs.groupBy("lang", "bucket").applyInArrow(_sum_counts, "lang string, bucket int, gram long, c1 long, c2 long"), "gram-counts")
+    gain = F.when(F.col("c2") > 0, F.coalesce(F.log("p2") - F.log("p1"), F.lit(0.0))).otherwise(0.0)
+    known = gram_probabilities(counted).select("lang", "bucket", "gram", F.log("p1").cast("float").alias("logp"), gain.cast("float").alias("gain"))
+    replies = runs.select("lang", "bucket", "chunk", "run").groupBy("lang", "bucket").cogroup(known.groupBy("lang", "bucket"))
+    replies = replies.applyInArrow(_reply, "chunk long, lang string, bucket int, logs binary, gains binary")
 
     def score(chunk: int, table: pa.Table, notes: pa.Table) -> pa.Table:
         texts = table["text"].to_pylist()
         nll: list[float | None] = [None] * len(texts)
         largest: list[float | None] = [None] * len(texts)
-        given: dict[str, list[tuple[np.ndarray, ...]]] = {}
-        for name, grams_blob, *blobs in zip(*(notes[c].to_pylist() for c in ("lang", "grams", "logs", "gains"))):
-            given.setdefault(name, []).append((R.unpack_sorted(grams_blob), *(np.frombuffer(b, np.float32) for b in blobs)))
+        given: dict[str, list[tuple]] = {}
+        for row in zip(*(notes[c].to_pylist() for c in ("lang", "bucket", "logs", "gains"))):
+            given.setdefault(row[0], []).append(row[1:])
         for name, rows in _by_language(table).items():
-            if name not in given:
+            values = _distinct([texts[r] for r in rows if texts[r]])
+            if not len(values):
                 continue
-            g, logp, gain = (np.concatenate(x) for x in zip(*given[name]))
-            order = np.argsort(g)
-            g, logp, gain = g[order], logp[order].astype(np.float64), gain[order].astype(np.float64)
+            _, order = _bucketed(values, buckets)
+            logp, gain = np.zeros(len(values)), np.zeros(len(values))
+            for target, column in ((logp, 1), (gain, 2)):
+                target[order] = np.concatenate([np.frombuffer(r[column], np.float32) for r in sorted(given[name], key=lambda r: r[0])])
             if np.isnan(logp).all():
                 continue
             for r in rows:
                 if texts[r]:
-                    at = np.searchsorted(g, grams_of(texts[r]))
+                    at = np.searchsorted(values, grams_of(texts[r]))
                     nll[r] = float(-logp[at].sum())
                     largest[r] = _largest_word(gain[at], texts[r])
         return pa.table({
