@@ -42,6 +42,7 @@ def main() -> None:
     spark = local_session(cpus, app="tickloom-bench", memory="16g")
     load_all()
     names = sys.argv[1:] or HEADLINE
+    bars = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     times: dict[str, float] = {}
     for name in names:
         runs = []
@@ -57,6 +58,7 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
+                "input_rows_per_sec": {name: round(bars / sec) for name, sec in times.items()},
                 "sf": os.path.basename(sf_dir.rstrip("/")),
             }
         )

@@ -354,8 +354,8 @@ def test_folds_side_by_side_equal_folds_one_by_one_and_restart(spark, tmp_path,
     whole = learning.fit_heads
     monkeypatch.setattr(learning, "fit_heads", lambda *a, **k: fitted.append(1) or whole(*a, **k))
     assert sorted(run("many", 3).collect(), key=str) == many and not fitted  # all folds were committed
-    spark.createDataFrame([(0,), (2,)], "fold_id int").coalesce(1).write.parquet(str(tmp_path / "broken" / "done"))
     for fold in (0, 2):
+        spark.createDataFrame([(True,)], "ok boolean").write.parquet(str(tmp_path / "broken" / "done" / f"fold_id={fold}"))
         spark.read.parquet(str(tmp_path / "many" / f"fold-{fold}")).write.parquet(str(tmp_path / "broken" / f"fold-{fold}"))
     assert sorted(run("broken", 3).collect(), key=str) == many and len(fitted) == 1  # only the missing fold was fitted
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.test_operators import bars_frame
 from tickloom import workflows
+from tickloom.operators import impact
 from tickloom.params import FoldParams, Params, PortfolioParams
 
 
@@ -16,7 +17,13 @@ def test_evaluate_and_predict_latest(spark):
         Params(), folds=FoldParams(min_train=150, test=60, step=60, min_folds=1),
         portfolio=PortfolioParams(top_k=1, min_value_traded=0.0, min_investor_coverage=0.0, turnover_limit=1.0),
     )
-    run = workflows.evaluate(bars, params, group_rows=10_000, trees=1)
+    day = bars.agg({"Date": "max"}).first()[0]
+    flows = spark.createDataFrame([(day, "AAA", 5.0, 1.0)], "Date date, Symbol string, foreign_net_buy double, institution_net_buy double")
+    filed = spark.createDataFrame([(day, "BBB", "new contract")], "Date date, Symbol string, title string")
+    series = spark.createDataFrame([(day, "VIXY", 20.0)], "Date date, series string, close double")
+    run = workflows.evaluate(bars, params, series, ["^VIX", "^SOX"], group_rows=10_000, trees=1, flows=flows, disclosures=filed)
+    assert run.coverage == {"external": 0.5, "investor": 0.5} and run.gate == "caution"
+    assert "disclosure_score" in run.matrix.columns and "vix_close" in run.matrix.columns
     assert run.folds.count() >= 1 and not any(c.startswith(("news_", "disclosure_")) for c in run.features)
     row = run.summary.first()
     assert row.days > 0 and row.max_drawdown <= 0
@@ -27,6 +34,22 @@ def test_evaluate_and_predict_latest(spark):
     assert all(r.recommendation in ("매수", "매도", "관망") for r in out.values())
 
 
+def test_impact_falls_back_to_the_rules(spark):
+    predictions = spark.createDataFrame([("2024-01-05", "000001.KS"), ("2024-01-05", "000002.KQ")], "Date string, Symbol string").withColumn("Date", F.to_date("Date"))
+    landed = spark.createDataFrame([("2024-01-05", "000001", 7.0, 2)], "date string, ticker string, news_disclosure_score double, event_count long").withColumn("final_score", F.col("news_disclosure_score"))
+    news = spark.createDataFrame(
+        [("2024-01-05", "000002.KQ", "news", "contract award growth", "", "http://a/1", 1), ("2024-01-06", "000001.KS", "news", "lawsuit loss", "", "http://a/2", 2)],
+        "Date string, Symbol string, source_type string, title string, body string, url string, seq long",
+    ).withColumn("Date", F.to_date("Date"))
+    out, mode = impact.impact_with_fallback(predictions, landed, news, "seq")
+    assert mode["actual_mode"] == "landed" and not mode["fallback_used"]
+    assert {r.Symbol: r.news_impact_event_count for r in out.collect()} == {"000001.KS": 2, "000002.KQ": None}
+    for rows, why in ((landed.withColumn("date", F.lit("2023-01-05")), "no_landed_row_matches"), (landed.where("false"), "landed_report_empty"), (None, None)):
+        out, mode = impact.impact_with_fallback(predictions, rows, news, "seq")
+        assert (mode["actual_mode"], mode["fallback_reason"], mode["fallback_used"]) == ("rule_based", why, rows is not None)
+        assert {r.Symbol: r.news_impact_event_count for r in out.collect()} == {"000001.KS": None, "000002.KQ": 1}
+
+
 def test_impact_report_from_landed_judgements(spark):
     news = spark.createDataFrame(
         [(1, "Alpha wins", "", "", "http://a/1", None, "000001"), (2, "alpha  WINS!", "", "", "http://a/2", None, "000001"), (3, "Other Beta", "", "", "http://a/3", None, None)],

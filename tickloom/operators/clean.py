@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import by_symbol, number, pct_change
-from tickloom.operators.skew import first_per_key, small
+from tickloom.operators.skew import first_per_key
 from tickloom.params import FeatureParams
 
 PRICES = ["Open", "High", "Low", "Close"]
@@ -68,4 +68,4 @@ def clean_bars(df: DataFrame, params: FeatureParams = FeatureParams()) -> DataFr
 
 def in_universe(df: DataFrame, universe: DataFrame) -> DataFrame:
     """Keep the symbols of a universe table (one column ``Symbol``)."""
-    return df.join(small(universe.select("Symbol").distinct()), "Symbol", "left_semi")
+    return df.join(universe.select("Symbol"), "Symbol", "left_semi")

@@ -152,11 +152,14 @@ def build_features(
 ) -> DataFrame:
     """All price, flow and event features of cleaned bars.
 
-    Two shuffles: one by Symbol for every rolling column, one by Date for the turnover
-    rank; per-date sums come back as broadcasts.
+    What a date needs of its symbols is the bar itself and its return, so the turnover rank
+    is taken while rows are narrow: a shuffle by Symbol for the returns, one by Date for the
+    rank, and one back by Symbol under which every rolling column is computed. Per-date
+    sums come back as broadcasts and prune to the narrow part.
     """
-    df = ind.number_bars(resolve_context(bars))
-    df = ind.price_returns(df)
+    df = ind.price_returns(resolve_context(bars))
+    df = cs.leader_by_rank(cs.turnover_rank(df, group_rows))
+    df = ind.number_bars(df)
     df = ind.lagged_returns(df, params.return_lags)
     df = ind.moving_averages(df, params.mean_windows)
     df = ind.rolling_volatility(df, params.vol_windows)
@@ -167,10 +170,7 @@ def build_features(
         df = ind.flow_sums(ind.rolling_zscore(df, flow, f"{flow}_z20"), flow)
     df = ind.next_day_target(df)
     df = rsi_flags(flow_ratios(news_signals(df)))
-    df = limit_hits(df, params)
-    df = cs.turnover_rank(df, group_rows)
-    df = cs.leader_by_rank(df)
-    df = investor_event_score(df)
+    df = investor_event_score(limit_hits(df, params))
     return finish_features(drop_sources(df)).drop("bar_no")
 
 

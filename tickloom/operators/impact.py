@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tickloom.functions import factors
 from tickloom.functions.numeric import clip, number, points_text
 from tickloom.functions.text import contains_any, flags, market, stable_id, ticker, title_cluster_key
-from tickloom.operators.ranking import top_per_group
-from tickloom.operators.skew import first_per_key, small
+from tickloom.operators.ranking import ordinal_rank, top_per_group
+from tickloom.operators.skew import first_per_key
 from tickloom.session import cut_lineage
 
 # Columns of a written report, joined report columns, rule phrases.
@@ -117,7 +116,7 @@ def report_rows(events: DataFrame, companies: DataFrame, run_date: str, run_id:
     )
     stated = F.array(*[F.lit(f) for f in always]).cast("array<string>")
     known = companies.select("ticker", F.col("company").alias("_company"), F.col("market").alias("_market"), F.col("sector").alias("_sector"))
-    rows = scores.join(top, "ticker").join(seen, "ticker").join(small(known), "ticker", "left")
+    rows = scores.join(top, "ticker").join(seen, "ticker").join(known, "ticker", "left")
     urls = F.col("t.evidence_urls")
     return rows.select(
         F.lit(run_date).alias("date"), F.lit(run_id).alias("run_id"), "ticker",
@@ -138,9 +137,8 @@ def report_rows(events: DataFrame, companies: DataFrame, run_date: str, run_id:
 
 def rank_report(rows: DataFrame, include_untradable: bool = True) -> DataFrame:
     kept = rows if include_untradable else rows.where(~F.col("tradeability_status").isin("halted", "limit_locked"))
-    # a report has one row per ticker of the watch list and day, so one task can number it
-    order = Window.orderBy(F.col("news_disclosure_score").desc(), F.col("confidence").desc(), F.col("uncertainty_score").asc(), F.col("ticker").desc())
-    return kept.withColumn("rank", F.row_number().over(order)).orderBy("rank")
+    order = [F.col("news_disclosure_score").desc(), F.col("confidence").desc(), F.col("uncertainty_score").asc(), F.col("ticker").desc()]
+    return ordinal_rank(kept, [], order, "rank").orderBy("rank")
 
 
 def heuristic_score(low: Column, source_type: Column, way: Column) -> Column:
@@ -285,7 +283,7 @@ def impact_with_fallback(predictions: DataFrame, landed: DataFrame | None, conte
             return append_impact(predictions, landed), {"requested_mode": "landed", "actual_mode": "landed", "fallback_used": False, "fallback_reason": None}
         requested, reason = "landed", "landed_report_empty" if landed.isEmpty() else "no_landed_row_matches"
     rows = rule_summary(rule_events(restrict_to_predictions(context, predictions), order))
-    return append_impact(predictions, rows), {
+    return append_impact(predictions, rows, "Symbol"), {
         "requested_mode": requested, "actual_mode": "rule_based", "fallback_used": landed is not None, "fallback_reason": reason,
     }
 

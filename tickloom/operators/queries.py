@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tickloom.functions.text import collapse
 from tickloom.operators.ranking import top_per_group
-from tickloom.operators.skew import first_per_key, small
+from tickloom.operators.skew import first_per_key
 
 HANGUL = "[가-힣]"
 LOCALES = ("en", "ko")
@@ -58,7 +58,7 @@ def company_queries(
     kw = kw.withColumn("_sector", _key("sector"))
     if max_keywords is not None:
         kw = top_per_group(kw, ["_sector"], [F.col("weight").desc(), F.col("keyword").desc()], max_keywords)
-    by_sector = companies.select("ticker", _key("sector").alias("_sector")).join(small(kw), "_sector")
+    by_sector = companies.select("ticker", _key("sector").alias("_sector")).join(kw, "_sector")
     heavy = by_sector.select("ticker", F.col("keyword").alias("query"), F.lit(2), -F.col("weight"), F.col("keyword"))
     named = own.union(nick).where(F.col("query").isNotNull() & fits("query"))
     everything = named.union(heavy).withColumn("query", collapse(F.col("query"))).where(F.col("query") != "")

@@ -9,7 +9,6 @@ from tickloom.functions import policy
 from tickloom.functions.numeric import clip, np_round, number, percent_text, price_text
 from tickloom.operators.crosssection import cross_section_ranks
 from tickloom.operators.ranking import percentile_rank
-from tickloom.operators.skew import salted_lookup, small
 from tickloom.params import CriteriaParams, SignalParams
 from tickloom.session import cut_lineage
 
@@ -119,7 +118,7 @@ def resolve_names(df: DataFrame, names: DataFrame, symbol: str = "Symbol", name:
     by_symbol = names.groupBy("Symbol").agg(F.max_by("Name", "Ticker").alias("_a")).withColumnRenamed("Symbol", symbol)
     by_ticker = names.groupBy("Ticker").agg(F.min_by("Name", "Symbol").alias("_b")).withColumnRenamed("Ticker", "_ticker")
     out = df.withColumn("_ticker", ticker_of(symbol))
-    out = out.join(small(by_symbol), symbol, "left").join(small(by_ticker), "_ticker", "left")
+    out = out.join(by_symbol, symbol, "left").join(by_ticker, "_ticker", "left")
     named = F.coalesce(F.nullif("_a", F.lit("")), F.nullif("_b", F.lit("")), F.col(symbol).cast("string"))
     return out.withColumn(name, named).drop("_a", "_b", "_ticker")
 
@@ -219,4 +218,4 @@ def digest_snapshot(df: DataFrame) -> DataFrame:
 def merge_summary(df: DataFrame, summary: DataFrame) -> DataFrame:
     """Add the columns of a per-symbol summary that the frame does not have."""
     extra = [c for c in summary.columns if c not in df.columns]
-    return salted_lookup(df, summary.select("Symbol", *extra), ["Symbol"])
+    return df.join(summary.select("Symbol", *extra), "Symbol", "left")  # one row per symbol: Spark splits a skewed left side

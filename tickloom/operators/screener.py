@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tickloom.functions.numeric import number, ratio
 from tickloom.operators.ranking import top_per_group
-from tickloom.operators.skew import first_per_key, small
+from tickloom.operators.skew import first_per_key
 from tickloom.params import ScreenerParams
 
 P = ScreenerParams()
@@ -47,7 +47,7 @@ def standardize(bars: DataFrame, symbols: DataFrame) -> DataFrame:
         & F.col("open").isNotNull() & F.col("high").isNotNull() & F.col("low").isNotNull() & F.col("close").isNotNull()
     )
     names = symbols.select(F.upper(F.trim("Symbol")).alias("symbol_raw"), F.trim("Name").alias("_name")).dropDuplicates(["symbol_raw"])
-    named = valid.join(small(names), "symbol_raw", "left").withColumn("name", F.coalesce("_name", "symbol")).drop("_name")
+    named = valid.join(names, "symbol_raw", "left").withColumn("name", F.coalesce("_name", "symbol")).drop("_name")
     out = named.withColumn("trade_value", F.col("close") * F.col("volume"))
     return first_per_key(out, ["symbol", "date"], [F.col("symbol_raw")])
 
@@ -61,7 +61,7 @@ def trade_value_rank(df: DataFrame) -> DataFrame:
     from tickloom.operators.ranking import ordinal_rank
 
     ranked = ordinal_rank(latest, [], [F.col("trade_value").desc_nulls_last(), F.col("symbol")], "trade_value_rank")
-    return out.join(small(ranked.select("symbol", "trade_value_rank")), "symbol", "left")
+    return out.join(ranked.select("symbol", "trade_value_rank"), "symbol", "left")
 
 
 def top_by_trade_value(df: DataFrame, n: int = P.top_value_count) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.numeric import clip
 from tickloom.operators.metrics import pearson
 from tickloom.operators.ranking import ordinal_rank
-from tickloom.operators.skew import first_per_key, small
+from tickloom.operators.skew import first_per_key
 from tickloom.params import GateParams
 from tickloom.session import cut_lineage
 
@@ -60,7 +60,7 @@ def coefficient_block(
     rows = ordinal_rank(usable, by, [score.asc(), F.col(order).asc()], "_score_rank", group_rows)
     rows = ordinal_rank(rows, by, [ret.asc(), F.col(order).asc()], "_return_rank", group_rows)
     rows = ordinal_rank(rows, by, [score.desc(), F.col(order).asc()], "_from_top", group_rows)
-    rows = rows.join(small(sizes), by) if by else rows.withColumn("_n", F.lit(sizes.first()[0]))
+    rows = rows.join(sizes, by) if by else rows.withColumn("_n", F.lit(sizes.first()[0]))
     k = F.lit(basket) if isinstance(basket, int) else basket
     hit = ((score > 0) & (ret > 0)) | ((score < 0) & (ret < 0)) | (score == 0)
     top = F.avg(F.when(F.col("_from_top") <= k, ret))
@@ -160,7 +160,7 @@ def proxy_returns(prices: DataFrame, day: Column, cutoff: Column | None = None)
 def proxy_adjustment(proxies: DataFrame, returns: DataFrame, sensitivity: float = 1.0, lag: float = 1.0, cap: float = 15.0) -> DataFrame:
     """Score adjustment per sector from its proxies' returns."""
     known = returns.where(F.col("proxy_return").isNotNull()).select("proxy_symbol", "proxy_return")
-    rows = proxies.join(small(known), "proxy_symbol", "left")
+    rows = proxies.join(known, "proxy_symbol", "left")
     sign = F.when(F.col("direction_transform") == "inverse", -1.0).otherwise(1.0)
     raw = F.col("proxy_return") * F.col("weight") * sensitivity * lag * sign * 100.0
     bound = F.col("max_adjustment_abs")

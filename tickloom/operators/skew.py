@@ -4,8 +4,8 @@ Rules used across the package:
 
 * one row per key is chosen with ``min_by``/``max_by`` aggregates, which combine on the
   map side, never with a window over the whole key;
-* a table with unique keys is looked up either by broadcast (after its size was
-  checked) or by a salted join that spreads a hot key over several tasks.
+* a table with unique keys is looked up by a plain join, where Spark broadcasts a side it has
+  measured and splits skewed partitions, or by a salted join that spreads the hot keys it was told of.
 """
 
 from __future__ import annotations
@@ -17,21 +17,10 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
 HOT_ROWS = 1_000_000
 SALTS = 16
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when the table has at most ``rows`` rows; reads no more than rows + 1 of them."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint when the size check passes, else the table as it is (shuffle join)."""
-    return F.broadcast(df) if bounded(df, rows) else df
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join on equal keys, where a missing key equals a missing key; the keys of the left side stay."""
     rest = [F.col(f"`{c}`") for c in right.columns if c not in keys]

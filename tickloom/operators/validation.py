@@ -102,8 +102,8 @@ def oof_conflicts(raw: DataFrame, stable: Sequence[str]) -> DataFrame:
     present = [c for c in names if c in raw.columns]
 
     def differs(c: str):
-        values = F.count_distinct(c) + F.max(F.when(F.col(c).isNull(), 1).otherwise(0))
-        return F.when(values > 1, 1).otherwise(0).alias(c)
+        some = (F.count(c) > 0) & (F.count(c) < F.count(F.lit(1)))
+        return F.when((F.min(c) != F.max(c)) | some, 1).otherwise(0).alias(c)
 
     keys = raw.groupBy("Date", "Symbol").agg(F.count(F.lit(1)).alias("_n"), *[differs(c) for c in present])
     rows, unique = F.sum("_n"), F.count(F.lit(1))

@@ -250,6 +250,22 @@ def impact_on_predictions(spark, sf):
     )
 
 
+@query(
+    "jn07b_impact_fallback",
+    f"""WITH {RULE_ROWS}, pk AS (SELECT DISTINCT "Date" AS pd, "Symbol" AS ps, substr("Symbol", 1, 6) AS tk FROM tt WHERE event_id % 3 = 0),
+    lastr AS (SELECT "Date" AS rd, substr("Symbol", 1, 6) AS rk, arg_max(final_score, "Symbol") AS final_score, arg_max(event_count, "Symbol") AS event_count FROM rr
+      WHERE ("Date", "Symbol") IN (SELECT (pd, ps) FROM pk) GROUP BY 1, 2)
+    SELECT {d("pd")}, ps AS "Symbol", {r("final_score", "news_impact_final_score")}, event_count AS news_impact_event_count, 'rule_based' AS actual_mode, 'no_landed_row_matches' AS fallback_reason
+    FROM pk LEFT JOIN lastr ON rd = pd AND rk = tk""",
+)
+def impact_fallback(spark, sf):
+    """The landed report is of another day: the rows come from the rules, restricted to what was predicted."""
+    landed = impact.report_rows(scored_events(spark, sf), company_table(spark, sf), "1990-01-01", "run-0")
+    out, mode = impact.impact_with_fallback(predicted_keys(spark, sf), landed, titles(spark, sf), "event_id")
+    said = {c: F.lit(mode[c]) for c in ("actual_mode", "fallback_reason")}
+    return out.select("Date", "Symbol", "news_impact_final_score", "news_impact_event_count").withColumns(said)
+
+
 # ---------------------------------------------------------------- impact events from the log
 
 

@@ -248,7 +248,7 @@ def leader_by_rank(spark, sf):
     return crosssection.leader_by_rank(df).select("Date", "Symbol", "leader_confirmation_flag")
 
 
-LEADERS = f"""{RETURNS}, {RANKED},
+LEADERS = f"""{RETURNS.replace("ret AS (", "ret AS MATERIALIZED (", 1)}, {RANKED.replace("rk AS (", "rk AS MATERIALIZED (", 1)},
 top AS (SELECT *, coalesce(daily_return, 0) AS rt, row_number() OVER (PARTITION BY "Date" ORDER BY turnover_rank_daily, coalesce(daily_return, 0) DESC, "Symbol") AS pos FROM rk QUALIFY pos <= 3),
 lead AS (SELECT "Date", coalesce(max(CASE WHEN pos = 1 THEN rt END), 0) AS l1, coalesce(max(CASE WHEN pos = 2 THEN rt END), 0) AS l2,
          coalesce(max(CASE WHEN pos = 3 THEN rt END), 0) AS l3, sum(CASE WHEN rt > 0 THEN 1 ELSE 0 END) AS movers FROM top GROUP BY 1)"""

@@ -5,15 +5,14 @@ Each returns lazy tables; stages that feed several others are written to reliabl
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import policy, text
 from tickloom.functions.selection import feature_columns
-from tickloom.operators import clean, dedupe, features, impact, learning, mapping, metrics, portfolio, scoring, validation
-from tickloom.operators.context import add_external
+from tickloom.operators import clean, context, dedupe, features, impact, learning, mapping, metrics, portfolio, scoring, validation
 from tickloom.operators.skew import first_per_key
 from tickloom.params import Params
 from tickloom.session import cut_lineage
@@ -31,6 +30,33 @@ class Evaluation:
     fold_metrics: DataFrame
     series: DataFrame
     summary: DataFrame
+    coverage: dict[str, float]
+    gate: str
+
+
+def add_context(
+    bars: DataFrame, series: DataFrame | None = None, series_names: list[str] | None = None,
+    flows: DataFrame | None = None, disclosures: DataFrame | None = None,
+) -> tuple[DataFrame, dict[str, float]]:
+    """Bars with landed flows and daily disclosure scores, and what share of the requested sources landed.
+
+    External series are joined later, to the features; their share counts substitutes as
+    landed. What was not requested has a share of 1.
+    """
+    spark, coverage = bars.sparkSession, {"external": 1.0, "investor": 1.0}
+    if series is not None and series_names:
+        span = bars.agg(F.min("Date").alias("_from"), F.max("Date").alias("_to"))
+        inside = series.join(F.broadcast(span), F.col("Date").between(F.col("_from"), F.col("_to")))  # one row
+        chosen = context.choose_series(inside, context.fallback_chains(spark, series_names))
+        coverage["external"] = float(context.source_coverage(chosen).first()["ratio"])
+    if flows is not None:
+        asked = bars.select(F.col("Symbol").alias("series")).distinct().withColumns({"used": F.col("series"), "step": F.lit(0)})
+        landed = flows.select(F.col("Symbol").alias("series"), F.coalesce("foreign_net_buy", "institution_net_buy").alias("close"))
+        coverage["investor"] = float(context.source_coverage(context.choose_series(landed, asked)).first()["ratio"])
+        bars = context.add_flows(bars, flows)
+    if disclosures is not None:
+        bars = context.add_disclosure_scores(bars, context.disclosure_daily_scores(disclosures))
+    return bars, coverage
 
 
 def evaluate(
@@ -40,13 +66,22 @@ def evaluate(
     series_names: list[str] | None = None,
     group_rows: int | None = None,
     trees: int = learning.TREES,
-    gate: str = "normal",
+    gate: str | None = None,
+    flows: DataFrame | None = None,
+    disclosures: DataFrame | None = None,
 ) -> Evaluation:
-    """Clean bars, build features, predict out of fold, calibrate, tune and evaluate a portfolio."""
+    """Clean bars, add context, build features, predict out of fold, calibrate, tune and evaluate a portfolio.
+
+    The gate follows the coverage of the requested sources unless one is given.
+    """
     cleaned = clean.drop_flagged(clean.clean_bars(bars, params.feature))
+    cleaned, coverage = add_context(cleaned, series, series_names, flows, disclosures)
+    if gate is None:
+        shares = (F.lit(coverage["external"]), F.lit(coverage["investor"]))
+        gate = bars.sparkSession.range(1).select(policy.coverage_gate(*shares, params.portfolio)).first()[0]
     df = features.build_features(cleaned, params.feature, group_rows)
     if series is not None and series_names:
-        df = add_external(df, series, series_names)
+        df = context.add_external(df, series, series_names)
     df = features.signal_features(features.ind.market_regime(df), params.criteria, group_rows)
     matrix = cut_lineage(df.where(F.col("target_log_return").isNotNull()))
     names = feature_columns(matrix.columns)
@@ -77,7 +112,7 @@ def evaluate(
     scored = scoring.rescore(tune.unionByName(held_out), weights, gate, group_rows)
     scored = cut_lineage(scored)
     daily = cut_lineage(portfolio.daily_series(scored.where(F.col("split") == "eval"), params.portfolio))
-    return Evaluation(matrix, names, folds, oof, calibrator, scored, weights, fold_metrics, daily, portfolio.summary(daily))
+    return Evaluation(matrix, names, folds, oof, calibrator, scored, weights, fold_metrics, daily, portfolio.summary(daily), coverage, gate)
 
 
 def predict_latest(run: Evaluation, names: DataFrame, params: Params = Params(), lookback: int = 756, trees: int = learning.TREES) -> DataFrame:
@@ -87,11 +122,9 @@ def predict_latest(run: Evaluation, names: DataFrame, params: Params = Params(),
     latest = first_per_key(run.matrix, ["Symbol"], [F.col("Date")], last=True)
     heads = run.calibrator.transform(learning.predict_heads(models, latest))
     heads = heads.withColumnRenamed("predicted_return", "predicted_log_return")
-    from dataclasses import replace
-
     signal = replace(params.signal, return_weight=run.weights[0], up_prob_weight=run.weights[1], uncertainty_penalty=run.weights[2])
     frame = scoring.scored_frame(heads, min_liquidity=params.portfolio.min_value_traded, s=signal, c=params.criteria)
-    frame = frame.withColumn("coverage_gate_status", F.lit("normal"))
+    frame = frame.withColumn("coverage_gate_status", F.lit(run.gate))
     frame = scoring.add_history_accuracy(frame, scoring.history_accuracy(run.scored))
     return scoring.finalize_latest(frame, names, params.criteria, signal)
 
