@@ -20,10 +20,10 @@ def test_evaluate_and_predict_latest(spark):
     day = bars.agg({"Date": "max"}).first()[0]
     flows = spark.createDataFrame([(day, "AAA", 5.0, 1.0)], "Date date, Symbol string, foreign_net_buy double, institution_net_buy double")
     filed = spark.createDataFrame([(day, "BBB", "new contract")], "Date date, Symbol string, title string")
-    series = spark.createDataFrame([(day, "VIXY", 20.0)], "Date date, series string, close double")
+    series = bars.where("Symbol = 'AAA'").selectExpr("Date", "'VIXY' AS series", "High AS close")
     run = workflows.evaluate(bars, params, series, ["^VIX", "^SOX"], group_rows=10_000, trees=1, flows=flows, disclosures=filed)
     assert run.coverage == {"external": 0.5, "investor": 0.5} and run.gate == "caution"
-    assert "disclosure_score" in run.matrix.columns and "vix_close" in run.matrix.columns
+    assert {"disclosure_score", "vix_close"} <= set(run.matrix.columns) and "sox_close" not in run.matrix.columns
     assert run.folds.count() >= 1 and not any(c.startswith(("news_", "disclosure_")) for c in run.features)
     row = run.summary.first()
     assert row.days > 0 and row.max_drawdown <= 0

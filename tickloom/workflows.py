@@ -37,17 +37,19 @@ class Evaluation:
 def add_context(
     bars: DataFrame, series: DataFrame | None = None, series_names: list[str] | None = None,
     flows: DataFrame | None = None, disclosures: DataFrame | None = None,
-) -> tuple[DataFrame, dict[str, float]]:
-    """Bars with landed flows and daily disclosure scores, and what share of the requested sources landed.
+) -> tuple[DataFrame, dict[str, float], list[str]]:
+    """Bars with landed flows and daily disclosure scores, what share of the requested sources landed, and which series did.
 
-    External series are joined later, to the features; their share counts substitutes as
-    landed. What was not requested has a share of 1.
+    External series are joined later, to the features; a substitute counts as landed, and a
+    series without one gets no columns. What was not requested has a share of 1.
     """
-    spark, coverage = bars.sparkSession, {"external": 1.0, "investor": 1.0}
+    spark, coverage, found = bars.sparkSession, {"external": 1.0, "investor": 1.0}, []
     if series is not None and series_names:
         span = bars.agg(F.min("Date").alias("_from"), F.max("Date").alias("_to"))
         inside = series.join(F.broadcast(span), F.col("Date").between(F.col("_from"), F.col("_to")))  # one row
-        chosen = context.choose_series(inside, context.fallback_chains(spark, series_names))
+        chosen = cut_lineage(context.choose_series(inside, context.fallback_chains(spark, series_names)))
+        usable = {r["series"] for r in chosen.where("used IS NOT NULL").collect()}  # of the few that were asked for
+        found = [s for s in series_names if s in usable]
         coverage["external"] = float(context.source_coverage(chosen).first()["ratio"])
     if flows is not None:
         asked = bars.select(F.col("Symbol").alias("series")).distinct().withColumns({"used": F.col("series"), "step": F.lit(0)})
@@ -56,7 +58,7 @@ def add_context(
         bars = context.add_flows(bars, flows)
     if disclosures is not None:
         bars = context.add_disclosure_scores(bars, context.disclosure_daily_scores(disclosures))
-    return bars, coverage
+    return bars, coverage, found
 
 
 def evaluate(
@@ -75,13 +77,13 @@ def evaluate(
     The gate follows the coverage of the requested sources unless one is given.
     """
     cleaned = clean.drop_flagged(clean.clean_bars(bars, params.feature))
-    cleaned, coverage = add_context(cleaned, series, series_names, flows, disclosures)
+    cleaned, coverage, found = add_context(cleaned, series, series_names, flows, disclosures)
     if gate is None:
         shares = (F.lit(coverage["external"]), F.lit(coverage["investor"]))
         gate = bars.sparkSession.range(1).select(policy.coverage_gate(*shares, params.portfolio)).first()[0]
     df = features.build_features(cleaned, params.feature, group_rows)
-    if series is not None and series_names:
-        df = context.add_external(df, series, series_names)
+    if found:
+        df = context.add_external(df, series, found)
     df = features.signal_features(features.ind.market_regime(df), params.criteria, group_rows)
     matrix = cut_lineage(df.where(F.col("target_log_return").isNotNull()))
     names = feature_columns(matrix.columns)
