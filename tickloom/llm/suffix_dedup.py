@@ -101,11 +101,25 @@ class _Items:
         lefts = np.zeros((len(row), -(-left_width // 8) * 8), np.uint8)
         lefts[:, :left_width] = left
         columns = [*wide.view(">u8").T, *lefts.view(">u8").T, near, far]
-        order = np.lexsort((docs, *columns[::-1]))
-        new = np.r_[True, np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)] if len(order) else np.zeros(0, bool)
+        order, new = _sorted_rows(columns, docs)
         return {"keys": keys[order], "left": left[order], "near": near[order], "far": far[order], "doc": docs[order], "row": row[order], "pos": pos[order], "new": new}
 
 
+def _sorted_rows(columns: list[np.ndarray], last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by ``columns``, then ``last``, and where the columns change. Only rows that tie in the first column are compared in the others."""
+    order = np.argsort(columns[0], kind="stable")
+    new = np.ones(len(order), bool)
+    first = columns[0][order]
+    same = first[1:] == first[:-1]
+    tied = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
+    if len(tied):
+        rows = order[tied]
+        rows = rows[np.lexsort((last[rows], *[c[rows] for c in columns[::-1]]))]
+        order[tied] = rows
+        new[tied] = np.r_[True, np.any([c[rows][1:] != c[rows][:-1] for c in columns], axis=0)]
+    return order, new
+
+
 def _shared(keys: np.ndarray) -> np.ndarray:
     """Bytes each key shares with the one before."""
     if len(keys) < 2:
