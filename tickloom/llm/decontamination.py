@@ -20,6 +20,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import math
 import pickle
 import re
 from collections import Counter
@@ -173,7 +174,21 @@ class Searcher:
             sizes = np.array([_window_of(len(w)) for _, w, _ in index.items])
             own = [(int(s), np.flatnonzero(sizes == s)) for s in np.unique(sizes)]
             # a word's share in each product of projections, so that a window's products are sums over its words
-            self.classes.append([(s, which, index.vectors @ index.latent[which].T, self._repetitions(index, which)) for s, which in own])
+            self.classes.append([(s, which, index.vectors @ index.latent[which].T, self._repetitions(index, which), self._rarest(index, which)) for s, which in own])
+
+    def _rarest(self, index: Index, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word of the index (a row), whether it is among the words of which a leak of a passage (columns) has one.
+
+        A text with at least t of a passage's L words has one of any L - t + 1 of them; the rarest are asked for. The
+        first table is for paraphrases, the second for copies.
+        """
+        out = np.zeros((2, len(index.vectors), len(which)), bool)
+        for column, item in enumerate(which.tolist()):
+            used = _features(np.array(index.items[item][1], np.uint64))
+            used = used[np.argsort(-self.idf[used], kind="stable")]
+            for table, share in zip(out, (PARAPHRASED, COPIED)):
+                table[index.place[used[: len(used) - math.ceil(share * len(used) - 1e-9) + 1]], column] = True
+        return out[0], out[1]
 
     @staticmethod
     def _repetitions(index: Index, which: np.ndarray) -> np.ndarray:
@@ -186,12 +201,12 @@ class Searcher:
         return out.reshape(-1, len(which))
 
     @staticmethod
-    def _shared(repetitions: np.ndarray, place: np.ndarray, step: int, windows: int) -> np.ndarray:
-        """At least the common words of every passage and every window of four steps with a step on either side."""
+    def _shared(repetitions: np.ndarray, columns: np.ndarray, place: np.ndarray, step: int, windows: int) -> np.ndarray:
+        """At least the common words of every passage in ``columns`` and every window of four steps with a step on either side."""
         known = np.flatnonzero(place >= 0)
         width = len(repetitions) // RANKS
         blocks = -(-len(place) // step)
-        out = np.zeros((max(blocks, windows) + 7, repetitions.shape[1]), np.int32)
+        out = np.zeros((max(blocks, windows) + 7, len(columns)), np.int32)
         if len(known):
             key = known // step * width + place[known]
             key.sort()
@@ -200,22 +215,22 @@ class Searcher:
             rank = np.minimum(at - np.maximum.accumulate(np.where(first, at, 0)), RANKS - 1)
             block = key // width
             begins = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            out[block[begins] + 2] = np.add.reduceat(repetitions[rank * width + key % width], begins)
+            out[block[begins] + 2] = np.add.reduceat(repetitions[(rank * width + key % width)[:, None], columns], begins)
         sums = np.cumsum(out, axis=0, out=out)  # row i: blocks up to i - 2
         start = np.arange(windows)
         return sums[np.minimum(start + 6, len(sums) - 1)] - sums[start]
 
     @staticmethod
-    def _cosines(products: np.ndarray, place: np.ndarray, weight: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    def _cosines(products: np.ndarray, columns: np.ndarray, place: np.ndarray, weight: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         """Products of the windows' projections and those of the passages of a length."""
         known = np.flatnonzero(place >= 0)
         a, b = np.searchsorted(known, starts), np.searchsorted(known, stops)
-        out = np.zeros((len(starts), products.shape[1]), np.float32)
+        out = np.zeros((len(starts), len(columns)), np.float32)
         for at in range(0, len(starts), 256):
             first, last = int(a[at]), int(b[at : at + 256].max())
             words = known[first:last]
-            rows = np.zeros((len(words) + 1, products.shape[1]), np.float32)
-            np.multiply(products[place[words]], weight[words, None], out=rows[:-1], casting="same_kind")
+            rows = np.zeros((len(words) + 1, len(columns)), np.float32)
+            np.multiply(products[place[words][:, None], columns], weight[words, None], out=rows[:-1], casting="same_kind")
             cuts = np.column_stack([a[at : at + 256], b[at : at + 256]]) - first
             out[at : at + 256] = np.add.reduceat(rows, cuts.ravel())[::2]
             out[at : at + 256][cuts[:, 0] == cuts[:, 1]] = 0
@@ -252,9 +267,15 @@ class Searcher:
             place = index.place[features]
             answered = np.isin(self.answers[number], threes) | self.short[number]  # False: the answer is surely not in the document
             inside = np.r_[0, np.cumsum(np.where(place >= 0, weight * weight, 0))]
-            for size, which, products, repetitions in self.classes[number]:
+            present = np.zeros(len(index.vectors), bool)
+            present[place[place >= 0]] = True
+            for size, passages, products, repetitions, (loose, strict) in self.classes[number]:
+                columns = np.flatnonzero(np.where(answered[passages], loose[present].any(axis=0), strict[present].any(axis=0)))
+                if not len(columns):
+                    continue
+                which = passages[columns]
                 starts = np.arange(0, max(1, len(ids) - size + size // 4), size // 4)
-                shared = self._shared(repetitions, place, size // 4, len(starts))
+                shared = self._shared(repetitions, columns, place, size // 4, len(starts))
                 lengths = self.lengths[number][which]
                 least = np.where(answered[which], PARAPHRASED, COPIED) * lengths
                 live = np.flatnonzero((shared >= least).any(axis=1))
@@ -263,7 +284,7 @@ class Searcher:
                 starts, shared = starts[live], shared[live]
                 stops = np.minimum(starts + size, len(ids))
                 norm = np.maximum(inside[stops] - inside[starts], 1e-9)
-                near = self._cosines(products, place, weight, starts, stops) / np.sqrt(norm)[:, None]
+                near = self._cosines(products, columns, place, weight, starts, stops) / np.sqrt(norm)[:, None]
                 last, held = -1, Counter()
                 for w, c in zip(*(x.tolist() for x in np.nonzero((shared >= COPIED * lengths) | (shared >= least) & (near >= self.cosine)))):
                     a, b = int(starts[w]), int(stops[w])
