@@ -61,8 +61,10 @@ def drop_flagged(df: DataFrame) -> DataFrame:
 
 
 def clean_bars(df: DataFrame, params: FeatureParams = FeatureParams()) -> DataFrame:
+    """Valid bars, one per (Date, Symbol), with quality flags. Without ``ingest_seq`` equal bars are told
+    apart by their content, which is the same at any partitioning."""
     if "ingest_seq" not in df.columns:
-        df = df.withColumn("ingest_seq", F.monotonically_increasing_id())
+        df = df.withColumn("ingest_seq", F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)]))
     return quality_flags(resolve_duplicates(valid_bars(df)), params)
 
 

@@ -12,7 +12,8 @@ from tickloom.operators.ranking import ordinal_rank, top_per_group
 from tickloom.operators.skew import first_per_key
 from tickloom.session import cut_lineage
 
-# Columns of a written report, joined report columns, rule phrases.
+# Columns of a written report, joined report columns, rule phrases, words of a text, event and sector
+# words, display texts, and the types and keys of a judgement.
 REPORT_COLUMNS = [
     "date", "run_id", "ticker", "company", "market", "sector", "news_disclosure_score", "global_proxy_adjustment",
     "sector_neutral_score", "positive_score", "negative_score", "uncertainty_score", "confidence", "event_count",
