@@ -78,6 +78,18 @@ def chunk_table(docs: DataFrame, columns: list[str], total_bytes: int, chunk_byt
     return table
 
 
+def plain_columns(docs: DataFrame, fn: Callable[[DataFrame], DataFrame], used: tuple[str, ...] = ("doc_id", "text", "lang", "source")) -> DataFrame:
+    """``fn`` on ``docs`` whose columns but ``used`` travel as one struct: whatever they are called, they can't meet a name of the operator's own.
+
+    Returns the columns of ``docs``, then those that ``fn`` added.
+    """
+    packed, others = [c for c in docs.columns if c in used], [c for c in docs.columns if c not in used]
+    held = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(0)
+    out = fn(docs.select(*packed, held.alias("__others")))
+    back = [F.col(c) if c in used else F.col(f"__others.`{c}`").alias(c) for c in docs.columns]
+    return out.select(*back, *[F.col(f"`{c}`") for c in out.columns if c not in (*packed, "__others")])
+
+
 def open_chunk(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import repeats as R
+from tickloom.llm.common import plain_columns
 
 FEATURES = 1 << 18
 BLOCK_ITEMS = 224
@@ -341,6 +342,10 @@ def _scan(slim: DataFrame, group: list[Index], idf: np.ndarray) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows in which a passage was found."""
+    return plain_columns(docs, lambda plain: _keep_clean(plain, benchmark))
+
+
+def _keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
     hit = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_key"))
     return docs.join(bad, hit, "left_anti")

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import stored
+from tickloom.llm.common import plain_columns, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 DIGITS = 3
@@ -124,5 +124,9 @@ def apply(docs: DataFrame, mix: Mix) -> DataFrame:
 
 def mixed(docs: DataFrame, mix: Mix) -> DataFrame:
     """``docs`` in the mix, a row for each time a document is taken."""
+    return plain_columns(docs, lambda plain: _mixed(plain, mix))
+
+
+def _mixed(docs: DataFrame, mix: Mix) -> DataFrame:
     taken = apply(docs, mix).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return taken.select(*[F.col(f"`{c}`") for c in docs.columns])

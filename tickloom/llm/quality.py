@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import repeats as R
-from tickloom.llm.common import chunk_table, scan_chunks, scan_with_notes, stored, text_bytes
+from tickloom.llm.common import chunk_table, plain_columns, scan_chunks, scan_with_notes, stored, text_bytes
 
 ORDER = 4
 START = 2
@@ -269,8 +269,12 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rejected rows."""
+def _keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     bad = classify(docs, labels).where("rejected").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
     hit = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_key"))
     return docs.join(bad, hit, "left_anti")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without the rejected rows."""
+    return plain_columns(docs, lambda plain: _keep_good(plain, labels))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import sixty_four, stored
+from tickloom.llm.common import plain_columns, sixty_four, stored
 from tickloom.llm.components import components
 
 RADIUS = 4
@@ -173,6 +173,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Rows without a doc_id are never that document and go where their class has one; a class of such rows alone
     keeps them all, as nothing tells which is first.
     """
+    return plain_columns(docs, _keep_first)
+
+
+def _keep_first(docs: DataFrame) -> DataFrame:
     classes = stored(near_duplicates(docs), "near-duplicates")
     first = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.min("key").alias("key"), F.count("*").alias("n"))
     chosen = first.select("doc_id", "key").unionByName(classes.where("doc_id IS NULL AND component_id IS NULL").select("doc_id", "key").distinct())
