@@ -69,7 +69,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
             for text in batch["text"]:
                 total += 1
                 if text.as_py():
-                    counts[np.unique(_features(word_ids(text.as_py())))] += 1
+                    counts[R.sorted_distinct(_features(word_ids(text.as_py())))] += 1
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, used].astype(np.int32)), pa.array(np.r_[total, counts[used]])], ["feature", "n"])
 
@@ -170,6 +170,7 @@ class Searcher:
         self.counts = [[Counter(words) for _, words, _ in index.items] for index in indexes]
         self.lengths = [np.array([len(words) for _, words, _ in index.items]) for index in indexes]
         self.answers = [np.array([_threes(np.array((a + [0, 0])[:3], np.uint64))[0] for _, _, a in index.items]) for index in indexes]
+        self.asked = [(np.sort(a), np.argsort(a, kind="stable")) for a in self.answers]
         self.short = [np.array([len(a) < 3 for _, _, a in index.items]) for index in indexes]
         for index in indexes:
             sizes = np.array([_window_of(len(w)) for _, w, _ in index.items])
@@ -262,19 +263,25 @@ class Searcher:
             return []
         features = _features(ids)
         weight = self.idf[features]
-        threes = _threes(ids)
+        threes = R.sorted_distinct(_threes(ids))
         best: dict[tuple[int, int], tuple] = {}
         for number, index in enumerate(self.indexes):
             place = index.place[features]
-            answered = np.isin(self.answers[number], threes) | self.short[number]  # False: the answer is surely not in the document
-            inside = np.r_[0, np.cumsum(np.where(place >= 0, weight * weight, 0))]
-            present = np.zeros(len(index.vectors), bool)
-            present[place[place >= 0]] = True
+            answered = self.short[number].copy()  # False: the answer is surely not in the document
+            if len(threes):
+                values, which = self.asked[number]
+                answered[which] |= threes[np.minimum(np.searchsorted(threes, values), len(threes) - 1)] == values
+            present = np.zeros(len(index.vectors) + 1, bool)
+            present[place] = True  # -1 is the last
+            present = np.flatnonzero(present[:-1])
+            inside = None
             for size, passages, products, repetitions, (loose, strict) in self.classes[number]:
                 columns = np.flatnonzero(np.where(answered[passages], loose[present].any(axis=0), strict[present].any(axis=0)))
                 if not len(columns):
                     continue
                 which = passages[columns]
+                if inside is None:
+                    inside = np.r_[0, np.cumsum(np.where(place >= 0, weight * weight, 0))]
                 starts = np.arange(0, max(1, len(ids) - size + size // 4), size // 4)
                 shared = self._shared(repetitions, columns, place, size // 4, len(starts))
                 lengths = self.lengths[number][which]
