@@ -49,7 +49,7 @@ def flagship(spark, sf):
     df = indicators.price_returns(bars)
     df = indicators.rolling_volatility(indicators.moving_averages(indicators.lagged_returns(df, (5,)), (20,)), (20,))
     df = df.where(F.col("ret_5d").isNotNull())
-    df = crosssection.turnover_rank(df, t.row_bound(spark, sf))
+    df = crosssection.turnover_rank(df, t.rows_per_date(spark, sf))
     top = top_per_group(df, ["Date"], [F.col("ret_5d").desc(), F.col("Symbol")], 10)
     return top.select("Date", "Symbol", "pos", "turnover_rank_daily", "Close", "ret_5d", "ma_20", "vol_20")
 
@@ -228,7 +228,7 @@ scores AS (
 def news_signals(spark, sf):
     bars = bars_with_flows(spark, sf).join(event_scores(spark, sf), ["Date", "Symbol"], "left")
     df = features.flow_ratios(indicators.price_returns(features.resolve_context(bars)))
-    df = crosssection.turnover_rank(features.news_signals(df), t.row_bound(spark, sf))
+    df = crosssection.turnover_rank(features.news_signals(df), t.rows_per_date(spark, sf))
     df = features.investor_event_score(df)
     return df.select("Date", "Symbol", "news_positive_signal", "news_negative_signal", "investor_event_score")
 
@@ -255,7 +255,7 @@ yh AS (SELECT *, "Close" / CASE WHEN count("Close") OVER a >= 20 THEN max("Close
 )
 def signal_flags(spark, sf):
     df = indicators.year_high(indicators.price_returns(features.resolve_context(bars_with_flows(spark, sf))))
-    df = features.signal_flags(crosssection.turnover_rank(df, t.row_bound(spark, sf)))
+    df = features.signal_flags(crosssection.turnover_rank(df, t.rows_per_date(spark, sf)))
     return df.select(
         "Date", "Symbol", "is_top_turnover_15", "foreign_high_conviction_buy_flag", "institution_high_conviction_buy_flag",
         "dual_high_conviction_buy_flag", "distance_to_52w_high", "near_52w_high_flag", "breakout_52w_flag",

@@ -343,7 +343,7 @@ def tuned_weights(spark, sf):
     WHEN s <= 0.55 THEN 'neutral' WHEN s <= 0.75 THEN 'weak_positive' ELSE 'strong_positive' END AS signal_label FROM z""",
 )
 def rescore(spark, sf):
-    out = scoring.rescore(scored(spark, sf), (0.3, 0.5, 0.15), "normal", t.row_bound(spark, sf))
+    out = scoring.rescore(scored(spark, sf), (0.3, 0.5, 0.15), "normal", t.rows_per_date(spark, sf))
     return out.select("Date", "Symbol", "signal_score", "rank_universe_size", "signal_label")
 
 

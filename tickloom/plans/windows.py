@@ -215,7 +215,7 @@ def year_high(spark, sf):
     {fl("turnover_rank_daily <= 10", "is_top_turnover_10")} FROM rk""",
 )
 def turnover_rank(spark, sf):
-    df = crosssection.turnover_rank(returns(spark, sf), t.row_bound(spark, sf))
+    df = crosssection.turnover_rank(returns(spark, sf), t.rows_per_date(spark, sf))
     return df.select("Date", "Symbol", "turnover_rank_daily", "is_top_turnover_3", "is_top_turnover_10")
 
 
@@ -235,7 +235,7 @@ def turnover_rank_sliced(spark, sf):
 )
 def dense_turnover_rank(spark, sf):
     df = returns(spark, sf).select("Date", "Symbol", F.round(F.col("value_traded") / 1000).alias("value_traded"))
-    return crosssection.dense_turnover_rank(df, t.row_bound(spark, sf)).select("Date", "Symbol", "turnover_rank_daily")
+    return crosssection.dense_turnover_rank(df, t.rows_per_date(spark, sf)).select("Date", "Symbol", "turnover_rank_daily")
 
 
 @query(
@@ -244,7 +244,7 @@ def dense_turnover_rank(spark, sf):
     SELECT {d()}, "Symbol", {fl("turnover_rank_daily = 1 AND daily_return > 0 AND n >= 3", "leader_confirmation_flag")} FROM s""",
 )
 def leader_by_rank(spark, sf):
-    df = crosssection.turnover_rank(returns(spark, sf), t.row_bound(spark, sf))
+    df = crosssection.turnover_rank(returns(spark, sf), t.rows_per_date(spark, sf))
     return crosssection.leader_by_rank(df).select("Date", "Symbol", "leader_confirmation_flag")
 
 
@@ -260,7 +260,7 @@ lead AS (SELECT "Date", coalesce(max(CASE WHEN pos = 1 THEN rt END), 0) AS l1, c
     {il("l1 > 0 AND movers >= 2", "leader_confirmation_flag")} FROM rk JOIN lead USING ("Date")""",
 )
 def leader_returns(spark, sf):
-    df = crosssection.leader_returns(crosssection.turnover_rank(returns(spark, sf), t.row_bound(spark, sf)))
+    df = crosssection.leader_returns(crosssection.turnover_rank(returns(spark, sf), t.rows_per_date(spark, sf)))
     return df.select("Date", "Symbol", "leader_1_return", "leader_2_return", "leader_3_return", "leader_confirmation_flag")
 
 
@@ -311,7 +311,7 @@ def external_returns(spark, sf):
     FROM ret WINDOW w AS (PARTITION BY "Date" ORDER BY daily_return DESC NULLS LAST, "Symbol")""",
 )
 def cross_section_rank(spark, sf):
-    df = crosssection.cross_section_ranks(returns(spark, sf), "daily_return", t.row_bound(spark, sf))
+    df = crosssection.cross_section_ranks(returns(spark, sf), "daily_return", t.rows_per_date(spark, sf))
     return df.select("Date", "Symbol", "cross_section_rank", "rank_universe_size", "rank_percentile")
 
 
@@ -363,7 +363,7 @@ hi AS (SELECT "Date", "Symbol", "Close" / CASE WHEN count("Close") OVER a >= 20
 def feature_matrix(spark, sf):
     """All feature layers in one plan, labelled rows only."""
     bars = t.daily_bars(spark, sf)
-    out = features.feature_matrix(bars, group_rows=t.row_bound(spark, sf))
+    out = features.feature_matrix(bars, group_rows=t.rows_per_date(spark, sf))
     return out.select(
         "Date", "Symbol", "ret_20d", "ma_60", "vol_20", "vol_ratio_20", "close_to_52w_high", "target_log_return", "turnover_rank_daily",
         "leader_1_return", "leader_confirmation_flag", "breakout_52w_flag", "market_regime",

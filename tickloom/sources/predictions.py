@@ -16,7 +16,7 @@ def head_predictions(spark: SparkSession, sf: str) -> DataFrame:
     df = indicators.volume_ratio(indicators.rolling_volatility(indicators.moving_averages(df, (20,)), (20,)))
     df = indicators.next_day_target(indicators.year_high(df))
     df = df.where(F.col("vol_20").isNotNull() & F.col("target_log_return").isNotNull())
-    df = crosssection.turnover_rank(df, t.row_bound(spark, sf))
+    df = crosssection.turnover_rank(df, t.rows_per_date(spark, sf))
     forecast = F.col("ret_5d") * -0.1
     df = df.withColumns(
         {

@@ -20,6 +20,13 @@ def row_bound(spark: SparkSession, sf: str, name: str = "lineitem") -> int:
     return table(spark, sf, name).count()
 
 
+def rows_per_date(spark: SparkSession, sf: str) -> int:
+    """The most line items of one date: an upper bound of the bars of any date, which grows with the symbols and not
+    with the length of the history. One column is read, and a row per calendar day is left of each task."""
+    days = table(spark, sf, "lineitem").groupBy(F.col("l_shipdate").cast("date")).count()
+    return days.agg(F.max("count")).first()[0] or 0
+
+
 def daily_bars(spark: SparkSession, sf: str) -> DataFrame:
     """One bar per (Symbol, Date). Prices are folded into a narrow band so that returns
     look like daily returns; open and close follow the order of the line items."""
