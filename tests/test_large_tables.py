@@ -4,7 +4,8 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from tickloom.operators import ranking
+from tickloom.operators import ranking, scoring
+from tickloom.plans import evaluation, policy
 from tickloom.sources import tables
 from tickloom.sources.predictions import head_predictions
 
@@ -38,3 +39,14 @@ def test_a_long_history_is_ranked_by_date_without_slices(spark, history, monkeyp
     monkeypatch.undo()
     monkeypatch.setattr(ranking, "ROWS_PER_TASK", SYMBOLS - 1)  # a date too large for a task still goes in slices
     assert {(r.Date, r.Symbol): r.turnover_rank_daily for r in head_predictions(spark, history).collect()} == plain
+
+
+def test_a_prediction_frame_writes_only_what_it_carries(spark, history, monkeypatch):
+    """Features that no later step reads are not computed and written."""
+    kept, write = [], scoring.written
+    monkeypatch.setattr(scoring, "written", lambda df, name: kept.append(df.columns) or write(df, name))
+    assert policy.prediction_frame(spark, history).count() == (DAYS - 21) * SYMBOLS
+    assert evaluation.oof_diagnostics(spark, history).count() == 1
+    assert policy.scored_frame(spark, history).count() == (DAYS - 21) * SYMBOLS
+    assert len(kept) == 3 and all(not {"ma_20", "High", "intraday_return", "sector"} & set(c) for c in kept)
+    assert [len(c) for c in kept] == [10, 10, 18]

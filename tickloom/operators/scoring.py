@@ -10,7 +10,7 @@ from tickloom.functions.numeric import clip, np_round, number, percent_text, pri
 from tickloom.operators.crosssection import cross_section_ranks
 from tickloom.operators.ranking import percentile_rank
 from tickloom.params import CriteriaParams, SignalParams
-from tickloom.session import cut_lineage
+from tickloom.session import written
 
 # Columns carried from features to predictions, and the public result columns.
 CARRIED = [
@@ -48,8 +48,8 @@ def weighted_score(return_weight, prob_weight, penalty) -> Column:
 def prediction_frame(heads: DataFrame, s: SignalParams = SignalParams()) -> DataFrame:
     """``heads`` carries Date, Symbol, Close, market_regime, predicted_log_return,
     up_probability and the three quantiles. Percentile scores rank the whole frame."""
-    # Ranked twice and returned: written once instead of computed three times.
-    out = cut_lineage(heads).withColumns(
+    # Ranked twice and returned: written once instead of computed three times, by column, so that a rank reads its own.
+    out = written(heads, "heads").withColumns(
         {
             "predicted_return": F.expm1("predicted_log_return") * 100.0,
             "predicted_close": F.col("Close") * F.exp("predicted_log_return"),

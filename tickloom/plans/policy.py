@@ -206,11 +206,17 @@ def signal_label(spark, sf):
     return df.select("Date", "Symbol", policy.signal_label("signal_score").alias("signal_label"))
 
 
-def rounded_heads(spark, sf):
-    """Quantiles built around 0 so that widths tie exactly where they are equal."""
+# The columns a prediction frame needs, and what boost, headwind and the policy read beside them.
+FRAME_COLUMNS = ["Date", "Symbol", "Close", "target_log_return", "market_regime", "predicted_log_return", "up_probability", "quantile_low", "quantile_mid", "quantile_high"]
+POLICY_COLUMNS = ["turnover_rank_daily", "foreign_net_buy", "institution_net_buy", "nq_f_ret_1d", "rsi_14", "near_52w_high_flag", "breakout_52w_flag", "value_traded"]
+
+
+def rounded_heads(spark, sf, extra=()):
+    """Quantiles built around 0 so that widths tie exactly where they are equal. The frame is written
+    before it is ranked, so it carries only the columns that are asked for."""
     df = head_predictions(spark, sf).withColumn("market_regime", F.lit("sideways_low_vol"))
     width = F.round(F.col("quantile_high") - F.col("quantile_low"), 12)
-    return df.withColumns({"quantile_low": F.lit(0.0), "quantile_high": width})
+    return df.withColumns({"quantile_low": F.lit(0.0), "quantile_high": width}).select(*FRAME_COLUMNS, *extra)
 
 
 @query(
@@ -226,7 +232,7 @@ def prediction_frame(spark, sf):
 
 
 def scored(spark, sf):
-    return scoring.scored_frame(rounded_heads(spark, sf), 0.8, 0.5, 3e6, group_rows=t.row_bound(spark, sf))
+    return scoring.scored_frame(rounded_heads(spark, sf, POLICY_COLUMNS), 0.8, 0.5, 3e6, group_rows=t.rows_per_date(spark, sf))
 
 
 @query(
@@ -237,7 +243,7 @@ def scored(spark, sf):
 def scored_frame(spark, sf):
     out = scored(spark, sf).drop("cross_section_rank", "rank_percentile", "rank_universe_size")
     out = out.withColumn("_key", F.floor(F.col("signal_score") * 1e9))  # scores equal up to rounding noise tie
-    out = crosssection.cross_section_ranks(out, "_key", t.row_bound(spark, sf))
+    out = crosssection.cross_section_ranks(out, "_key", t.rows_per_date(spark, sf))
     return out.select("Date", "Symbol", "signal_score", "market_headwind_score", "external_coverage_ratio", "cross_section_rank")
 
 
@@ -284,7 +290,7 @@ def coverage_gate(spark, sf):
 def simple_result(spark, sf):
     df = policy_input(spark, sf)
     df = df.withColumns({"symbol_name": F.col("Symbol"), "recommendation": policy.recommendation(df), "predicted_close": F.col("Close")})
-    df = crosssection.cross_section_ranks(df, "up_probability", t.row_bound(spark, sf)).drop("rank_percentile")
+    df = crosssection.cross_section_ranks(df, "up_probability", t.rows_per_date(spark, sf)).drop("rank_percentile")
     df = df.withColumn("공시 요약", F.col("Date"))
     out = scoring.simple_result(df).drop("_confidence", "_return")
     assert not scoring.missing_simple_columns(out.columns)
