@@ -1,10 +1,12 @@
 """What is read, ranked and written for large tables, on rows made here."""
 
-from datetime import datetime, timedelta
+import random
+from datetime import date, datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
-from tickloom.operators import ranking, scoring
+from tickloom.operators import ranking, scoring, signal_tests
 from tickloom.plans import evaluation, policy
 from tickloom.sources import tables
 from tickloom.sources.predictions import head_predictions
@@ -50,3 +52,32 @@ def test_a_prediction_frame_writes_only_what_it_carries(spark, history, monkeypa
     assert policy.scored_frame(spark, history).count() == (DAYS - 21) * SYMBOLS
     assert len(kept) == 3 and all(not {"ma_20", "High", "intraday_return", "sector"} & set(c) for c in kept)
     assert [len(c) for c in kept] == [10, 10, 18]
+
+
+def test_sets_of_observations_are_ranked_without_repeating_rows(spark, monkeypatch):
+    """Each set equals the block of its own rows, with ties and missing keys; no table written has more rows than came in."""
+    rng = random.Random(3)
+    rows = [
+        (i % 190, rng.choice([None, -1.5, -0.5, 0.0, 0.5, 2.0]), rng.randint(-4, 4) / 100, date(2024, 1, 1 + rng.randint(0, 6)),
+         rng.choice(["a", "b", None]), f"cap{rng.randint(0, 2)}", ["missing_intraday_price"] if i % 17 == 0 else [])
+        for i in range(200)
+    ]
+    obs = spark.createDataFrame(rows, "seq int, score double, after_cost_return double, entry_day date, sector string, market_cap_bucket string, quality_flags array<string>")
+    obs = obs.where("seq >= 10")  # no order twice
+    sizes = []
+    for module in (ranking, signal_tests):
+        for name in ("written", "cut_lineage"):
+            if keep := getattr(module, name, None):
+                monkeypatch.setattr(module, name, lambda df, *a, keep=keep: sizes.append(df.count()) or keep(df, *a))
+    got = {(r.set, r.key): r for r in signal_tests.validation_sets(obs, "seq", 3).collect()}
+    assert sizes and max(sizes) <= obs.count()
+    monkeypatch.undo()
+    want = {}
+    for name, column in (("overall", F.lit("all")), ("by_day", F.col("entry_day")), ("by_sector", F.col("sector")), ("by_market_cap", F.col("market_cap_bucket"))):
+        k = 3 if name == "overall" else 1
+        block = signal_tests.coefficient_block(obs.withColumn("key", column.cast("string")), ["key"], "seq", k, 1000)
+        want.update({(name, r.key): r for r in block.collect()})
+    assert set(got) == set(want) and len(got) == 1 + 7 + 2 + 3
+    for key, r in want.items():
+        for c in ("sample_size", "ic", "rank_ic", "hit_ratio", "top_bottom_spread"):
+            assert got[key][c] == pytest.approx(r[c], abs=2e-6), (key, c)

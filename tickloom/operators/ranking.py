@@ -8,14 +8,14 @@ in the slices before it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tickloom.operators.skew import null_safe_join, salted_lookup
-from tickloom.session import cut_lineage
+from tickloom.session import cut_lineage, written
 
 ROWS_PER_TASK = 5_000_000
 
@@ -38,6 +38,28 @@ def ordinal_rank(
     return joined.withColumn(name, (local + F.col("_before")).cast("long")).drop("_slice", "_before")
 
 
+def ordinal_ranks(df: DataFrame, groups: Mapping[str, Sequence[str]], order: Sequence[Column]) -> DataFrame:
+    """1, 2, 3 ... inside the groups of several groupings, whose rows have one order: a column for each name.
+
+    The table is sorted into slices and written once, whatever the number of groupings; a row's rank in a group is its
+    place among the group's rows in its slice, shifted by those in the slices before. Groups are few beside the rows:
+    their counts per slice are broadcast.
+    """
+    ranged = df.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id())
+    sliced = written(ranged, "slices")
+    out = sliced.repartition("_slice")  # all windows below stay inside a slice
+    for name, group in groups.items():
+        local = F.row_number().over(Window.partitionBy("_slice", *group).orderBy(*order))
+        out = out.withColumn(name, local)
+    for name, group in groups.items():
+        sums = sliced.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_total"))
+        w = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # a row per slice
+        before = sums.select(*group, "_slice", F.coalesce(F.sum("_total").over(w), F.lit(0)).alias("_before"))
+        out = null_safe_join(out, F.broadcast(before), [*group, "_slice"])
+        out = out.withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_before")
+    return out.drop("_slice")
+
+
 def running_total(
     df: DataFrame, order: Sequence[Column], value: str, name: str, group: Sequence[str] = ()
 ) -> DataFrame:

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import clip
 from tickloom.operators.metrics import pearson
-from tickloom.operators.ranking import ordinal_rank
+from tickloom.operators.ranking import ordinal_rank, ordinal_ranks, top_per_group
 from tickloom.operators.skew import first_per_key
 from tickloom.params import GateParams
-from tickloom.session import cut_lineage
+from tickloom.session import cut_lineage, written
 
 UNTRADABLE = ("halted", "limit_locked")
 
@@ -62,29 +62,56 @@ def coefficient_block(
     rows = ordinal_rank(rows, by, [score.desc(), F.col(order).asc()], "_from_top", group_rows)
     rows = rows.join(sizes, by) if by else rows.withColumn("_n", F.lit(sizes.first()[0]))
     k = F.lit(basket) if isinstance(basket, int) else basket
-    hit = ((score > 0) & (ret > 0)) | ((score < 0) & (ret < 0)) | (score == 0)
     top = F.avg(F.when(F.col("_from_top") <= k, ret))
     bottom = F.avg(F.when(F.col("_from_top") > F.col("_n") - k, ret))
-    return rows.groupBy(*by).agg(
+    return rows.groupBy(*by).agg(*_measures(score, ret), F.bround(top - bottom, 6).alias("top_bottom_spread"))
+
+
+def _measures(score: Column, ret: Column) -> list[Column]:
+    """What a group's rows with ``_score_rank`` and ``_return_rank`` add up to."""
+    hit = ((score > 0) & (ret > 0)) | ((score < 0) & (ret < 0)) | (score == 0)
+    return [
         F.count(F.lit(1)).alias("sample_size"),
         F.bround(pearson(score, ret), 6).alias("ic"),
         F.bround(pearson(F.col("_score_rank"), F.col("_return_rank")), 6).alias("rank_ic"),
         F.bround(F.avg(F.when(hit, 1.0).otherwise(0.0)), 6).alias("hit_ratio"),
-        F.bround(top - bottom, 6).alias("top_bottom_spread"),
-    )
+    ]
 
 
-def validation_sets(obs: DataFrame, order: str, basket: int = 5, group_rows: int | None = None) -> DataFrame:
-    """The same block overall, by entry day, sector and size bucket in one pass."""
-    sets = F.array(
-        F.struct(F.lit("overall").alias("set"), F.lit("all").alias("key"), F.lit(basket).alias("basket")),
-        *[
-            F.struct(F.lit(name).alias("set"), F.col(c).cast("string").alias("key"), F.lit(1).alias("basket"))
-            for name, c in (("by_day", "entry_day"), ("by_sector", "sector"), ("by_market_cap", "market_cap_bucket"))
-        ],
-    )
-    rows = obs.withColumn("_s", F.explode(sets)).select("*", "_s.*").drop("_s")
-    return coefficient_block(rows, ["set", "key"], order, F.when(F.col("set") == "overall", basket).otherwise(1), group_rows)
+def validation_sets(obs: DataFrame, order: str, basket: int = 5) -> DataFrame:
+    """The same block overall, by entry day, sector and size bucket.
+
+    A row takes part in all four sets, but travels once for each of the two ranks: the sets share an order, so one sort
+    of the table ranks them all. Rows are only repeated where they are added up or cut to a few per group before the shuffle.
+    A group without a key is left out.
+    """
+    sets = {"overall": [], "by_day": ["entry_day"], "by_sector": ["sector"], "by_market_cap": ["market_cap_bucket"]}
+    score, ret = F.col("score"), F.col("after_cost_return")
+    usable = obs.where(~F.array_contains("quality_flags", "missing_intraday_price"))
+    usable = written(usable.select(*dict.fromkeys([order, "score", "after_cost_return", *sum(sets.values(), [])])), "observations")
+    ranked = ordinal_ranks(usable, {f"_score_{s}": group for s, group in sets.items()}, [score.asc(), F.col(order).asc()])
+    ranked = ordinal_ranks(ranked, {f"_return_{s}": group for s, group in sets.items()}, [ret.asc(), F.col(order).asc()])
+
+    def repeated(df: DataFrame, columns: list[str], ranks: bool) -> DataFrame:
+        """Every row once for each of its sets."""
+        def one(s: str, group: list[str]) -> Column:
+            key = F.col(group[0]).cast("string") if group else F.lit("all")
+            own = [F.col(f"_score_{s}").alias("_score_rank"), F.col(f"_return_{s}").alias("_return_rank")] if ranks else []
+            return F.struct(F.lit(s).alias("set"), key.alias("key"), F.lit(1 if group else basket).alias("_basket"), *own)
+
+        rows = df.select(*columns, F.explode(F.array(*[one(s, group) for s, group in sets.items()])).alias("_s"))
+        return rows.select(*columns, "_s.*").where(F.col("key").isNotNull())
+
+    def best(by: list[Column], name: str) -> DataFrame:
+        """The mean return of each group's first rows."""
+        rows = repeated(usable, list(dict.fromkeys([order, "score", "after_cost_return"])), False)
+        first = top_per_group(rows, ["set", "key"], by, max(basket, 1)).where(F.col("pos") <= F.col("_basket"))
+        return first.groupBy("set", "key").agg(F.avg(ret).alias(name))
+
+    blocks = repeated(ranked, ["score", "after_cost_return"], True).groupBy("set", "key").agg(*_measures(score, ret))
+    blocks = blocks.join(best([score.desc(), F.col(order).asc()], "_top"), ["set", "key"], "left")
+    blocks = blocks.join(best([score.asc(), F.col(order).desc()], "_bottom"), ["set", "key"], "left")
+    return blocks.withColumn("top_bottom_spread", F.bround(F.col("_top") - F.col("_bottom"), 6)).drop("_top", "_bottom")
 
 
 def compare_variants(obs: DataFrame, variant: str, baseline: str, order: str, group_rows: int | None = None) -> DataFrame:

@@ -181,7 +181,7 @@ def information_coefficient(spark, sf):
     f"""WITH {SETS} SELECT "set", key, n AS sample_size, {r("ic")}, {r("rank_ic")}, {r("hit", "hit_ratio")}, {r("spread", "top_bottom_spread")} FROM bl""",
 )
 def bucket_summaries(spark, sf):
-    return signal_tests.validation_sets(observations(spark, sf), "seq", 5, t.row_bound(spark, sf))
+    return signal_tests.validation_sets(observations(spark, sf), "seq", 5)
 
 
 @query(
@@ -200,7 +200,7 @@ def variant_comparison(spark, sf):
      CASE WHEN "set" = 'overall' AND spread <= 0.9 THEN 'top_bottom_spread_below_threshold' END, CASE WHEN "set" <> 'overall' AND n < 12 THEN 'bucket_' || key || '_insufficient_samples' END], lambda x: x IS NOT NULL)) AS failed_check FROM bl""",
 )
 def performance_gate(spark, sf):
-    blocks = signal_tests.validation_sets(observations(spark, sf), "seq", 5, t.row_bound(spark, sf))
+    blocks = signal_tests.validation_sets(observations(spark, sf), "seq", 5)
     return signal_tests.failed_checks(blocks, GateParams(min_bucket_samples=12, min_rank_ic=0.9, min_spread=0.9))
 
 
