@@ -6,7 +6,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators import ranking, scoring, signal_tests
+from tickloom.operators import indicators, ranking, scoring, signal_tests
 from tickloom.plans import evaluation, policy
 from tickloom.sources import tables
 from tickloom.sources.predictions import head_predictions
@@ -81,3 +81,20 @@ def test_sets_of_observations_are_ranked_without_repeating_rows(spark, monkeypat
     for key, r in want.items():
         for c in ("sample_size", "ic", "rank_ic", "hit_ratio", "top_bottom_spread"):
             assert got[key][c] == pytest.approx(r[c], abs=2e-6), (key, c)
+
+
+def test_year_high_equals_brute_force_without_a_long_frame(spark):
+    """Missing closes count as bars but not as values; no row goes through its 252 bars."""
+    rng = random.Random(6)
+    closes = {s: [rng.choice([None, *(float(rng.randint(1, 40)) for _ in range(4))]) for _ in range(n)] for s, n in (("a", 600), ("b", 30), ("c", 5))}
+    bars = spark.createDataFrame([(s, i, c) for s, all_ in closes.items() for i, c in enumerate(all_)], "Symbol string, Date int, Close double")
+    for n, need in ((252, 20), (7, 3), (1, 1)):
+        df = indicators.year_high(bars, n, need)
+        assert f"RowFrame, -{n - 1}, currentrow$" not in df._jdf.queryExecution().optimizedPlan().toString()
+        for r in df.collect():
+            def high(last):
+                seen = [v for v in closes[r.Symbol][max(0, last - n + 1) : last + 1] if v is not None]
+                return max(seen) if last >= 0 and len(seen) >= need else None
+            own, now, before = closes[r.Symbol][r.Date], high(r.Date), high(r.Date - 1)
+            assert r.close_to_52w_high == (None if own is None or now is None else own / now)
+            assert r.breakout_52w_flag == float(own is not None and before is not None and own >= before)
