@@ -6,7 +6,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators import indicators, ranking, scoring, signal_tests
+from tickloom.operators import crosssection, indicators, ranking, scoring, signal_tests
 from tickloom.plans import evaluation, policy
 from tickloom.sources import tables
 from tickloom.sources.predictions import head_predictions
@@ -83,6 +83,18 @@ def test_sets_of_observations_are_ranked_without_repeating_rows(spark, monkeypat
             assert got[key][c] == pytest.approx(r[c], abs=2e-6), (key, c)
 
 
+def test_the_universe_of_a_date_is_counted_where_it_is_ranked(spark, history, monkeypatch):
+    """The line items are read once for a rank with its size; a missing date has no rank, in slices as well."""
+    leaves = policy.simple_result(spark, history)._jdf.queryExecution().optimizedPlan().collectLeaves().toString()
+    assert leaves.count("l_shipdate") == 1
+    df = spark.createDataFrame([("a", 1, 2.0), ("b", 1, None), ("c", 1, 3.0), ("a", 2, 1.0), ("b", None, 1.0)], "Symbol string, Date int, s double")
+    found = lambda out: sorted((r.Date, r.Symbol, r.cross_section_rank, r.rank_universe_size, round(r.rank_percentile, 6)) for r in out.collect())
+    plain = found(crosssection.cross_section_ranks(df, "s", 10))
+    assert plain == [(1, "a", 2, 3, 0.666667), (1, "b", 3, 3, 0.333333), (1, "c", 1, 3, 1.0), (2, "a", 1, 1, 1.0)]
+    monkeypatch.setattr(ranking, "ROWS_PER_TASK", 1)
+    assert found(crosssection.cross_section_ranks(df, "s", 10)) == plain
+
+
 def test_year_high_equals_brute_force_without_a_long_frame(spark):
     """Missing closes count as bars but not as values; no row goes through its 252 bars."""
     rng = random.Random(6)

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tickloom.functions.numeric import flag, iflag, number
+from tickloom.operators import ranking
 from tickloom.operators.ranking import dense_rank, ordinal_rank, top_per_group
 from tickloom.params import CriteriaParams
 
@@ -71,7 +73,10 @@ def cross_section_ranks(df: DataFrame, score: str = "signal_score", group_rows:
     """Rank, percentile and universe size on the date, higher score first."""
     order = [number(score).desc_nulls_last(), F.col("Symbol")]
     ranked = ordinal_rank(df, ["Date"], order, "cross_section_rank", group_rows)
-    sizes = df.groupBy("Date").agg(F.count(F.lit(1)).alias("rank_universe_size"))
-    out = ranked.join(F.broadcast(sizes), "Date")  # calendar-bounded
+    size = F.count(F.lit(1))
+    if group_rows is not None and group_rows <= ranking.ROWS_PER_TASK:  # counted where the date is ranked, not in a second run of the plan
+        out = ranked.where(F.col("Date").isNotNull()).withColumn("rank_universe_size", size.over(Window.partitionBy("Date")))
+    else:
+        out = ranked.join(F.broadcast(df.groupBy("Date").agg(size.alias("rank_universe_size"))), "Date")  # calendar-bounded
     n = F.col("rank_universe_size")
     return out.withColumn("rank_percentile", (n - F.col("cross_section_rank") + 1.0) / n)
