@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators import crosssection, indicators, ranking, scoring, signal_tests
-from tickloom.plans import evaluation, policy
+from tickloom.plans import evaluation, learning, policy
 from tickloom.sources import tables
 from tickloom.sources.predictions import head_predictions
 
@@ -110,3 +110,10 @@ def test_year_high_equals_brute_force_without_a_long_frame(spark):
             own, now, before = closes[r.Symbol][r.Date], high(r.Date), high(r.Date - 1)
             assert r.close_to_52w_high == (None if own is None or now is None else own / now)
             assert r.breakout_52w_flag == float(own is not None and before is not None and own >= before)
+
+
+def test_calibrated_probabilities_read_the_bars_once(spark, history):
+    """The calendar, the fit and the map read four written columns; the forecast isn't computed again for each."""
+    out = learning.calibrated_probability(spark, history)
+    assert out.inputFiles() and not [f for f in out.inputFiles() if "lineitem" in f]
+    assert out.count() == (DAYS - 21) * SYMBOLS
