@@ -117,3 +117,9 @@ def test_calibrated_probabilities_read_the_bars_once(spark, history):
     out = learning.calibrated_probability(spark, history)
     assert out.inputFiles() and not [f for f in out.inputFiles() if "lineitem" in f]
     assert out.count() == (DAYS - 21) * SYMBOLS
+
+
+def test_a_risk_text_is_built_once_per_row(spark, history):
+    """Action and gate look at the text many times; the plan does not hold it for each look."""
+    plan = policy.action_and_gate(spark, history)._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("THEN HIGH_UNCERTAINTY") <= 2  # a null-if looks at its value twice

@@ -144,9 +144,11 @@ def position_size(spark, sf):
 @query("pf18_action_and_gate", f"""WITH {LABELS} SELECT {d()}, "Symbol", portfolio_action, trading_gate FROM acted""")
 def action_and_gate(spark, sf):
     df = policy_input(spark, sf)
-    risk = policy.risk_flag(df)
-    action = policy.portfolio_action(df, policy.recommendation(df), policy.position_size(df, risk))
-    return df.select("Date", "Symbol", action.alias("portfolio_action"), policy.trading_gate(risk).alias("trading_gate"))
+    # Columns of their own: an expression that is used many times would be computed as often.
+    df = df.withColumns({"_risk": policy.risk_flag(df), "_call": policy.recommendation(df)})
+    df = df.withColumn("_size", policy.position_size(df, F.col("_risk")))
+    action = policy.portfolio_action(df, F.col("_call"), F.col("_size"))
+    return df.select("Date", "Symbol", action.alias("portfolio_action"), policy.trading_gate(F.col("_risk")).alias("trading_gate"))
 
 
 REASON_SQL = """concat_ws(' / ', CASE WHEN turnover_rank_daily <= 15 THEN '종배수급: 거래대금 상위권, 거래대금 상위 15위 종목입니다' END,
