@@ -209,6 +209,26 @@ def test_similar_names_equal_brute_force(spark):
     assert {(r.query, r.Ticker): round(r.score, 9) for r in df.collect()} == want
 
 
+def test_ratios_of_many_pairs_equal_difflib(monkeypatch):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("ab0한🙂") for _ in range(rng.choice([0, 1, 2, 5, 9, 17, 30])))
+    pairs = [(word(), word()) for _ in range(3000)] + [("ab" * 150, "ba" * 120), ("a", "b" * 250), ("abc", "abc")]
+    monkeypatch.setattr(mapping, "PAIRS_AT_ONCE", 700)
+    got = mapping.sequence_ratios([a for a, _ in pairs], [b for _, b in pairs])
+    assert got.tolist() == [difflib.SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+
+
+def test_similar_names_compare_each_pair_once_in_many_tasks(spark, monkeypatch, capsys):
+    """Names that all resemble every query: no row for each common character, and tasks by the number of pairs."""
+    monkeypatch.setattr(mapping, "PAIRS_PER_TASK", 100)
+    names = spark.range(60).select(*[F.concat(F.lit(p), F.col("id")).alias(c) for c, p in (("Symbol", "S"), ("Ticker", "T"), ("Name", "Supplier#0000"), ("Market", "M"))])
+    asked = spark.range(20).select(F.concat(F.lit("supplier#000"), F.col("id")).alias("q"))
+    got = mapping.similar_names(asked, "q", names)
+    got.explain()
+    plan = capsys.readouterr().out
+    assert got.count() == 1200 and plan.count("ArrowEvalPython") == 1 and "RoundRobinPartitioning(12)" in plan and "posexplode" not in plan
+
+
 def test_capacity_weights_equal_water_filling(spark):
     rng = random.Random(5)
     rows, want = [], {}
