@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import policy, text
 from tickloom.functions.selection import display_columns, feature_columns
-from tickloom.operators import clean, context, dedupe, groups, impact, indicators, learning, mapping, metrics, portfolio, quantiles, validation
+from tickloom.operators import clean, context, dedupe, groups, impact, indicators, learning, mapping, metrics, phrases, portfolio, quantiles, validation
 from tickloom.operators.phrases import phrase_hits
 from tickloom.operators.ranking import average_rank, dense_rank, ordinal_rank, percentile_rank
 from tickloom.operators.skew import first_per_key, salted_lookup
@@ -194,6 +194,24 @@ def test_phrase_hits_equal_brute_force(spark):
     assert len(got) == len(want) and {(r.id, r.p) for r in got} == want
 
 
+def test_a_text_with_the_words_of_a_phrase_apart_is_no_candidate(spark):
+    words = ["alpha", "beta", "gamma", "delta"]
+    texts = [f"{a} and {b}" for a in words for b in words] + ["an alpha betas day"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, body string").select(F.col("id").alias("_doc"), F.split("body", " ").alias("_words"))
+    keys = spark.createDataFrame([(f"{a} {b}", f"{a} {b}", True) for a in words for b in words], "_phrase string, _two string, _sure boolean")
+    assert [tuple(r) for r in phrases._by_neighbours(docs, keys).collect()] == [(16, "alpha beta", True)]  # not 16 texts x 7 phrases
+
+
+def test_phrases_of_many_parts_are_searched_whole(spark):
+    texts = ["one two three four", "one two four three", "xone two threex", "one  two three", "two three one two"]
+    asked = ["one two three", " two three", "two  three", "one  two", "three ", "two three one"]
+    docs = spark.createDataFrame([(7, texts[0]), *enumerate(texts)], "id int, body string")
+    want = {(i, w) for i, b in [(7, texts[0]), *enumerate(texts)] for w in asked if w in b}
+    got = phrase_hits(docs, "id", "body", spark.createDataFrame([(w,) for w in asked], "p string"), "p").collect()
+    assert len(got) == len(want) and {(r.id, r.p) for r in got} == want
+    assert phrase_hits(docs, "id", "body", spark.createDataFrame([(" ",), (None,)], "p string"), "p").count() == 0
+
+
 def test_similar_names_equal_brute_force(spark):
     names = [("005930.KS", "005930", "삼성전자", "KOSPI"), ("000660.KS", "000660", "SK하이닉스", "KOSPI"), ("035420.KS", "035420", "네이버", "KOSPI"), ("1.KS", "000001", "하이닉 스", "KOSPI")]
     queries = ["삼성", "삼성전기", "하이닉스", "sk 하이", "네이", "zzz"]
