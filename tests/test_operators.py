@@ -380,6 +380,25 @@ def test_five_heads_cover_their_levels_on_held_out_rows(spark):
     assert len(shares) == 5 and all(r.s == pytest.approx(1.0) for r in shares)
 
 
+def test_heads_run_the_plan_of_their_rows_once_and_wait_for_each_other_when_rows_are_many(spark, monkeypatch):
+    seen, threads, cached = spark.sparkContext.accumulator(0), [], spark.sparkContext._jsc.getPersistentRDDs().size()
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    df = noisy_frame(spark, 600, 3)
+    whole = learning.side_by_side
+    monkeypatch.setattr(learning, "side_by_side", lambda session, jobs, n: threads.append(n) or whole(session, jobs, n))
+    monkeypatch.setattr(learning, "ROWS_AT_ONCE", 1500)
+    some = learning.fit_heads(df.mapInPandas(counted, df.schema), ["a", "b", "c"], trees=1, quantile_trees=2)
+    assert seen.value == 600 and threads == [2]
+    monkeypatch.setattr(learning, "ROWS_AT_ONCE", 10**6)
+    assert learning.feature_importance(some, spark).collect() == learning.feature_importance(learning.fit_heads(df, ["a", "b", "c"], trees=1, quantile_trees=2), spark).collect()
+    assert threads == [2, 5] and spark.sparkContext._jsc.getPersistentRDDs().size() <= cached
+
+
 def test_folds_side_by_side_equal_folds_one_by_one_and_restart(spark, tmp_path, monkeypatch):
     df = indicators.next_day_target(indicators.lagged_returns(indicators.price_returns(bars_frame(spark, 260, ("AAA", "BBB"))), (1, 5)))
     p = FoldParams(min_train=120, test=40, step=40)
