@@ -288,6 +288,31 @@ def test_passages_of_common_words_beside_rare_ones(spark):
     assert found == {(d, i) for d, t in rows for i, x in items if f" {x} " in f" {t} "}
 
 
+def test_the_decomposition_leaves_directions_out_but_no_passage():
+    rng = np.random.default_rng(4)
+    rows = decontamination._unit(np.abs(rng.standard_normal((120, 12)) @ rng.standard_normal((12, 400)) + 0.6 * rng.standard_normal((120, 400))).astype(np.float32))
+    vectors = decontamination.directions(rows)
+    assert vectors.shape[1] < 100 and np.linalg.matrix_rank(rows) == 120
+    assert np.allclose(vectors.T @ vectors, np.eye(vectors.shape[1]), atol=1e-3)
+    assert ((rows @ vectors) ** 2).sum(axis=1).min() >= decontamination.FAITHFUL - 1e-3
+    alone = np.eye(40, dtype=np.float32)  # passages without a common word: some directions go, their passages get them back
+    assert ((alone @ decontamination.directions(alone)) ** 2).sum(axis=1).min() >= decontamination.FAITHFUL - 1e-3
+
+
+def test_paraphrases_with_their_answers_are_found_whatever_was_left_out(spark):
+    draw = random.Random(12)
+    shared = [f"s{i}" for i in range(60)]
+    items, rows = [], []
+    for i in range(80):
+        words = [draw.choice(shared) if draw.random() < 0.5 else f"own{i}x{k}" for k in range(30)]
+        items.append((i, " ".join(words) + f". The answer is number{i} here"))
+        swapped = [w if draw.random() < 0.7 else draw.choice(shared) for w in words]
+        rows.append((i, " ".join([*draw.choices(shared, k=20), *swapped]) + f". The answer is number{i} here"))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()}
+    assert found >= {(i, i) for i in range(80)}
+
+
 def test_all_exact_passages_of_a_larger_table(spark, sf):
     folder = sf.replace("sf0.001", "sf0.1")
     docs, bench = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")

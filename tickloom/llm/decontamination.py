@@ -2,12 +2,14 @@
 
 Words are weighted by their inverse document frequency over all documents (hashed to 2^18 features, counted in each
 task and summed by feature). The benchmark's TF-IDF passages, in hashed blocks of about 200, each get a randomised
-singular value decomposition in a task of its own; the right singular vectors are the index. Every document
+singular value decomposition in a task of its own. The right singular vectors of the largest values, with ``KEPT`` of the
+passages' squared mass, are the index: words that go together in passages fall together, and what tells near-equal passages
+apart is left to the words. A passage of which they keep less than ``FAITHFUL`` adds a direction of its own, so that none is lost. Every document
 is cut into overlapping windows of a few lengths, so that a passage lies whole in one that it fills to half
 at least. The words that a window shares with a passage bound their longest common subsequence from above; pairs
 that reach 0.8 of the passage by this count, or half where its answer may be in the document, are looked at. The subsequence decides: 0.8 of the passage is a leak,
 whatever the cosine; 0.5 is a paraphrase if the passage's answer, its last sentence, stands in the window unchanged
-and the cosine of the projected window and passage reaches the limit. A window's length counts the words of the
+and the cosine of window and passage, both projected, reaches the limit. A window's length counts the words of the
 index only, so that rare words around a passage don't hide it.
 
 The index of a block is about 200 passages x their words x 200 floats; ``BLOCKS_PER_SCAN`` of them
@@ -41,6 +43,9 @@ BLOCKS_PER_SCAN = 8
 COSINE = 0.4
 COPIED = 0.8
 PARAPHRASED = 0.5
+KEPT = 0.9
+FAITHFUL = 0.5
+WORDS_AT_ONCE = 8192  # words whose vectors are added up together
 RANKS = 4  # repetitions of a word in a passage that are told apart when shared words are counted
 SCHEMA = "doc_id long, key long, item_id long, start int, stop int, cosine double, lcs_ratio double, answer_found boolean"
 
@@ -88,19 +93,34 @@ class Index:
 
     place: np.ndarray  # feature -> row of ``vectors``, -1 outside
     vectors: np.ndarray
-    latent: np.ndarray  # passages of unit length, projected
+    latent: np.ndarray  # passages projected, of unit length
     items: list[tuple[int, list[int], list[int]]]  # id, words, words of the answer
 
 
-def randomised_svd(rows: np.ndarray, rank: int, seed: int = 7, rounds: int = 2) -> np.ndarray:
-    """The right singular vectors of the ``rank`` largest values, as columns."""
+def randomised_svd(rows: np.ndarray, rank: int, seed: int = 7, rounds: int = 2, share: float = 1.0) -> np.ndarray:
+    """The right singular vectors of the ``rank`` largest values, or of as many as hold the share of the squared mass, as columns."""
     width = min(rank + 8, *rows.shape)
     sketch = rows @ np.random.default_rng(seed).standard_normal((rows.shape[1], width)).astype(np.float32)
     for _ in range(rounds):
         sketch = rows @ (rows.T @ np.linalg.qr(sketch)[0])
     base = np.linalg.qr(sketch)[0]
     _, values, right = np.linalg.svd(base.T @ rows, full_matrices=False)
-    return right[: min(rank, int((values > 1e-6).sum()))].T.astype(np.float32)
+    enough = int(np.searchsorted(np.cumsum(values.astype(float) ** 2), share * float((rows.astype(float) ** 2).sum()) - 1e-6)) + 1
+    return right[: min(rank, enough, int((values > 1e-6).sum()))].T.astype(np.float32)
+
+
+def directions(rows: np.ndarray) -> np.ndarray:
+    """Orthonormal columns: the leading right singular vectors of passages of unit length, and what they miss of a passage that they render badly."""
+    vectors = randomised_svd(rows, len(rows), share=KEPT)
+    latent = rows @ vectors
+    poor = np.flatnonzero((latent * latent).sum(axis=1) < FAITHFUL)
+    if len(poor):
+        vectors = np.linalg.qr(np.hstack([vectors, (rows[poor] - latent[poor] @ vectors.T).T]))[0]
+    return vectors.astype(np.float32)
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
 
 
 def _answer(text: str, ids: list[int]) -> list[int]:
@@ -125,9 +145,9 @@ def fit(items: DataFrame, idf: np.ndarray) -> DataFrame:
         rows = np.zeros((len(kept), len(used)), np.float32)
         for i, (_, ids, _) in enumerate(kept):
             np.add.at(rows[i], place[_features(ids)], idf[_features(ids)])
-        rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
-        vectors = randomised_svd(rows, max(BLOCK_ITEMS, len(kept)))
-        index = Index(place, vectors, rows @ vectors, [(item, ids.tolist(), answer) for item, ids, answer in kept])
+        rows = _unit(rows)
+        vectors = directions(rows)
+        index = Index(place, vectors, _unit(rows @ vectors), [(item, ids.tolist(), answer) for item, ids, answer in kept])
         return pa.table({"block": table["block"][:1], "blob": pa.array([pickle.dumps(index)], pa.binary())})
 
     return items.groupBy("block").applyInArrow(one, "block long, blob binary")
@@ -165,7 +185,7 @@ class Searcher:
     """One worker's search with a list of indexes."""
 
     def __init__(self, indexes: list[Index], idf: np.ndarray, cosine: float = COSINE):
-        self.indexes, self.idf, self.cosine = indexes, idf.astype(np.float64), cosine
+        self.indexes, self.idf, self.cosine = indexes, idf.astype(np.float32), cosine
         self.classes = []
         self.counts = [[Counter(words) for _, words, _ in index.items] for index in indexes]
         self.lengths = [np.array([len(words) for _, words, _ in index.items]) for index in indexes]
@@ -175,8 +195,7 @@ class Searcher:
         for index in indexes:
             sizes = np.array([_window_of(len(w)) for _, w, _ in index.items])
             own = [(int(s), np.flatnonzero(sizes == s)) for s in np.unique(sizes)]
-            # a word's share in each product of projections, so that a window's products are sums over its words
-            self.classes.append([(s, which, index.vectors @ index.latent[which].T, self._repetitions(index, which), self._rarest(index, which)) for s, which in own])
+            self.classes.append([(s, which, self._repetitions(index, which), self._rarest(index, which)) for s, which in own])
 
     def _rarest(self, index: Index, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each word of the index (a row), whether it is among the words of which a leak of a passage (columns) has one.
@@ -213,30 +232,37 @@ class Searcher:
             key = known // step * width + place[known]
             key.sort()
             at = np.arange(len(key))
-            first = np.r_[True, key[1:] != key[:-1]]
+            first = R.changes(key)
             rank = np.minimum(at - np.maximum.accumulate(np.where(first, at, 0)), RANKS - 1)
             block = key // width
-            begins = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+            begins = np.flatnonzero(R.changes(block))
             out[block[begins] + 2] = np.add.reduceat(repetitions[(rank * width + key % width)[:, None], columns], begins)
         sums = np.cumsum(out, axis=0, out=out)  # row i: blocks up to i - 2
         start = np.arange(windows)
         return sums[np.minimum(start + 6, len(sums) - 1)] - sums[start]
 
     @staticmethod
-    def _cosines(products: np.ndarray, columns: np.ndarray, place: np.ndarray, weight: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        """Products of the windows' projections and those of the passages of a length."""
+    def _cosines(index: Index, which: np.ndarray, place: np.ndarray, weight: np.ndarray, starts: np.ndarray, step: int) -> np.ndarray:
+        """Cosines of the projections of windows of four steps and those of the passages ``which``."""
         known = np.flatnonzero(place >= 0)
-        a, b = np.searchsorted(known, starts), np.searchsorted(known, stops)
-        out = np.zeros((len(starts), len(columns)), np.float32)
-        for at in range(0, len(starts), 256):
-            first, last = int(a[at]), int(b[at : at + 256].max())
-            words = known[first:last]
-            rows = np.zeros((len(words) + 1, len(columns)), np.float32)
-            np.multiply(products[place[words][:, None], columns], weight[words, None], out=rows[:-1], casting="same_kind")
-            cuts = np.column_stack([a[at : at + 256], b[at : at + 256]]) - first
-            out[at : at + 256] = np.add.reduceat(rows, cuts.ravel())[::2]
-            out[at : at + 256][cuts[:, 0] == cuts[:, 1]] = 0
-        return out
+        own = (starts // step)[:, None] + np.arange(4)  # steps that overlapping windows share are added up once
+        steps = R.sorted_distinct(own.ravel())
+        a = np.searchsorted(known, steps * step)
+        n = np.searchsorted(known, (steps + 1) * step) - a
+        sums = np.zeros((len(steps), index.vectors.shape[1]), np.float32)
+        some = max(1, WORDS_AT_ONCE // step)
+        for at in range(0, len(steps), some):
+            first, lengths = a[at : at + some], n[at : at + some]
+            filled = np.flatnonzero(lengths)
+            if len(filled):
+                first, lengths = first[filled], lengths[filled]
+                begins = np.cumsum(lengths) - lengths
+                words = known[np.repeat(first - begins, lengths) + np.arange(int(lengths.sum()))]
+                rows = index.vectors[place[words]]
+                rows *= weight[words, None]
+                sums[at + filled] = np.add.reduceat(rows, begins)
+        windows = _unit(sums[np.searchsorted(steps, own)].sum(axis=1))
+        return np.einsum("wd,pd->wp", windows, index.latent[which])  # ``@`` would wake a thread for every core
 
     def _check(self, best: dict, key: tuple[int, int], ids: np.ndarray, a: int, b: int, cosine: float, held: Counter) -> None:
         """Keeps the window if it holds the passage or a near paraphrase with its answer, and is the best so far."""
@@ -274,14 +300,11 @@ class Searcher:
             present = np.zeros(len(index.vectors) + 1, bool)
             present[place] = True  # -1 is the last
             present = np.flatnonzero(present[:-1])
-            inside = None
-            for size, passages, products, repetitions, (loose, strict) in self.classes[number]:
+            for size, passages, repetitions, (loose, strict) in self.classes[number]:
                 columns = np.flatnonzero(np.where(answered[passages], loose[present].any(axis=0), strict[present].any(axis=0)))
                 if not len(columns):
                     continue
                 which = passages[columns]
-                if inside is None:
-                    inside = np.r_[0, np.cumsum(np.where(place >= 0, weight * weight, 0))]
                 starts = np.arange(0, max(1, len(ids) - size + size // 4), size // 4)
                 shared = self._shared(repetitions, columns, place, size // 4, len(starts))
                 lengths = self.lengths[number][which]
@@ -291,8 +314,7 @@ class Searcher:
                     continue
                 starts, shared = starts[live], shared[live]
                 stops = np.minimum(starts + size, len(ids))
-                norm = np.maximum(inside[stops] - inside[starts], 1e-9)
-                near = self._cosines(products, columns, place, weight, starts, stops) / np.sqrt(norm)[:, None]
+                near = self._cosines(index, which, place, weight, starts, size // 4)
                 last, held = -1, Counter()
                 for w, c in zip(*(x.tolist() for x in np.nonzero((shared >= COPIED * lengths) | (shared >= least) & (near >= self.cosine)))):
                     a, b = int(starts[w]), int(stops[w])
