@@ -3,10 +3,14 @@
 import random
 from datetime import date, datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators import crosssection, indicators, ranking, scoring, signal_tests
+from tickloom import session
+from tickloom.operators import crosssection, indicators, ranking, scoring, signal_tests, validation, weight_grid
+from tickloom.params import TuningParams
 from tickloom.plans import evaluation, learning, policy
 from tickloom.sources import tables
 from tickloom.sources.predictions import head_predictions
@@ -123,3 +127,79 @@ def test_a_risk_text_is_built_once_per_row(spark, history):
     """Action and gate look at the text many times; the plan does not hold it for each look."""
     plan = policy.action_and_gate(spark, history)._jdf.queryExecution().optimizedPlan().toString()
     assert 1 <= plan.count("THEN HIGH_UNCERTAINTY") <= 2  # a null-if looks at its value twice
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getPath() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    """What was shuffled for a table that is stored goes with the step; the session's setting is as it was."""
+    before, setting = shuffle_files(spark), spark.conf.get(session.SHUFFLE_CLEANUP, None)
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert session.written(df, "kept").count() == 7 and session.cut_lineage(df).where("k < 3").toPandas().shape == (3, 2)
+    with session.shuffles_dropped(spark):
+        assert session.written(df, "kept").count() == 7
+        assert spark.conf.get(session.SHUFFLE_CLEANUP) == "true"
+    assert spark.conf.get(session.SHUFFLE_CLEANUP, None) == setting
+    stored = {f for f in shuffle_files(spark) - before if not f.endswith(".checksum")}
+    session.written(df, "kept")
+    assert not {f for f in shuffle_files(spark) - before if not f.endswith(".checksum")} - stored  # counts above are steps of their own
+
+
+def test_rows_travel_narrow_to_their_percentiles(spark, history):
+    """Boost is worked out before the rows travel; no column goes with them only to spread a frequent value."""
+    for query in (policy.scored_frame, policy.finalize_latest, evaluation.rescore):
+        plan = query(spark, history)._jdf.queryExecution().optimizedPlan().toString()
+        assert "format_string" not in plan  # the band, which none of them returns
+        assert "_boost" in plan or query is not policy.scored_frame
+
+
+def test_weightings_are_ranked_in_buckets_without_moving_rows(spark, monkeypatch):
+    """Many chunks, buckets and rounds, frequent, missing and unordered scores: sums equal those of ranked rows, and few bytes a row travel, fewer in long buckets."""
+    rng = random.Random(9)
+    cell = lambda: rng.choice([0.5, rng.random(), rng.random(), rng.random()])
+    rows = [(rng.choice(["train", "valid"]), cell(), cell(), cell(), float(rng.randint(1, 900)) / 2 if rng.random() < 0.9 else None) for _ in range(6000)]
+    rows += [("train", 0.5, 0.5, 0.5, 7.0)] * 500 + [("train", None, 0.1, 0.2, 3.0), ("valid", float("nan"), 0.1, 0.2, 3.0), ("valid", float("nan"), 0.3, 0.2, 4.0), ("valid", 1e9, 0.1, 0.2, 5.0), ("none", None, 0.5, 0.5, 1.0)]
+    base = spark.createDataFrame(rows, "part string, norm_return double, up_probability double, uncertainty_score double, target_rank double").repartition(3)
+    weights = [(0, 0.3, 0.5, 0.15), (4, 0.65, 0.35, 0.25), (7, 0.0, 0.0, 0.0)]
+    moved = []
+    for name, value in (("CHUNK_ROWS", 400), ("BUCKET_ROWS", 250), ("ROWS_AT_ONCE", 7000)):
+        monkeypatch.setattr(weight_grid, name, value)
+    cuts, count = [], weight_grid._counted
+    monkeypatch.setattr(weight_grid, "_counted", lambda *a: cuts.extend(len(x) for x in a[2].values()) or count(*a))
+    pack = weight_grid._packed
+    monkeypatch.setattr(weight_grid, "_packed", lambda *a: moved.append(pack(*a).selectExpr("sum(length(scores) + length(counts) + length(known) + length(ranks))").first()[0]) or pack(*a))
+    got = {(r.candidate, r.part): r for r in weight_grid.rank_sums(base, weights, 0.1).collect()}
+    assert set(got) == {(i, part) for i, *_ in weights for part in ("train", "valid", "none")}
+    assert max(cuts) > 5 and len(moved) == len(weights) and sum(moved) < 24 * len(rows) * len(weights)
+    for (i, part), r in got.items():
+        w = next(w for j, *w in weights if j == i)
+        own = pd.DataFrame([x for x in rows if x[0] == part], columns=["part", "a", "b", "c", "t"])
+        own["score"] = [None if pd.isna(x.a) and part != "valid" else np.rint((x.a * w[0] + x.b * w[1] - x.c * w[2]) * 1e12) for x in own.itertuples()]
+        own["order"] = own["score"].astype(float).fillna(np.inf) if part == "valid" else own["score"].astype(float)
+        if i == 7 and part == "valid":
+            own["order"] = own["order"].where(~own["a"].isna(), np.inf)
+        ranks, middle = own["order"].rank(), (len(own) + 1) / 2
+        both = ranks.notna() & own["t"].notna()
+        x, t = ranks[both] - middle, own["t"][both] - middle
+        assert (r._n, r.k) == (len(own), both.sum())
+        if both.any():
+            assert [r.r, r.rr, r.t, r.tt, r.rt] == pytest.approx([x.sum(), (x * x).sum(), t.sum(), (t * t).sum(), (x * t).sum()], rel=1e-9, abs=1e-6)
+        top = max(1, int(len(own) * 0.1))
+        best = own["order"].sort_values(ascending=False, na_position="last").to_numpy()
+        cut = best[top - 1]
+        assert r._top == top and r._need == top - (np.sum(best > cut) if not np.isnan(cut) else np.sum(~np.isnan(best)))
+        assert r._cut is None if np.isnan(cut) else (np.isnan(r._cut) if np.isinf(cut) else r._cut == cut)
+
+
+def test_a_grid_shuffles_no_row_for_each_candidate(spark, history, monkeypatch):
+    """The only rows that are looked at one by one are those that share the last score of the top."""
+    ranked, rank = [], validation.ordinal_rank
+    monkeypatch.setattr(validation, "ordinal_rank", lambda df, *a: ranked.append(df.count()) or rank(df, *a))
+    rng = random.Random(4)
+    rows = [(date(2024, 1, 1 + i % 20), f"s{i}", rng.random(), rng.random(), rng.random(), rng.gauss(0, 0.02)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "Date date, Symbol string, norm_return double, up_probability double, uncertainty_score double, target_log_return double")
+    grid = validation.tuning_grid(df, TuningParams())
+    assert grid.count() == 74 and ranked == [74]

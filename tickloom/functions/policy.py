@@ -83,9 +83,10 @@ def event_boost(df: DataFrame, c: CriteriaParams = C) -> Column:
     return np_round(total, 6)
 
 
-def with_event_boost(df: DataFrame, c: CriteriaParams = C) -> DataFrame:
-    """Add the boost to the score; a boost already inside the score is taken out first."""
-    boost = event_boost(df, c)
+def with_event_boost(df: DataFrame, c: CriteriaParams = C, boost: Column | None = None) -> DataFrame:
+    """Add the boost to the score; a boost already inside the score is taken out first.
+    ``boost`` is given where it has been worked out from the columns before."""
+    boost = event_boost(df, c) if boost is None else boost
     if "signal_score" not in df.columns:
         return df.withColumn("event_boost_score", boost)
     earlier = number_or(df, ["event_boost_score"], 0.0)

@@ -8,7 +8,7 @@ in the slices before it.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,16 +64,16 @@ def running_total(
     df: DataFrame, order: Sequence[Column], value: str, name: str, group: Sequence[str] = ()
 ) -> DataFrame:
     """Cumulative sum of ``value`` over the whole table (or per group), in slices."""
-    sliced, before = _slices(df, group, order, F.sum(value))
+    sliced, before = _slices(df, group, order, F.sum(value), lambda ranged: written(ranged, "slices"))
     keys = [*group, "_slice"]
     local = F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    joined = null_safe_join(sliced, before, keys)
+    joined = null_safe_join(sliced, before if group else F.broadcast(before), keys)  # without groups a row per slice
     return joined.withColumn(name, local + F.col("_before")).drop("_slice", "_before")
 
 
-def _slices(df: DataFrame, group: Sequence[str], order: Sequence[Column], total: Column):
+def _slices(df: DataFrame, group: Sequence[str], order: Sequence[Column], total: Column, store: Callable[[DataFrame], DataFrame] | None = None):
     ranged = df.repartitionByRange(*[F.col(g) for g in group], *order)
-    sliced = cut_lineage(ranged.withColumn("_slice", F.spark_partition_id()))
+    sliced = (store or cut_lineage)(ranged.withColumn("_slice", F.spark_partition_id()))
     sums = sliced.groupBy(*group, "_slice").agg(total.alias("_total"))
     # At most one row per slice of the shuffle, so this window is always tiny.
     w = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -94,11 +94,12 @@ def dense_rank(
     return salted_lookup(df, ranked, [*group, value], rows="_n", null_safe=True)
 
 
-def percentile_rank(df: DataFrame, value: str, name: str) -> DataFrame:
+def percentile_rank(df: DataFrame, value: str, name: str, spread_by: Sequence[str] = ()) -> DataFrame:
     """Average-rank percentile of ``value`` over the whole table.
 
     All missing gives 0, a single distinct value gives 0.5 everywhere, a missing value
-    among others gives 0.5.
+    among others gives 0.5. The rows of a frequent value are told apart by ``spread_by``
+    (all columns if it is empty); columns that no later step reads then don't travel.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running_total(counts, [F.col(value).asc()], "_n", "_upto")
@@ -110,7 +111,7 @@ def percentile_rank(df: DataFrame, value: str, name: str) -> DataFrame:
         return df.withColumn(name, F.lit(0.5))
     average_rank = F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2.0
     lookup = ranked.select(value, "_n", (average_rank / F.lit(float(rows))).alias(name))
-    return salted_lookup(df, lookup, [value], rows="_n").withColumn(name, F.coalesce(F.col(name), F.lit(0.5)))
+    return salted_lookup(df, lookup, [value], rows="_n", spread_by=spread_by).withColumn(name, F.coalesce(F.col(name), F.lit(0.5)))
 
 
 def average_rank(

@@ -45,11 +45,9 @@ def weighted_score(return_weight, prob_weight, penalty) -> Column:
     )
 
 
-def prediction_frame(heads: DataFrame, s: SignalParams = SignalParams()) -> DataFrame:
-    """``heads`` carries Date, Symbol, Close, market_regime, predicted_log_return,
-    up_probability and the three quantiles. Percentile scores rank the whole frame."""
+def _measured(heads: DataFrame) -> DataFrame:
     # Ranked twice and returned: written once instead of computed three times, by column, so that a rank reads its own.
-    out = written(heads, "heads").withColumns(
+    return written(heads, "heads").withColumns(
         {
             "predicted_return": F.expm1("predicted_log_return") * 100.0,
             "predicted_close": F.col("Close") * F.exp("predicted_log_return"),
@@ -58,12 +56,21 @@ def prediction_frame(heads: DataFrame, s: SignalParams = SignalParams()) -> Data
             "event_boost_score": F.lit(0.0),
         }
     )
-    out = percentile_rank(out, "uncertainty_width", "uncertainty_score")
-    out = percentile_rank(out, "predicted_log_return", "norm_return")
+
+
+def _ranked(df: DataFrame, s: SignalParams) -> DataFrame:
+    out = percentile_rank(df, "uncertainty_width", "uncertainty_score", ("Date", "Symbol"))
+    out = percentile_rank(out, "predicted_log_return", "norm_return", ("Date", "Symbol"))
     out = out.withColumn("signal_score", weighted_score(s.return_weight, s.up_prob_weight, s.uncertainty_penalty))
     return out.withColumn("signal_label", policy.signal_label())
 
 
+def prediction_frame(heads: DataFrame, s: SignalParams = SignalParams()) -> DataFrame:
+    """``heads`` carries Date, Symbol, Close, market_regime, predicted_log_return,
+    up_probability and the three quantiles. Percentile scores rank the whole frame."""
+    return _ranked(_measured(heads), s)
+
+
 def scored_frame(
     heads: DataFrame,
     external_coverage: float = 1.0,
@@ -74,15 +81,18 @@ def scored_frame(
     group_rows: int | None = None,
 ) -> DataFrame:
     """Prediction frame with carried columns, coverage constants, boost, label and ranks."""
-    out = prediction_frame(heads, s).withColumns(
+    out = _measured(heads)
+    # Before the rows travel to their ranks: two numbers are smaller than the columns they come from.
+    out = out.withColumns({"_boost": policy.event_boost(out, c), "_headwind": policy.headwind_score(heads)})
+    out = _ranked(out, s).withColumns(
         {
             "external_coverage_ratio": F.lit(float(external_coverage)),
             "investor_coverage_ratio": F.lit(float(investor_coverage)),
             "min_liquidity_threshold": F.lit(float(min_liquidity)),
-            "market_headwind_score": policy.headwind_score(heads),
+            "market_headwind_score": F.col("_headwind"),
         }
     )
-    out = policy.with_event_boost(out, c).withColumn("signal_label", policy.signal_label())
+    out = policy.with_event_boost(out, c, F.col("_boost")).withColumn("signal_label", policy.signal_label()).drop("_boost", "_headwind")
     return cross_section_ranks(out, "signal_score", group_rows)
 
 

@@ -30,17 +30,19 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def salted_lookup(
-    left: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left", rows: str | None = None, salts: int = SALTS, null_safe: bool = False
+    left: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left", rows: str | None = None, salts: int = SALTS, null_safe: bool = False,
+    spread_by: Sequence[str] = (),
 ) -> DataFrame:
     """Join a table that may have hot keys to one with a single row per key.
 
     ``rows`` names a column of the lookup with the number of left rows per key; then only
     keys above ``HOT_ROWS`` are spread (there are at most total / HOT_ROWS of them, so
     their list is broadcast). Without it the lookup is taken as small and spread whole.
-    ``null_safe`` lets a missing key find a missing key.
+    ``null_safe`` lets a missing key find a missing key. The rows of a hot key are told
+    apart by the columns ``spread_by``, which then travel, or else by all columns.
     """
     cells = F.array(*[F.lit(i) for i in range(salts)])
-    seed = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns])
+    seed = F.xxhash64(*[F.col(f"`{c}`") for c in spread_by or left.columns])
     salt = F.pmod(seed, F.lit(salts)).cast("int")
     if rows is None:
         salted, spread = left.withColumn("_salt", salt), lookup.withColumn("_salt", F.explode(cells))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import replace
 
@@ -13,12 +12,12 @@ from pyspark.sql.window import Window
 from tickloom.operators.metrics import calibration_metrics
 from tickloom.operators.quantiles import exact_quantiles
 from tickloom.operators.ranking import average_rank, ordinal_rank
+from tickloom.operators.weight_grid import INPUTS, blended, rank_sums
 from tickloom.params import FoldParams, TuningParams
-from tickloom.session import cut_lineage
+from tickloom.session import written
 
 PREDICTIONS = ["predicted_return", "up_probability", "quantile_low", "quantile_mid", "quantile_high"]
 TARGETS = ["target_log_return", "target_up"]
-SCORE_BUCKETS, SPAN_SKETCH = 256, 1000
 WINDOW_BOUNDS = ["train_start", "train_end", "valid_start", "valid_end"]
 
 
@@ -175,83 +174,35 @@ def inner_split(df: DataFrame, ratio: float) -> DataFrame:
 
 def _blend(w_ret: Column, w_prob: Column, w_pen: Column) -> Column:
     """The score of a row in units of 1e-12: scores that differ only by rounding noise tie."""
-    raw = F.col("norm_return") * w_ret + F.col("up_probability") * w_prob - F.col("uncertainty_score") * w_pen
-    return F.rint(raw * 1e12)
+    return F.rint(blended([F.col(c) for c in INPUTS], w_ret, w_prob, w_pen) * 1e12)
 
 
 def tuning_grid(df: DataFrame, p: TuningParams = TuningParams(), only: Sequence[int] | None = None) -> DataFrame:
     """Performance of every weight candidate on both parts, one row per candidate and part.
 
-    ``only`` names candidates by number; the default weights have the last one. What a
-    candidate needs from its scores is counts, so no row is ranked on its own:
-
-    1. one scan sketches the range of every candidate's scores, which is cut into buckets;
-    2. one scan counts the rows of every bucket (combined before the shuffle);
-    3. one scan counts and sums the rows of every distinct score. A distinct score's rank
-       is what lies in the buckets below, plus what is below it in its own bucket. Rank
-       correlations and the sums of the top scores are sums over distinct scores;
-    4. of the rows that share the last score of the top, the first by (Date, Symbol) fill
-       it: only they are looked at one by one.
+    ``only`` names candidates by number; the default weights have the last one. Every
+    candidate's scores are ranked exactly, by ``rank_sums``, which gives the rank
+    correlations and the last score of the top. One more scan of the rows sums the targets
+    above that score. Of the rows that share it, the first by (Date, Symbol) fill the top:
+    only they are looked at one by one.
     """
     listed = [(a, b, c) for a in p.return_weights for b in p.prob_weights for c in p.penalties] + [p.default]
-    chosen = [(i, *w) for i, w in enumerate(listed) if only is None or i in only]
-    slim = cut_lineage(df.select("Date", "Symbol", "norm_return", "up_probability", "uncertainty_score", "target_log_return"))
-    base = cut_lineage(average_rank(inner_split(slim, p.train_ratio), ["part"], "target_log_return", "target_rank"))
-
-    spans = base.groupBy("part").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.percentile_approx(_blend(*map(F.lit, w)), [0.01, 0.99], SPAN_SKETCH).alias(f"s{i}") for i, *w in chosen],
-    )
-    rows: list[tuple] = []
-    for r in spans.collect():  # two rows
-        for i, *w in chosen:
-            low, high = r[f"s{i}"] or (0.0, 0.0)
-            rows.append((r["part"], i, *map(float, w), low, (high - low) / SCORE_BUCKETS or 1.0, r["n"], max(1, math.floor(r["n"] * p.top_share))))
-    schema = "part string, candidate int, w_ret double, w_prob double, w_pen double, _low double, _step double, _n long, _top long"
-    candidates = df.sparkSession.createDataFrame(rows, schema)
-    # The fan-out is the fixed candidate list; what it makes is combined before it is shuffled.
-    fan = base.join(F.broadcast(candidates), "part").withColumn("score", _blend(F.col("w_ret"), F.col("w_prob"), F.col("w_pen")))
-    place = F.floor((F.col("score") - F.col("_low")) / F.col("_step"))
-    inside = F.greatest(F.lit(0), F.least(F.lit(SCORE_BUCKETS - 1), place)).cast("int")
-    fan = fan.withColumn("bucket", F.when(F.col("score").isNull(), -1).otherwise(inside))  # no score ranks last
+    chosen = [(i, *map(float, w)) for i, w in enumerate(listed) if only is None or i in only]
+    slim = written(df.select("Date", "Symbol", "norm_return", "up_probability", "uncertainty_score", "target_log_return"), "predictions")
+    base = written(average_rank(inner_split(slim, p.train_ratio), ["part"], "target_log_return", "target_rank"), "ranked-targets")
+    totals = rank_sums(base, chosen, p.top_share)  # a row per candidate and part
 
     key = ["candidate", "part"]
-    counted = fan.groupBy(*key, "bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    w = Window.partitionBy(*key).orderBy("bucket")  # at most SCORE_BUCKETS + 1 rows
-    before = counted.select(
-        *key, "bucket", (F.sum("_rows").over(w) - F.col("_rows")).alias("_before"),
-        F.coalesce(F.sum(F.when(F.col("bucket") < 0, F.col("_rows"))).over(w), F.lit(0)).alias("_unscored"),
-    )
-    target = F.col("target_log_return")
-    middle = (F.col("_n") + 1) / 2.0  # sums of squares around the middle rank keep their digits
-    known = F.col("score").isNotNull() & F.col("target_rank").isNotNull()
-    t = F.when(known, F.col("target_rank") - middle)
-    sums = {
-        "_rows": F.count(F.lit(1)), "_known": F.count(F.when(known, 1)), "_t": F.sum(t), "_tt": F.sum(t * t),
-        "_gain": F.sum(target), "_gains": F.count(target), "_loss": F.sum(F.when(target < 0, target)), "_losses": F.count(F.when(target < 0, 1)),
-    }
-    fixed = ["w_ret", "w_prob", "w_pen", "_n", "_top"]
-    values = fan.groupBy(*key, "bucket", "score").agg(*[F.first(c).alias(c) for c in fixed], *[v.alias(n) for n, v in sums.items()])
-    values = values.join(F.broadcast(before), [*key, "bucket"])  # bounded by candidates and buckets
-    lower = F.coalesce(F.sum("_rows").over(Window.partitionBy(*key, "bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    values = values.withColumn("_under", F.col("_before") + lower)
-    above = F.col("_n") - F.col("_under") - F.col("_rows")
-    r = F.col("_under") - F.col("_unscored") + (F.col("_rows") + 1) / 2.0 - middle
-    whole, partly = above + F.col("_rows") <= F.col("_top"), (above < F.col("_top")) & (above + F.col("_rows") > F.col("_top"))
-    picked = ("_gain", "_gains", "_loss", "_losses")
-    totals = values.groupBy(*key).agg(
-        *[F.first(c).alias(c) for c in fixed],
-        F.sum("_known").alias("k"), F.sum(F.col("_known") * r).alias("r"), F.sum(F.col("_known") * r * r).alias("rr"),
-        F.sum("_t").alias("t"), F.sum("_tt").alias("tt"), F.sum(F.col("_t") * r).alias("rt"),
-        *[F.sum(F.when(whole, F.col(c))).alias(f"w{c}") for c in picked],
-        F.max(F.when(partly, F.struct("score", (F.col("_top") - above).alias("need")))).alias("cut"),
-    )
-    totals = cut_lineage(totals)  # a row per candidate and part
-    cuts = totals.where(F.col("cut").isNotNull()).select(*key, F.col("cut.score").alias("_cut"), F.col("cut.need").alias("_need"))
-    tied = fan.join(F.broadcast(cuts), key).where(F.col("score").eqNullSafe(F.col("_cut")))
-    tied = ordinal_rank(tied.select(*key, "Date", "Symbol", "_need", "target_log_return"), key, [F.col("Date"), F.col("Symbol")], "_pos")
-    filled = tied.where(F.col("_pos") <= F.col("_need")).groupBy(*key).agg(*[v.alias(f"t{n}") for n, v in sums.items() if n in picked])
-    both = totals.join(filled, key, "left")
+    # The fan-out is the fixed candidate list; what is left of it is combined before it is shuffled.
+    fan = base.join(F.broadcast(totals.select(*key, "w_ret", "w_prob", "w_pen", "_cut", "_need")), "part")
+    fan = fan.withColumn("score", _blend(F.col("w_ret"), F.col("w_prob"), F.col("w_pen")))
+    score, cut, target = F.col("score"), F.col("_cut"), F.col("target_log_return")
+    picked = {"_gain": F.sum(target), "_gains": F.count(target), "_loss": F.sum(F.when(target < 0, target)), "_losses": F.count(F.when(target < 0, 1))}
+    above = fan.where((score > cut) | (cut.isNull() & score.isNotNull())).groupBy(*key).agg(*[v.alias(f"w{n}") for n, v in picked.items()])
+    tied = fan.where(score.eqNullSafe(cut)).select(*key, "Date", "Symbol", "_need", "target_log_return")
+    tied = ordinal_rank(tied, key, [F.col("Date"), F.col("Symbol")], "_pos")
+    filled = tied.where(F.col("_pos") <= F.col("_need")).groupBy(*key).agg(*[v.alias(f"t{n}") for n, v in picked.items()])
+    both = totals.join(above, key, "left").join(filled, key, "left")
     both = both.withColumns({c: F.coalesce(F.col(f"w{c}"), F.lit(0.0)) + F.coalesce(F.col(f"t{c}"), F.lit(0.0)) for c in picked})
     k = F.col("k")
     spread = F.sqrt(F.col("rr") / k - (F.col("r") / k) ** 2) * F.sqrt(F.col("tt") / k - (F.col("t") / k) ** 2)

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.util import inheritable_thread_target
 
 T = TypeVar("T")
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_cleaning, _cleaning_lock = [0], threading.Lock()
 
 
 def local_session(cores: int | str = 8, app: str = "tickloom", memory: str = "8g") -> SparkSession:
@@ -50,10 +54,31 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is planned inside leaves no shuffle files when it has run; else they stay until the driver collects its
+    garbage, and the disk holds those of all steps at once. A step that needs them again computes them again."""
+    with _cleaning_lock:
+        _cleaning[0] += 1
+        if _cleaning[0] == 1:
+            _cleaning[1:] = [spark.conf.get(SHUFFLE_CLEANUP, None)]
+            spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _cleaning_lock:
+            _cleaning[0] -= 1
+            if not _cleaning[0] and _cleaning[1] is None:
+                spark.conf.unset(SHUFFLE_CLEANUP)
+            elif not _cleaning[0]:
+                spark.conf.set(SHUFFLE_CLEANUP, _cleaning[1])
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in reliable storage so that later stages never recompute it."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_dropped(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # a plan of its own
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -63,7 +88,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     every round until planning takes all the time; a table that is read knows none.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
