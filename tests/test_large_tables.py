@@ -203,3 +203,20 @@ def test_a_grid_shuffles_no_row_for_each_candidate(spark, history, monkeypatch):
     df = spark.createDataFrame(rows, "Date date, Symbol string, norm_return double, up_probability double, uncertainty_score double, target_log_return double")
     grid = validation.tuning_grid(df, TuningParams())
     assert grid.count() == 74 and ranked == [74]
+
+
+def test_strata_are_found_where_rows_lie_by_symbol(spark, history, monkeypatch):
+    """With strata too large to be sent to all, rows travel to their symbol, then to their date; a symbol listed twice gives two rows of one rank."""
+    monkeypatch.setattr(tables, "strata", lambda spark, sf, strata=tables.strata: strata(spark, sf).unionByName(strata(spark, sf).where("Symbol = 'S1'").withColumn("sector", F.lit("other"))))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = head_predictions(spark, history)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        rows = df.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert df.columns[-2:] == ["market_type", "sector"]
+    assert len([line for line in plan.splitlines() if "Exchange hashpartitioning(Symbol#" in line and "Date#" not in line]) == 2  # of bars and strata, not of ranked rows
+    twice = [(r.Date, r.turnover_rank_daily, r.market_type, r.sector) for r in rows if r.Symbol == "S1"]
+    assert len(twice) == 2 * (DAYS - 21) and len({x[:2] for x in twice}) == DAYS - 21 and {x[2:] for x in twice} == {("M1", "R1"), ("M1", "other")}
+    assert max(r.turnover_rank_daily for r in rows) == SYMBOLS

@@ -16,6 +16,10 @@ def head_predictions(spark: SparkSession, sf: str) -> DataFrame:
     df = indicators.volume_ratio(indicators.rolling_volatility(indicators.moving_averages(df, (20,)), (20,)))
     df = indicators.next_day_target(indicators.year_high(df))
     df = df.where(F.col("vol_20").isNotNull() & F.col("target_log_return").isNotNull())
+    # Looked up where the rows still lie by symbol, so that they don't travel for it; a list, as a symbol listed twice gives
+    # two rows, which share a rank.
+    strata = t.strata(spark, sf).groupBy("Symbol").agg(F.collect_list(F.struct("market_type", "sector")).alias("_strata"))
+    df = df.join(strata, "Symbol", "left")
     # Before the rows travel to their date: a flag is smaller than the ratio it comes from.
     df = df.withColumn("near_52w_high_flag", F.when(F.col("close_to_52w_high") >= 0.97, 1).otherwise(0))
     df = crosssection.turnover_rank(df, t.rows_per_date(spark, sf))
@@ -33,5 +37,4 @@ def head_predictions(spark: SparkSession, sf: str) -> DataFrame:
             "nq_f_ret_1d": F.col("gap_return") / 4.0,
         }
     )
-    strata = t.strata(spark, sf).select("Symbol", "market_type", "sector")
-    return df.join(strata, "Symbol", "left")
+    return df.select(*[c for c in df.columns if c != "_strata"], F.inline_outer("_strata"))
